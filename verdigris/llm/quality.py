@@ -29,8 +29,8 @@ from verdigris.llm._shared import bounded_batches, byte_slices, held_out
 BUCKETS, DIMS, NONZERO = 1 << 15, 48, 6
 #: Words on either side that count as context.
 WINDOW = 2
-HIDDEN, STEPS, RATE, DECAY, SEED = 32, 400, 0.02, 1e-4, 42
-FEATURES = 2 * DIMS + WINDOW + 1
+HIDDEN, STEPS, RATE, DECAY, SEED = 32, 400, 0.02, 1e-3, 42
+FEATURES = 2 * DIMS + WINDOW
 #: Labelled documents per class that the model is fitted on, and the largest of them.
 SAMPLE_PER_CLASS, SAMPLE_BYTES = 2500, 1 << 15
 #: Probability of label 1 from which a document counts as good.
@@ -116,13 +116,13 @@ def _echo(words: np.ndarray, sizes: np.ndarray, lag: int) -> np.ndarray:
 
 
 def pooled(vectors: np.ndarray, text: pa.Array) -> np.ndarray:
-    """Mean word vector, mean shape vector, echoes and log length of every text."""
+    """Mean word vector, mean shape vector and echoes of every text."""
     sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
     parts = []
     for a, b in byte_slices(sizes):
         words, shapes, n = tokens(text[a:b])
         echoes = [_echo(words, n, lag) for lag in range(1, WINDOW + 1)]
-        parts.append(np.hstack([_segment_mean(vectors[words], n), _segment_mean(vectors[shapes], n), np.stack([*echoes, np.log1p(n)], 1)]))
+        parts.append(np.hstack([_segment_mean(vectors[words], n), _segment_mean(vectors[shapes], n), np.stack(echoes, 1)]))
     return np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, FEATURES), np.float32)
 
 
@@ -164,7 +164,7 @@ def train(text: pa.Array, label: np.ndarray, weight: np.ndarray) -> QualityModel
     model.b2 = float(params[3][0])
     if check_rows.any():
         z, yc, wc = logits(model, x[check_rows]), y[check_rows], weight[check_rows]
-        grid = np.geomspace(0.5, 8, 41)
+        grid = np.geomspace(1, 8, 41)
         loss = [float((wc * np.logaddexp(0, np.where(yc > 0, -z, z) / t)).mean()) for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
     return model
