@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch that Spark hands to Python.  Texts have no length
 #: limit, so the operators cut each batch again by bytes (`byte_slices`).
 ROWS_PER_BATCH = 512
+BATCH_BYTES = 16 << 20
 #: UTF-8 bytes that one vectorised step works on at once.
 BYTES_PER_STEP = 1 << 20
 
@@ -21,6 +22,7 @@ BYTES_PER_STEP = 1 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches of this session small (whole texts are wide rows)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import langid, mixture, pieces, quality, simhash
+from verdigris.llm import htmltext, langid, mixture, pieces, quality, rans, simhash, topk
 from verdigris.llm._shared import held_out
 
-PIECE_MODEL = "piece_bpe_32k.model"
+PIECE_MODEL, WORD_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +64,46 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+def op9_rans(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    with open(tokenizer or tokenizer_path(WORD_TOKENIZER), encoding="utf-8") as file:
+        definition = file.read()
+    return rans.token_files(spark, table(spark, sf_dir, "documents"), definition)
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
+    "op7_topk": op7_topk,
     "op8_quality": op8_quality,
+    "op9_rans": op9_rans,
+    "op10_html": op10_html,
+}
+
+ORACLES: dict[str, str] = {
+    "op7_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
 }
-ORACLES: dict[str, str] = {}
