@@ -4,7 +4,7 @@ A document's units are its sentences, lines and paragraphs.  Unit and template a
 compared as sets of word bigrams A and B by 2 |A n B| / (|A| + |B|).  A coefficient of
 t needs |A| between t / (2 - t) |B| and (2 - t) / t |B|, so a unit's size leaves few
 candidate templates, and it needs a share of the template's bigrams, so every match
-holds one of a few words: documents and units without any are not looked at.
+holds one of a few word lists: documents and units without any are not looked at.
 
 Everything is one expression of built-in functions: no shuffle, no Python.
 """
@@ -55,26 +55,48 @@ def template_bigrams(wording: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
-def anchors(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: Fraction = LEAST) -> list[str]:
-    """Words of which every match with a template holds at least one.
+#: Shorter words are parts of too many others to look for alone.
+_LONG = 5
 
-    A match shares t |B| / (2 - t) of a template's |B| bigrams or more, so of any
-    |B| less that number plus one of them it holds one; those of the longest words are
-    taken.  A word that contains another one of the list is left out.
+
+def required(wording: str, least: Fraction = LEAST) -> list[list[str]]:
+    """Word lists of which one is present throughout in every match with a wording.
+
+    A match has t |B| / (2 - t) of the wording's |B| bigrams or more.  Without any word
+    of a set that occurs in more than the rest of them it cannot: one of the set is
+    present.  Long words come first; where they do not suffice, what is left without
+    them is either needed whole, or short words are added.
     """
-    found: set[str] = set()
-    for _, wording in templates:
-        bigrams = template_bigrams(wording)
-        needed = math.ceil(least * len(bigrams) / (2 - least))
-        chosen = sorted(bigrams, key=lambda b: (-max(map(len, b.split())), b))[: len(bigrams) - needed + 1]
-        found |= {max(b.split(), key=lambda w: (len(w), w)) for b in chosen}
-    return sorted(w for w in found if not any(o != w and o in w for o in found))
+    bigrams = [tuple(b.split()) for b in template_bigrams(wording)]
+    needed = math.ceil(least * len(bigrams) / (2 - least))
+    left, found = set(bigrams), []
+    for word in sorted({w for b in bigrams for w in b}, key=lambda w: (-len(w), w)):
+        if len(left) < needed:
+            break
+        if len(word) < _LONG and len(left) == needed:
+            return [*found, sorted({w for b in left for w in b}, key=lambda w: (-len(w), w))]
+        if any(word in b for b in left):
+            left -= {b for b in left if word in b}
+            found.append([word])
+    return found
+
 
+def conditions(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[list[str]]:
+    """The word lists of all wordings, without those that follow from a shorter word."""
+    every = {tuple(words) for _, wording in templates for words in required(wording)}
+    single = {w[0] for w in every if len(w) == 1}
+    single = {w for w in single if not any(o != w and o in w for o in single)}
+    several = [w for w in every if len(w) > 1 and not any(o in x for x in w for o in single)]
+    return sorted([w] for w in single) + sorted(map(list, several))
 
-def _any_word(text: Column, words: list[str]) -> Column:
+
+def _may_match(text: Column, lists: list[list[str]]) -> Column:
     found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
+    for words in lists:
+        whole = F.lit(True)
+        for word in words:
+            whole = whole & F.contains(text, F.lit(word))
+        found = found | whole
     return found
 
 
@@ -96,16 +118,16 @@ def _best(unit_bigrams: Column, table: Column) -> Column:
     return F.aggregate(good, F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence")), lambda a, x: F.when((x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["licence"] < a["licence"])), x).otherwise(a))
 
 
-def notices(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Column:
-    """array<struct<dice, licence>> of the units of a text that match a licence notice."""
-    words = anchors(templates)
+_NOTICES = "array<struct<dice:double,licence:string>>"
+
+
+def notices(low: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Column:
+    """The best (dice, licence) of each unit of a lower-case text that matches a notice."""
+    lists = conditions(templates)
     table = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(len(b)).alias("size"), F.array(*map(F.lit, b)).alias("bigrams")) for name, w in templates if (b := template_bigrams(w))])
-    low = F.lower(text)
     units = F.array_distinct(F.concat(F.split(low, _SENTENCE), F.split(low, _LINE), F.split(low, _PARAGRAPH)))
-    some = F.filter(units, lambda u: _any_word(u, words))
-    matched = F.filter(F.transform(F.transform(some, _bigrams), lambda b: _best(b, table)), lambda m: m["dice"] > 0)
-    empty = F.array().cast("array<struct<dice:double,licence:string>>")
-    return F.when(_any_word(low, words), matched).otherwise(empty)
+    some = F.filter(units, lambda u: _may_match(u, lists))
+    return F.filter(F.transform(F.transform(some, _bigrams), lambda b: _best(b, table)), lambda m: m["dice"] > 0)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -114,7 +136,10 @@ def scan(docs: DataFrame) -> DataFrame:
     `licences` lists the distinct licences by name, separated by commas.  A text without
     a notice (a null or empty one too) has none: '', null, 0.0 and 0.  Repeated rows stay.
     """
-    found = docs.select("doc_id", F.coalesce(notices(F.col("text")), F.array().cast("array<struct<dice:double,licence:string>>")).alias("found"))
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    # The cheap condition is a column of its own, so that it runs as generated code.
+    flagged = low.select("doc_id", "low", F.coalesce(_may_match(F.col("low"), conditions()), F.lit(False)).alias("maybe"))
+    found = flagged.select("doc_id", F.when(F.col("maybe"), notices(F.col("low"))).otherwise(F.array().cast(_NOTICES)).alias("found"))
     top = F.aggregate("found", F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence")), lambda a, x: F.when((x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["licence"] < a["licence"])), x).otherwise(a))
     return found.select(
         "doc_id",
