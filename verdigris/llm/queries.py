@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import htmltext, langid, mixture, pieces, quality, rans, simhash, topk
+from verdigris.llm import htmltext, langid, licences, media, mixture, pieces, quality, rans, simhash, topk
 from verdigris.llm._shared import held_out
 
 PIECE_MODEL, WORD_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -44,6 +44,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     return decoded.select("doc_id", F.size("ids").alias("n_tokens"), same.alias("round_trip"), "ids")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
@@ -81,6 +89,8 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_media": op3_media,
+    "op4_licences": op4_licences,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_topk": op7_topk,
@@ -90,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_licences": licences.oracle(),
     "op7_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
