@@ -160,22 +160,36 @@ def halfway(prints: np.ndarray) -> np.ndarray:
 
 
 def _close_pairs(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs among rows of the same key; rows come sorted by key."""
+    """Linked rows of the same key, as stars; rows come sorted by key.
+
+    All rows of a key are compared, but of the links only what holds the linked rows
+    together leaves: each row with the smallest one that links lead to.
+    """
+    own = np.arange(len(key))
     found: list[np.ndarray] = []
-    at = np.arange(len(key))
-    lag = 0
+    at, lag = own, 0
     while True:
         lag += 1
         at = at[at + lag < len(key)]
         at = at[key[at + lag] == key[at]]
         if not len(at):
             break
-        x = value[at] ^ value[at + lag]
-        close = at[(np.bitwise_count(x) <= DISTANCE) & (x != 0)]
-        found.append(np.stack([value[close], value[close + lag]]))
-    pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.uint64)
-    pairs = np.unique(np.sort(pairs.view(np.int64), axis=0), axis=1)
-    return pairs[0], pairs[1]
+        close = at[np.bitwise_count(value[at] ^ value[at + lag]) <= DISTANCE]
+        found.append(np.stack([close, close + lag]))
+    pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+    root = own.copy()
+    while True:
+        low = np.minimum(root[pairs[0]], root[pairs[1]])
+        before = root.copy()
+        for side in pairs:
+            np.minimum.at(root, side, low)
+        root = root[root]
+        if np.array_equal(before, root):
+            break
+    linked = root != own
+    stars = np.stack([value[root[linked]], value[linked]]).view(np.int64)
+    stars = np.unique(np.sort(stars[:, stars[0] != stars[1]], axis=0), axis=1)
+    return stars[0], stars[1]
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -243,10 +257,8 @@ def _emit(of: str):
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """(a, b) for distinct fingerprints (one long column) within DISTANCE bits.
-
-    Enough links for the components, and all of them among groups up to LARGE_GROUP.
-    """
+    """(a, b) for distinct fingerprints (one long column): pairs that join what links of
+    up to DISTANCE bits join, as many as rows at most (not all pairs of a dense group)."""
     spark = prints.sparkSession
     keyed = prints.mapInArrow(_emit("keys"), "key long, print long")
     found, found_at = store(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long"), "close")
