@@ -12,6 +12,7 @@ The writer stores given coefficients, so what it writes is read back without los
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 from dataclasses import dataclass, field
 
@@ -20,19 +21,15 @@ import numpy as np
 from verdigris.llm._shared import ranges
 
 #: Restart interval of written images: MCUs of an interleaved scan, blocks of another.
-INTERVAL = 4
+INTERVAL = 8
 #: Scans of a written image: (components, first and last coefficient, bits already
 #: sent, bits left out).  None of the refinements meets a coefficient of magnitude 1.
 SCRIPT = (
     ((0, 1, 2), 0, 0, 0, 1),
-    ((0,), 1, 5, 0, 1),
-    ((1,), 1, 63, 0, 1),
-    ((2,), 1, 63, 0, 1),
-    ((0,), 6, 63, 0, 1),
+    *(((c,), 1, 5, 0, 1) for c in range(3)),
+    *(((c,), 6, 63, 0, 1) for c in range(3)),
     ((0, 1, 2), 0, 0, 1, 0),
-    ((0,), 1, 63, 1, 0),
-    ((1,), 1, 63, 1, 0),
-    ((2,), 1, 63, 1, 0),
+    *(((c,), 1, 63, 1, 0) for c in range(3)),
 )
 
 
@@ -160,9 +157,8 @@ def _lanes(width: int, height: int, sampling: tuple, components: tuple[int, ...]
 # ---------------------------------------------------------------------------- writing
 
 
-def _size(values: np.ndarray) -> np.ndarray:
-    """Bits of each magnitude."""
-    return np.frexp(np.abs(values).astype(np.float64))[1] * (values != 0)
+#: Bits of each magnitude up to 4095.
+_SIZE = np.array([n.bit_length() for n in range(4096)])
 
 
 def _bits(values: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -171,33 +167,41 @@ def _bits(values: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _pack(value: np.ndarray, bits: np.ndarray, lane: np.ndarray, n_lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes (up to 32 bits, by lane in order) as bytes padded with ones; bytes per lane."""
-    length = np.bincount(lane, bits, n_lanes).astype(np.int64)
+    ends = np.cumsum(bits)
+    cut = np.searchsorted(lane, np.arange(n_lanes + 1))
+    before = np.concatenate([[0], ends])[cut]
+    length = np.diff(before)
     size = -(-length // 8)
     first = np.cumsum(size) - size
-    ends = np.cumsum(bits)
-    before = np.concatenate([[0], ends])[np.searchsorted(lane, np.arange(n_lanes))]
-    at = ends - bits - before[lane] + 8 * first[lane]
+    at = ends - bits + np.repeat(8 * first - before[:-1], np.diff(cut))
     total = int(size.sum())
-    pad = 8 * size - length
-    value, bits, at = np.concatenate([value, (1 << pad) - 1]), np.concatenate([bits, pad]), np.concatenate([at, 8 * first + length])
-    word = at >> 5
-    wide = value.astype(np.uint64) << (64 - bits - (at & 31)).astype(np.uint64) * (bits > 0)
-    wide[bits == 0] = 0
+    pad, last = 8 * size - length, 8 * first + length
     words = np.zeros(total // 4 + 3, np.uint64)
-    high, low = wide >> np.uint64(32), wide & np.uint64(0xFFFFFFFF)
-    for part, place in ((high, word), (low, word + 1)):  # bits never overlap, so a sum of exact doubles joins them
-        words += np.bincount(place, part.astype(np.float64), len(words)).astype(np.uint64)
+    for v, n, place in ((value, bits, at), ((1 << pad) - 1, pad, last)):
+        some = n > 0
+        if not some.all():
+            v, n, place = v[some], n[some], place[some]
+        word = place >> 5
+        wide = v.astype(np.uint64) << (64 - n - (place & 31)).astype(np.uint64)
+        heads = np.flatnonzero(np.diff(word, prepend=-1))
+        if len(heads):
+            words[word[heads]] |= np.bitwise_or.reduceat(wide >> np.uint64(32), heads)
+            words[word[heads] + 1] |= np.bitwise_or.reduceat(wide & np.uint64(0xFFFFFFFF), heads)
     return words.astype(">u4").view(np.uint8)[:total], size
 
 
-def _stuffed(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """`data` with a zero byte after each 0xFF; sizes of the lanes then."""
+def _marked(data: np.ndarray, size: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`data` with a zero byte after each 0xFF and a restart marker after each lane; where
+    the lanes end (behind the marker).  `counter` numbers the lanes of each scan."""
     full = data == 0xFF
     lane = np.repeat(np.arange(len(size)), size)
-    repeats = 1 + full.astype(np.int64)
-    out = np.repeat(data, repeats)
-    out[np.cumsum(repeats)[full] - 1] = 0
-    return out, size + np.bincount(lane[full], minlength=len(size))
+    shift = np.cumsum(full) - full + 2 * lane
+    place = np.arange(len(data)) + shift
+    ends = np.cumsum(size + np.bincount(lane[full], minlength=len(size)) + 2)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[place] = data
+    out[ends - 2], out[ends - 1] = 0xFF, 0xD0 + counter % 8
+    return out, ends
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -217,54 +221,74 @@ def write(frames: list[Frame], coefficients: np.ndarray, comments: list[bytes])
     """
     first = np.cumsum([0, *(f.blocks for f in frames)])
     parts: list[list[bytes]] = [[_head(f, c)] for f, c in zip(frames, comments, strict=True)]
-    dc_code, dc_length = _codes(*_own_table(True))
-    ac_code, ac_length = _codes(*_own_table(False))
-    for components, low, high, sent, left in SCRIPT:
-        layout = [_lanes(f.width, f.height, f.sampling, components, INTERVAL) for f in frames]
-        blocks = np.concatenate([b + at for (b, _, _), at in zip(layout, first[:-1], strict=True)])
-        owner = np.concatenate([o for _, o, _ in layout])
-        sizes = np.concatenate([s for _, _, s in layout])
-        lane = np.repeat(np.arange(len(sizes)), sizes)
-        own = coefficients[blocks, low : high + 1]
-        if low == 0 and not sent:
-            value = own[:, 0] >> left
+    for (low, high, sent, left), scans in itertools.groupby(SCRIPT, key=lambda s: s[1:]):
+        group = [components for components, *_ in scans]
+        for components in [group] if low else [[c] for c in group]:
+            _write_scans(frames, coefficients, first, parts, components, low, high, sent, left)
+    return [b"".join(p) + b"\xff\xd9" for p in parts]
+
+
+def _write_scans(frames: list[Frame], coefficients: np.ndarray, first: np.ndarray, parts: list[list[bytes]], scans: list[tuple[int, ...]], low: int, high: int, sent: int, left: int) -> None:
+    """Code scans of the same kind of all images together and append them to `parts`."""
+    layout = [_lanes(f.width, f.height, f.sampling, c, INTERVAL) for f in frames for c in scans]
+    base = np.repeat(first[:-1], len(scans))
+    blocks = np.concatenate([b + at for (b, _, _), at in zip(layout, base, strict=True)])
+    sizes = np.concatenate([s for _, _, s in layout])
+    lane = np.repeat(np.arange(len(sizes)), sizes)
+    own = coefficients[blocks, low : high + 1]
+    if low == 0:
+        value = own[:, 0] >> left
+        if sent:
+            code, bits = value & 1, np.ones(len(own), np.int64)
+        else:
+            owner = np.concatenate([o for _, o, _ in layout])
             diff = value.copy()
-            for c in components:
+            for c in scans[0]:
                 mine = np.flatnonzero(owner == c)
                 diff[mine[1:]] -= np.where(lane[mine[1:]] == lane[mine[:-1]], value[mine[:-1]], 0)
-            n = _size(diff)
-            code, bits, of = (dc_code[n] << n) | _bits(diff, n), dc_length[n] + n, lane
-        elif low == 0:
-            code, bits, of = own[:, 0] >> left & 1, np.ones(len(own), np.int64), lane
-        else:
-            full = own[:, 0] != 0
-            width = high - low + 1
-            many = np.where(full, width + (sent > 0), 1)
-            start = np.cumsum(many) - many
-            of = np.repeat(lane, many)
-            code, bits = np.full(int(many.sum()), ac_code[0]), np.full(int(many.sum()), ac_length[0])  # an end of block
-            place = ranges(start[full] + (sent > 0), np.full(int(full.sum()), width))
-            values = own[full].reshape(-1)
-            if sent:  # the end of block comes first, then a correction bit of every coefficient
-                code[place], bits[place] = np.abs(values) >> left & 1, 1
-            else:
-                values = np.sign(values) * (np.abs(values) >> left)
-                n = _size(values)
-                code[place], bits[place] = (ac_code[n] << n) | _bits(values, n), ac_length[n] + n
-        data, size = _stuffed(*_pack(code, bits, of, len(sizes)))
-        sos = bytes([len(components), *(x for c in components for x in (c + 1, 0)), low, high, sent << 4 | left])
-        raw, ends = data.tobytes(), np.cumsum(size).tolist()
-        at, here = 0, 0
-        for image, (_, _, own_sizes) in enumerate(layout):
-            pieces = [_segment(0xDA, sos)]
-            for i in range(len(own_sizes)):
-                pieces.append(raw[here : ends[at + i]])
-                here = ends[at + i]
-                if i + 1 < len(own_sizes):
-                    pieces.append(bytes([0xFF, 0xD0 + i % 8]))
-            at += len(own_sizes)
-            parts[image].append(b"".join(pieces))
-    return [b"".join(p) + b"\xff\xd9" for p in parts]
+            code, bits = _coded(diff, *_codes(*_own_table(True)))
+        of = lane
+    else:
+        code, bits, of = _ac_codes(own, lane, sent, left)
+    counter = np.concatenate([np.arange(len(s)) for _, _, s in layout])
+    data, ends = _marked(*_pack(code, bits, of, len(sizes)), counter)
+    raw = data.tobytes()
+    cuts = ends[np.cumsum([len(s) for _, _, s in layout]) - 1].tolist()
+    here = 0
+    for number, cut in enumerate(cuts):
+        image, c = divmod(number, len(scans))
+        sos = bytes([len(scans[c]), *(x for i in scans[c] for x in (i + 1, 0)), low, high, sent << 4 | left])
+        parts[image] += [_segment(0xDA, sos), raw[here : cut - 2]]
+        here = cut
+
+
+def _coded(values: np.ndarray, code_of: np.ndarray, length_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code of each value's size with its magnitude bits behind, and how many bits that is."""
+    n = _SIZE[np.abs(values)]
+    return code_of[n] << n | _bits(values, n), length_of[n] + n
+
+
+def _ac_codes(own: np.ndarray, lane: np.ndarray, sent: int, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, lengths and lanes of an AC scan's blocks (rows), several coefficients in one."""
+    ac_code, ac_length = _codes(*_own_table(False))
+    full = own[:, 0] != 0
+    rows, width = own[full], own.shape[1]
+    if sent:  # an end of block, and then a correction bit of every coefficient
+        runs = [slice(a, min(width, a + 24)) for a in range(0, width, 24)]
+        bit = np.abs(rows) >> left & 1
+        some = [bit[:, r] @ (1 << np.arange(r.stop - r.start)[::-1]) for r in runs]
+        code = np.stack([np.full(len(rows), ac_code[0]), *some], 1)
+        bits = np.broadcast_to(np.array([ac_length[0], *(r.stop - r.start for r in runs)]), code.shape)
+    else:
+        code, bits = _coded(np.sign(rows) * (np.abs(rows) >> left), ac_code, ac_length)
+        even = width // 2 * 2
+        pair = code[:, 0:even:2] << bits[:, 1:even:2] | code[:, 1:even:2], bits[:, 0:even:2] + bits[:, 1:even:2]
+        code, bits = np.concatenate([pair[0], code[:, even:]], 1), np.concatenate([pair[1], bits[:, even:]], 1)
+    many = np.where(full, code.shape[1], 1)
+    all_code, all_bits = np.full(int(many.sum()), ac_code[0]), np.full(int(many.sum()), ac_length[0])
+    place = ranges((np.cumsum(many) - many)[full], many[full])
+    all_code[place], all_bits[place] = code.reshape(-1), bits.reshape(-1)
+    return all_code, all_bits, np.repeat(lane, many)
 
 
 # ---------------------------------------------------------------------------- reading
@@ -272,7 +296,7 @@ def write(frames: list[Frame], coefficients: np.ndarray, comments: list[bytes])
 
 @dataclass
 class _Scan:
-    key: tuple  # what must be equal for scans to advance together
+    kind: tuple  # what must be equal for scans to advance together
     frame: Frame
     components: tuple[int, ...]
     interval: int
@@ -344,7 +368,7 @@ def parse(file: bytes) -> Image:
                     raise BadJpeg("a scan's range is wrong")
                 tables = tuple(huffman.get((16 if low else 0) + (body[2 + 2 * i] & 15 if low else body[2 + 2 * i] >> 4), (b"", b"")) for i in range(n)) if not (low == 0 and sent) else ()
                 end = int(markers[np.searchsorted(markers, at)])
-                scans.append(_Scan((low, high, sent, left, tables, components), frame, components, interval, at, end))
+                scans.append(_Scan((low, high, sent, left, tables, () if low else components), frame, components, interval, at, end))
                 at = end
     except (IndexError, ValueError, struct.error, KeyError) as error:
         if isinstance(error, BadJpeg):
@@ -383,8 +407,8 @@ def _entropy(files: np.ndarray, scans: list[_Scan], base: np.ndarray) -> tuple[n
     return data[~drop], place, 1 + np.bincount(owner[restart], minlength=len(scans))
 
 
-def _dc(reader: _Reader, key: tuple, at: np.ndarray, first: np.ndarray, sizes: np.ndarray, owner: np.ndarray, blocks: np.ndarray, coefficients: np.ndarray) -> None:
-    _, _, sent, left, tables, components = key
+def _dc(reader: _Reader, kind: tuple, at: np.ndarray, first: np.ndarray, sizes: np.ndarray, owner: np.ndarray, blocks: np.ndarray, coefficients: np.ndarray) -> None:
+    _, _, sent, left, tables, components = kind
     if sent:
         lane = np.repeat(np.arange(len(sizes)), sizes)
         bit = reader.peek(at[lane] + np.arange(len(blocks)) - first[lane], 1)
@@ -415,8 +439,8 @@ def _dc(reader: _Reader, key: tuple, at: np.ndarray, first: np.ndarray, sizes: n
         coefficients[blocks[mine], 0] = (run - before[np.cumsum(starts) - 1]) << left
 
 
-def _ac_first(reader: _Reader, key: tuple, at: np.ndarray, first: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, coefficients: np.ndarray) -> None:
-    low, high, _, left, tables, _ = key
+def _ac_first(reader: _Reader, kind: tuple, at: np.ndarray, first: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, coefficients: np.ndarray) -> None:
+    low, high, _, left, tables, _ = kind
     symbols, lengths = _lookup(*tables[0])
     at, block, last = at.copy(), first.copy(), first + sizes
     k = np.full(len(at), low)
@@ -454,8 +478,8 @@ def _ac_first(reader: _Reader, key: tuple, at: np.ndarray, first: np.ndarray, si
             at, block, last, k = at[go], block[go], last[go], k[go]
 
 
-def _ac_refine(reader: _Reader, key: tuple, at: np.ndarray, first: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, coefficients: np.ndarray) -> None:
-    low, high, _, left, tables, _ = key
+def _ac_refine(reader: _Reader, kind: tuple, at: np.ndarray, first: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, coefficients: np.ndarray) -> None:
+    low, high, _, left, tables, _ = kind
     symbols, lengths = _lookup(*tables[0])
     band = np.arange(low, high + 1)
     at, block, last = at.copy(), first.copy(), first + sizes
@@ -510,39 +534,60 @@ def read(files: list[bytes]) -> tuple[list[Image], np.ndarray, np.ndarray]:
     coefficients = np.zeros((int(first[-1]), 64), np.int32)
     base = np.cumsum([0, *map(len, files)])
     whole = np.frombuffer(b"".join(files), np.uint8)
-    for number in range(max((len(i.scans) for i in images), default=0)):
-        together: dict[tuple, list[int]] = {}
-        for at, image in enumerate(images):
-            if number < len(image.scans):
-                together.setdefault(image.scans[number].key, []).append(at)
-        for key, members in together.items():
-            scans = [images[m].scans[number] for m in members]
-            data, begin, intervals = _entropy(whole, scans, base[members])
+    rounds = [_rounds(i.scans) for i in images]
+    for number in range(max(map(len, rounds), default=0)):
+        together: dict[tuple, list[tuple[int, _Scan]]] = {}
+        for at, own in enumerate(rounds):
+            if number < len(own):
+                together.setdefault(own[number][0].kind, []).extend((at, s) for s in own[number])
+        for kind, members in together.items():
+            scans, of = [s for _, s in members], np.array([m for m, _ in members])
+            data, begin, intervals = _entropy(whole, scans, base[of])
             layout = [_lanes(s.frame.width, s.frame.height, s.frame.sampling, s.components, s.interval) for s in scans]
             sizes = np.concatenate([x[2] for x in layout])
             if not np.array_equal(intervals, [len(x[2]) for x in layout]):
                 raise BadJpeg("restart markers are missing")
-            blocks = np.concatenate([x[0] + first[m] for x, m in zip(layout, members, strict=True)])
+            blocks = np.concatenate([x[0] + first[m] for x, m in zip(layout, of, strict=True)])
             reader, starts = _Reader(data), np.cumsum(sizes) - sizes
-            if key[0] == 0:
-                _dc(reader, key, 8 * begin, starts, sizes, np.concatenate([x[1] for x in layout]), blocks, coefficients)
+            if kind[0] == 0:
+                _dc(reader, kind, 8 * begin, starts, sizes, np.concatenate([x[1] for x in layout]), blocks, coefficients)
             else:
-                (_ac_refine if key[2] else _ac_first)(reader, key, 8 * begin, starts, sizes, blocks, coefficients)
+                (_ac_refine if kind[2] else _ac_first)(reader, kind, 8 * begin, starts, sizes, blocks, coefficients)
     return images, coefficients, first
 
 
-def rgb(image: Image, coefficients: np.ndarray) -> np.ndarray:
-    """Full-resolution (height, width, 3) tensor of 8-bit samples of one image."""
+def _rounds(scans: list[_Scan]) -> list[list[_Scan]]:
+    """Consecutive AC scans of one kind over different components, which are independent."""
+    found: list[list[_Scan]] = []
+    for scan in scans:
+        if found and scan.kind[0] and found[-1][0].kind == scan.kind and all(scan.components != s.components for s in found[-1]):
+            found[-1].append(scan)
+        else:
+            found.append([scan])
+    return found
+
+
+def samples(images: list[Image], coefficients: np.ndarray) -> np.ndarray:
+    """The samples (0 to 255) of all blocks: dequantised and inverse-transformed at once."""
+    tables = [np.concatenate([np.broadcast_to(i.tables[q], (grid[1] * grid[2], 64)) for q, grid in ((q, i.frame.grid(c)) for c, q in enumerate(i.frame.quant))]) for i in images if any((i.tables[q] != 1).any() for q in set(i.frame.quant))]
+    if tables and len(tables) < len(images):
+        return np.concatenate([samples([i], coefficients[a : a + i.frame.blocks]) for i, a in zip(images, np.cumsum([0, *(i.frame.blocks for i in images)]).tolist()[:-1], strict=True)])
+    scaled = coefficients * np.concatenate(tables) if tables else coefficients.astype(np.float64)
+    out = scaled @ _inverse_transform()
+    # The tiny shift takes exact halves away from the border, so equal images give equal
+    # samples whatever the order of summation in the product.
+    out += 128.5 + 1e-6
+    np.floor(out, out=out)
+    return np.clip(out, 0, 255, out=out).astype(np.float32)
+
+
+def rgb(image: Image, own: np.ndarray) -> np.ndarray:
+    """Full-resolution (height, width, 3) tensor of one image from its blocks' samples."""
     frame, planes = image.frame, []
     wide, high = max(s[0] for s in frame.sampling), max(s[1] for s in frame.sampling)
     for c, (h, v) in enumerate(frame.sampling):
         first, rows, columns = frame.grid(c)
-        table = image.tables[frame.quant[c]]
-        samples = (coefficients[first : first + rows * columns] * table) @ _inverse_transform()
-        # The tiny shift takes exact halves away from the border, so equal images give
-        # equal samples whatever the order of summation in the product.
-        samples = np.clip(np.floor(samples + 128.5 + 1e-6), 0, 255).astype(np.float32)
-        plane = samples.reshape(rows, columns, 8, 8).swapaxes(1, 2).reshape(8 * rows, 8 * columns)
+        plane = own[first : first + rows * columns].reshape(rows, columns, 8, 8).swapaxes(1, 2).reshape(8 * rows, 8 * columns)
         plane = np.repeat(np.repeat(plane, high // v, 0), wide // h, 1)
         planes.append(plane[: frame.height, : frame.width])
     if len(planes) == 1:

@@ -21,7 +21,7 @@ from verdigris.llm._shared import bounded_batches, byte_slices, ranges, utf8
 
 UNIT = 64
 #: Payload bytes that are coded at once.
-STEP = 1 << 20
+STEP = 1 << 21
 _SPLIT, _LOW, _HIGH = 64, 66, 62
 
 
@@ -53,9 +53,10 @@ def describe(tensor: np.ndarray) -> str:
     """Size, channel means, contrast and edge strength of an RGB tensor, from integer sums."""
     height, width, _ = tensor.shape
     sums = tensor.reshape(-1, 3).sum(0, dtype=np.int64)
-    gray = tensor.astype(np.int32) @ np.array([299, 587, 114], np.int32) // 1000
+    # Exact in single precision: sums of products under 2^24.
+    gray = (tensor.reshape(-1, 3).astype(np.float32) @ np.array([299, 587, 114], np.float32)).astype(np.int32).reshape(height, width) // 1000
     n = gray.size
-    spread = n * int((gray.astype(np.int64) ** 2).sum()) - int(gray.sum(dtype=np.int64)) ** 2
+    spread = n * int(np.square(gray).sum(dtype=np.int64)) - int(gray.sum(dtype=np.int64)) ** 2
     edges = int(np.abs(np.diff(gray, axis=1)).sum(dtype=np.int64))
     return f"{width}x{height};rgb={','.join(str(int(s) // n) for s in sums)};contrast={int(max(spread, 0) ** 0.5) // n};edges={edges // n}"
 
@@ -89,10 +90,11 @@ def digest(spark: SparkSession) -> Column:
         for a, b in byte_slices(sizes, STEP):
             files = media[a:b].to_pylist()
             images, coefficients, first = jpeg.read(files)
+            pixels = jpeg.samples(images, coefficients)
             for image, file, at, end in zip(images, files, first[:-1], first[1:], strict=True):
                 own = coefficients[at:end]
                 n_bytes, raw = payload(image, own)
-                rows.append((n_bytes, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), describe(jpeg.rgb(image, own))))
+                rows.append((n_bytes, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), describe(jpeg.rgb(image, pixels[at:end]))))
         names = [f.split()[0] for f in _DIGEST.split(", ")]
         kinds = [pa.string() if " string" in f else pa.int64() for f in _DIGEST.split(", ")]
         columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
@@ -113,7 +115,7 @@ def tensors(spark: SparkSession) -> Column:
                 found.append((None, None, None))
                 continue
             images, coefficients, _ = jpeg.read([file])
-            tensor = jpeg.rgb(images[0], coefficients)
+            tensor = jpeg.rgb(images[0], jpeg.samples(images, coefficients))
             found.append((tensor.shape[0], tensor.shape[1], tensor.tobytes()))
         kinds = (pa.int32(), pa.int32(), pa.binary())
         return pa.StructArray.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["height", "width", "rgb"])
