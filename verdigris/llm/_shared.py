@@ -96,4 +96,6 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of every range, one range after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(total)
+    return out

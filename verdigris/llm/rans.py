@@ -128,9 +128,13 @@ class Segment:
 
 def pack(segment: Segment) -> bytes:
     """The file image of a segment."""
-    ids = np.asarray(segment.ids, np.int64)
-    names, symbols = np.unique(ids, return_inverse=True)
-    freq = frequencies(np.bincount(symbols, minlength=len(names))) if len(ids) else np.zeros(0, np.int64)
+    ids = np.asarray(segment.ids, np.int32)
+    counts = np.bincount(ids)
+    names = np.flatnonzero(counts)
+    number = np.zeros(len(counts), np.int32)
+    number[names] = np.arange(len(names))
+    symbols = number[ids]
+    freq = frequencies(counts[names]) if len(ids) else np.zeros(0, np.int64)
     start = np.cumsum(freq) - freq
     tables = zlib.compress(np.concatenate([[len(names)], np.diff(names, prepend=0), freq]).astype("<u4").tobytes(), 6)
     listing = zlib.compress(np.asarray(segment.doc_ids, "<i8").tobytes() + np.asarray(segment.known, np.uint8).tobytes() + np.asarray(segment.counts, "<i8").tobytes(), 6)
@@ -181,14 +185,38 @@ def unpack(image: bytes, check: bool = True) -> Segment:
 # ------------------------------------------------------------------ tokenising
 
 
+class _Growing:
+    """An array that grows at its end."""
+
+    def __init__(self) -> None:
+        self._data, self._n = np.zeros(1 << 16, np.int64), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self._n + len(values)
+        if need > len(self._data):
+            self._data = np.concatenate([self._data, np.zeros(max(need, len(self._data)), np.int64)])
+        self._data[self._n : need] = values
+        self._n = need
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._data[: self._n]
+
+
+#: A word of plain letters with punctuation after it: the pre-tokenizer parts the two,
+#: and its lower-casing is that of every library.
+_PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?|]*)$"
+
+
 class WordEncoder:
-    """A tokenizer that drops white space, applied to the distinct words of a batch.
+    """A tokenizer that drops white space and case, applied to distinct words.
 
-    Its pre-tokenizer never joins text across white space, so a text's ids are those of
-    its words one after another.  Words met before are remembered, up to a bound.
+    Its pre-tokenizer never joins text across white space, nor letters and punctuation,
+    so a text's ids are those of its parts one after another.  Parts met before are
+    remembered, up to a bound; new plain words are encoded many at a time.
     """
 
-    REMEMBERED = 1 << 19
+    REMEMBERED, TOGETHER = 1 << 20, 200
 
     def __init__(self, definition: str) -> None:
         import os
@@ -197,38 +225,88 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(definition)
-        self._place: dict[str, int] = {}
-        self._sizes: list[int] = []
-        self._ids: list[int] = []
-        self._arrays = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self._place: dict[str, int] = {"": 0}
+        self._begin, self._size, self._ids = _Growing(), _Growing(), _Growing()
+        self._begin.extend(np.zeros(1, np.int64))
+        self._size.extend(np.zeros(1, np.int64))
+
+    def _learn(self, sizes: np.ndarray, ids: np.ndarray, parts: list[str]) -> None:
+        first = len(self._ids.values)
+        self._place.update(zip(parts, range(len(self._place), len(self._place) + len(parts)), strict=True))
+        self._begin.extend(first + np.cumsum(sizes) - sizes)
+        self._size.extend(sizes)
+        self._ids.extend(ids)
+
+    def _places(self, parts: list[str], plain: bool) -> np.ndarray:
+        """Where the distinct parts are remembered; new ones are encoded first."""
+        fresh = [p for p in parts if p not in self._place]
+        if fresh and plain:
+            texts = [" ".join(fresh[i : i + self.TOGETHER]) for i in range(0, len(fresh), self.TOGETHER)]
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            last = np.flatnonzero(self._ends[ids])
+            if len(last) == len(fresh) and last[-1] == len(ids) - 1:
+                self._learn(np.diff(last, prepend=-1), ids, fresh)
+                fresh = []
+        if fresh:
+            each = [e.ids for e in self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            self._learn(np.array([len(e) for e in each], np.int64), np.array([i for e in each for i in e], np.int64), fresh)
+        return np.fromiter((self._place[p] for p in parts), np.int64, len(parts))
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with `end_id` after it, and their numbers."""
         lists = pc.ascii_split_whitespace(pc.fill_null(text, ""))
         per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self._sizes) + len(words) > self.REMEMBERED:
-            self._place, self._sizes, self._ids = {}, [], []
-        fresh = [w for w in words if w not in self._place]
-        if fresh:
-            for word, encoding in zip(fresh, self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self._place[word] = len(self._sizes)
-                self._sizes.append(len(encoding.ids))
-                self._ids += encoding.ids
-            self._arrays = (np.array(self._sizes, np.int64), np.array(self._ids, np.int64))
-        sizes, ids = self._arrays
-        place = np.array([self._place[w] for w in words], np.int64)
-        which = place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        count = sizes[which] if len(words) else np.zeros(0, np.int64)
-        begin = (np.cumsum(sizes) - sizes)[which] if len(words) else np.zeros(0, np.int64)
-        flat = ids[ranges(begin, count)]
+        words = coded.dictionary
+        if len(self._place) + 2 * len(words) > self.REMEMBERED:
+            self._forget()
+        parted = pc.extract_regex(words, pattern=_PLAIN)
+        plain = pc.is_valid(parted)
+        head, tail = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        of = plain.to_numpy(zero_copy_only=False)
+        for out, part in ((head, pc.utf8_lower(pc.struct_field(parted, "word").filter(plain))), (tail, pc.struct_field(parted, "tail").filter(plain))):
+            distinct = part.dictionary_encode()
+            if len(distinct):
+                out[of] = self._places(distinct.dictionary.to_pylist(), out is head)[distinct.indices.to_numpy(zero_copy_only=False)]
+        if not of.all():
+            head[~of] = self._places(words.filter(pc.invert(plain)).to_pylist(), False)
+        pairs = np.stack([head, tail], 1).reshape(-1)
+        size, begin = self._size.values[pairs], self._begin.values[pairs]
+        of_words = self._ids.values[ranges(begin, size)]
+        size = size.reshape(-1, 2).sum(1)
+        begin = np.cumsum(size) - size
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        count = size[which]
         total = np.concatenate([[0], np.cumsum(count)])
         ends = np.cumsum(per_text)
         counts = total[ends] - total[ends - per_text]
-        out = np.full(len(flat) + len(counts), end_id, np.int64)
-        out[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
-        return out, counts + 1
+        # The end of a text is one more word behind its own.
+        place = np.arange(len(which)) + np.repeat(np.arange(len(per_text)), per_text)
+        from_, many = np.full(len(which) + len(per_text), len(of_words)), np.ones(len(which) + len(per_text), np.int64)
+        from_[place], many[place] = begin[which], count
+        return np.append(of_words, end_id).astype(np.int32)[ranges(from_, many)], counts + 1
+
+
+#: Bytes of text whose distinct words are encoded at once.
+STEP = 1 << 23
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in larger batches of about STEP bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= STEP:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 _ROWS = "part int, seq int, n_docs long, n_ids long, image binary"
@@ -254,9 +332,9 @@ def write_segments(docs: DataFrame, definition: str, end_id: int = END_ID) -> Da
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(counts)]), pa.array([len(ids)]), pa.array([image])], names=["part", "seq", "n_docs", "n_ids", "image"])
 
         size = 0
-        for batch in batches:
+        for batch in _gathered(batches):
             length = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            for a, b in byte_slices(length):
+            for a, b in byte_slices(length, STEP):
                 own = batch.slice(a, b - a)
                 ids, counts = encoder.encode(own.column(1), end_id)
                 held.append((pc.fill_null(own.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.is_valid(own.column(0)).to_numpy(zero_copy_only=False), counts, ids))
