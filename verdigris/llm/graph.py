@@ -13,9 +13,9 @@ MAX_ROUNDS = 60
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links` (a, b); root is the component's smallest node.
 
-    Each round, every node points at the smallest root among its own and its
-    neighbours', then at that root's root (pointer jumping), so a chain of n nodes
-    takes about log n rounds.  Rounds are written to the shared folder, and links
+    Each round, every root hooks onto the smallest root that a link leads to, and the
+    trees that this makes are flattened by pointer jumping, so a chain of n nodes takes
+    about log n jumps.  What a round makes is written to the shared folder, and links
     inside one component leave the table, so later rounds are small.
     Nodes without a link are not in the result; an empty table gives an empty one.
     """
@@ -28,11 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         # Hook: each root takes the smallest root that a link leads to.
         hooks = edges.select(F.col("b").alias("node"), F.col("a").alias("lower")).groupBy("node").agg(F.min("lower").alias("lower"))
         parent = roots.select(F.col("root").alias("node")).distinct().join(hooks, "node", "left").select("node", F.coalesce("lower", "node").alias("up"))
-        # Jump twice: a hook can lead to a root that hooks on itself.
-        for _ in range(2):
-            again = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parent = parent.join(again, "up").select("node", F.col("top").alias("up"))
-        parent, parent_at = store(parent, "parents")
+        parent, parent_at = _flattened(parent)
         new_roots, new_at = store(roots.join(parent.select(F.col("node").alias("root"), "up"), "root").select("node", F.col("up").alias("root")), "roots")
         lift = lambda side: parent.select(F.col("node").alias(side), F.col("up").alias(f"{side}_up"))
         lifted = edges.join(lift("a"), "a").join(lift("b"), "b").where("a_up <> b_up")
@@ -43,3 +39,21 @@ def components(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"links still join components after {MAX_ROUNDS} rounds")
     return roots
+
+
+def _flattened(parent: DataFrame) -> tuple[DataFrame, str]:
+    """(node, up) with `up` the root of the node's tree, as a stored table and its path."""
+    spark = parent.sparkSession
+    stored, path = store(parent, "parents")
+    while True:
+        once = _jumped(stored.select("node", "up"))
+        new, new_path = store(_jumped(once.select("node", "up")), "parents")
+        drop(spark, path)
+        stored, path = new, new_path
+        if stored.where("moved").isEmpty():
+            return stored.select("node", "up"), path
+
+
+def _jumped(parent: DataFrame) -> DataFrame:
+    above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    return parent.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))

@@ -93,6 +93,7 @@ def _source_quotas(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     block = int(max(1, min(BLOCK_WORDS, sizes.sum() // LEAST_BLOCKS)))
     table["block"] = block
     table["blocks"] = sainte_lague(table.target.to_numpy(), round(int(sizes.sum()) / block), EPOCHS * -(-sizes // block))
+    table["source_key"] = table["source_key"].astype(object)  # one array, however many frames came
     yield table[["source_key", "target", "block", "blocks"]]
 
 
@@ -100,6 +101,7 @@ def _shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
     """The shards of one source (MOST_SHARDS at most): each gets its quota of blocks."""
     shards = shards.sort_values("shard", ignore_index=True)
     size, block = shards.shard_size.to_numpy(np.int64), int(shards.block.iloc[0])
+    shards["source_key"] = shards["source_key"].astype(object)
     shards["quota"] = sainte_lague(size, int(shards.blocks.iloc[0]), EPOCHS * -(-size // block))
     return shards[["source_key", "shard", "shard_size", "source_size", "target", "block", "quota"]]
 
@@ -151,5 +153,7 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.expr("(taken + draw) div size")).otherwise(F.lit(0))
     chosen = mix(docs).withColumn("draw", draw).select(F.col("doc_id").alias("mix_id"), copies.cast("int").alias("mix_copies"))
     chosen = chosen.groupBy("mix_id").agg(F.max("mix_copies").alias("mix_copies")).where("mix_copies > 0")
-    joined = docs.join(chosen, docs.doc_id.eqNullSafe(F.col("mix_id")))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[docs[c] for c in docs.columns])
+    # The row as one struct, so that no column of it can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("mix_id")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
