@@ -29,6 +29,8 @@ from verdigris.llm._shared import bounded_batches, byte_slices, held_out
 BUCKETS, DIMS, NONZERO = 1 << 15, 48, 6
 #: Words on either side that count as context.
 WINDOW = 2
+#: Words of the sample whose contexts are added up at once (bounds the driver's memory).
+STREAM_STEP = 1 << 16
 HIDDEN, STEPS, RATE, DECAY, SEED = 32, 400, 0.02, 1e-3, 42
 FEATURES = 2 * DIMS + WINDOW
 #: Labelled documents per class that the model is fitted on, and the largest of them.
@@ -91,15 +93,15 @@ def context_vectors(words: np.ndarray, shapes: np.ndarray, sizes: np.ndarray) ->
     index = index_vectors()
     out = np.zeros((BUCKETS, DIMS), np.float64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    for a in range(0, len(words), 1 << 19):  # windows of the stream, with their neighbours
-        lo, hi = max(0, a - WINDOW), min(len(words), a + (1 << 19) + WINDOW)
+    for a in range(0, len(words), STREAM_STEP):  # windows of the stream, with their neighbours
+        lo, hi = max(0, a - WINDOW), min(len(words), a + STREAM_STEP + WINDOW)
         own = index[words[lo:hi]] + index[shapes[lo:hi]]
         around = index[shapes[lo:hi]].copy()
         for step in range(1, WINDOW + 1):
             same = (doc[lo : hi - step] == doc[lo + step : hi])[:, None]
             around[:-step] += own[step:] * same
             around[step:] += own[:-step] * same
-        inner = slice(a - lo, min(a + (1 << 19), len(words)) - lo)
+        inner = slice(a - lo, min(a + STREAM_STEP, len(words)) - lo)
         for key in (words, shapes):
             k = key[lo:hi][inner]
             order = np.argsort(k, kind="stable")
