@@ -28,7 +28,6 @@ def sharpness(image: np.ndarray) -> float:
     return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * image).var())
 
 
-@F.pandas_udf("struct<brightness:double,contrast:double,sharpness:double>")
 def pixel_stats(pixels: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.DataFrame:
     """Mean and deviation of gray values, and sharpness; nulls for unreadable rows."""
     rows = []
@@ -43,7 +42,8 @@ def pixel_stats(pixels: pd.Series, height: pd.Series, width: pd.Series, channels
 
 def assess(images: DataFrame) -> DataFrame:
     """`images` (pixels, height, width, channels) with statistics (two places) and flags."""
-    measured = images.withColumn("__s", pixel_stats("pixels", "height", "width", "channels")).select("*", "__s.*").drop("__s")
+    stats = F.pandas_udf(pixel_stats, "struct<brightness:double,contrast:double,sharpness:double>")
+    measured = images.withColumn("__s", stats("pixels", "height", "width", "channels")).select("*", "__s.*").drop("__s")
     flagged = quality_flags(measured, "sharpness", "brightness", "contrast")
     return flagged.withColumns({c: F.round(c, 2) for c in ("brightness", "contrast", "sharpness")})
 
