@@ -14,6 +14,11 @@ def seeded(seed: str, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns]))
 
 
+def _number(key: Column, below: int) -> Column:
+    """A number under `below` from the first hexadecimal digits of an md5."""
+    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(below))
+
+
 def turn_pairs(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, question, gold): each user turn and the assistant's next one."""
     line = Window.partitionBy("conv_id").orderBy("turn")
@@ -32,7 +37,7 @@ def with_distractors(pairs: DataFrame, n: int = 3, buckets: int = 1024, seed: st
     Distractors are the answers next to it in a seeded ring of its bucket, so no pair
     meets all others.
     """
-    keyed = pairs.withColumn("key", seeded(seed, "conv_id", "turn")).withColumn("bucket", F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(buckets)))
+    keyed = pairs.withColumn("key", seeded(seed, "conv_id", "turn")).withColumn("bucket", _number(F.col("key"), buckets))
     ring = Window.partitionBy("bucket").orderBy("key")
     near = [F.lead("gold", i).over(ring) for i in range(1, n + 1)] + [F.lag("gold", i).over(ring) for i in range(1, n + 1)]
     others = F.slice(F.array_except(F.array_compact(F.array(*near)), F.array("gold")), 1, n)
@@ -56,7 +61,7 @@ def examples(questions: DataFrame, tasks: tuple[str, ...] = ("qa", "explain")) -
 
 def split(rows: DataFrame, keys: list[str], test: float = 0.1, select: float = 0.05, seed: str = "split") -> DataFrame:
     """`rows` with part: test, select or train by a seeded hash of the keys (disjoint)."""
-    u = F.pmod(F.crc32(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]).cast("binary")), F.lit(1_000_000)) / 1e6
+    u = _number(seeded(seed, *keys), 1_000_000) / 1e6
     return rows.withColumn("part", F.when(u < test, "test").when(u < test + select, "select").otherwise("train"))
 
 

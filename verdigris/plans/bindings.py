@@ -3,7 +3,7 @@
 G: a knowledge graph of parts, suppliers, nations, regions and brands.
 L: regions as labels, their nations as anchors.
 E: orders as items, their parts as terms.
-V: users as clips, their events as samples.
+V: a user's week as a clip, its events as samples (so no clip grows with the table).
 """
 
 from __future__ import annotations
@@ -73,10 +73,10 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of users as samples (clip_id, k, time_s, value, sharpness, blurry, duration)."""
+    """Events of a user's week as samples (clip_id, k, time_s, value, sharpness, blurry, duration)."""
     line = Window.partitionBy("clip_id")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), "event_id", seconds.alias("at"), F.abs("value").alias("value"))
+    rows = table(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")).alias("clip_id"), "event_id", seconds.alias("at"), F.abs("value").alias("value"))
     timed = rows.withColumn("k", F.row_number().over(line.orderBy("at", "event_id")) - 1).withColumn("time_s", F.col("at") - F.min("at").over(line))
     return timed.withColumn("duration", F.max("time_s").over(line)).select("clip_id", "k", "time_s", "value", F.col("value").alias("sharpness"), (F.col("value") < 2).alias("blurry"), "duration")
 
@@ -143,7 +143,7 @@ SUPPORT_SQL = COSINE_SQL + ", " + TERMS_SQL + """, signal AS (
   FROM total CROSS JOIN region LEFT JOIN hit ON hit.item_id = total.item_id AND hit.label_id = 'region_' || r_regionkey
 )"""
 SAMPLES_SQL = """sample0 AS (
-  SELECT user_id AS clip_id, event_id, epoch_us(ts) / 1e6 AS sec, abs(value) AS value FROM events
+  SELECT user_id || '/' || strftime(date_trunc('week', ts), '%Y-%m-%d') AS clip_id, event_id, epoch_us(ts) / 1e6 AS sec, abs(value) AS value FROM events
 ), samples AS (
   SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY sec, event_id) - 1 AS INTEGER) AS k,
          sec - min(sec) OVER (PARTITION BY clip_id) AS time_s, value FROM sample0

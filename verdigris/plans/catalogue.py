@@ -213,6 +213,10 @@ def facts_topk(spark, d):
 # ----------------------------------------------------------------------------- text
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in DEFAULT.stop) + ")"
+_NON_CONTENT = "(" + ", ".join(f"'{w}'" for w in DEFAULT.non_content) + ")"
+_PEOPLE = "(" + ", ".join(f"'{w}'" for w in DEFAULT.people) + ")"
+_LIGHT = "(" + ", ".join(f"'{w}'" for w in DEFAULT.light_verbs) + ")"
+_SPATIAL = f"""'\\b([a-z]+)\\s+({"|".join(sorted(DEFAULT.prepositions, key=lambda x: -len(x)))})\\s+(?:(?:{"|".join(DEFAULT.determiners)}) )?([a-z]+)'"""
 _WORDS = f"""words0 AS (
   SELECT *, list_filter(string_split(regexp_replace(regexp_replace(lower(text), '^[\\s\\-*•\\d.)]+', ''), '[^a-z0-9'']+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM source
 ), words1 AS (
@@ -276,18 +280,31 @@ def token_set(spark, d):
     return tokens.select("doc_id", F.size("t").cast("long").alias("n"), F.coalesce(F.array_max("t"), F.lit("")).alias("last"))
 
 
-@query()
+@query(f"""WITH word AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM documents), kept AS (
+  SELECT DISTINCT doc_id, x FROM word WHERE x NOT IN {_STOP} AND x NOT IN {_NON_CONTENT}
+), based AS (SELECT doc_id, x, {_LEMMA} AS base FROM kept), classed AS (
+  SELECT doc_id, base, CASE WHEN x IN {_PEOPLE} OR base IN {_PEOPLE} THEN 'people' WHEN x LIKE '%ing' THEN CASE WHEN base NOT IN {_LIGHT} THEN 'verbs' END WHEN length(x) > 2 THEN 'nouns' END AS kind FROM based
+)
+SELECT d.doc_id, (count(DISTINCT base) FILTER (kind = 'people'))::INTEGER AS people, (count(DISTINCT base) FILTER (kind = 'verbs'))::INTEGER AS verbs, (count(DISTINCT base) FILTER (kind = 'nouns'))::INTEGER AS nouns
+FROM documents d LEFT JOIN classed USING (doc_id) GROUP BY d.doc_id""")
 def extract_terms(spark, d):
     terms = _documents(spark, d).select("doc_id", T.extract_terms(F.col("text")).alias("t"))
     return terms.select("doc_id", F.size("t.people").alias("people"), F.size("t.verbs").alias("verbs"), F.size("t.nouns").alias("nouns"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT doc_id, lower(text) AS low FROM documents),
+r AS (SELECT doc_id, unnest(regexp_extract_all(low, {_SPATIAL}, 1)) AS a, unnest(regexp_extract_all(low, {_SPATIAL}, 2)) AS b, unnest(regexp_extract_all(low, {_SPATIAL}, 3)) AS c, unnest(range(len(regexp_extract_all(low, {_SPATIAL}, 1)))) AS i FROM p),
+k AS (SELECT doc_id, a || ' ' || b || ' ' || c AS rel, min(i) AS i FROM r WHERE c NOT IN {_NON_CONTENT} GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM k)
+SELECT d.doc_id, coalesce(string_agg(rel, '|' ORDER BY i) FILTER (n <= 6), '') AS relations FROM documents d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id""")
 def spatial_relations(spark, d):
     return _documents(spark, d).select("doc_id", F.array_join(T.spatial_relations(F.col("text")), "|").alias("relations"))
 
 
-@query()
+@query("""WITH flat AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\\s*(?:[-*•]|\\d+[.)])\\s+', '', 'g'), '[*_`#]+', '', 'g'), '\\s+', ' ', 'g')) AS t FROM conversations),
+cut AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS p FROM flat),
+done AS (SELECT *, list_filter(p, lambda s: regexp_matches(s, '[.!?]$')) AS e FROM cut)
+SELECT conv_id, turn, CASE WHEN len(e) > 0 THEN array_to_string(e[1:3], ' ') WHEN len(p) > 0 THEN p[1] || '…' ELSE '' END AS said FROM done""")
 def complete_sentences(spark, d):
     return B.table(spark, d, "conversations").select("conv_id", "turn", T.complete_sentences(F.col("text")).alias("said"))
 
@@ -298,17 +315,22 @@ def dedupe_ordered(spark, d):
     return lines.where("lines > 0")
 
 
-_LEXICON = """lex AS (
-  SELECT 'region_' || r_regionkey AS label_id, lower(r_name) AS word FROM region WHERE instr(lower(r_name), ' ') = 0
-)"""
+_LEXICON = f"""source AS (
+  SELECT 'region_' || r_regionkey AS label_id, 'region ' || r_regionkey AS text FROM region
+  UNION ALL SELECT 'region_' || r_regionkey, lower(r_name) FROM region UNION ALL SELECT 'region_' || n_regionkey, 'nation ' || n_nationkey FROM nation
+), {_WORDS}, base AS (SELECT label_id, unnest(list_transform(w, lambda x: {_LEMMA})) AS word FROM words),
+pair AS (SELECT DISTINCT label_id, word FROM base WHERE word NOT IN {_STOP} AND length(word) > 1),
+lexicon AS (SELECT label_id, word, count(*) OVER (PARTITION BY word) AS df FROM pair)"""
 
 
-@query()
+@query(f"WITH {_LEXICON} SELECT 'region' AS task, label_id, word, df FROM lexicon")
 def lexicon_df(spark, d):
     return labels.lexicon(B.labels(spark, d))
 
 
-@query()
+@query(f"""WITH {_LEXICON}, asked AS (SELECT n_nationkey AS item_id, unnest(['nation', n_nationkey::VARCHAR, 'region', n_regionkey::VARCHAR]) AS word FROM nation),
+token AS (SELECT DISTINCT item_id, word FROM asked WHERE length(word) > 1), n AS (SELECT item_id, count(*) AS n FROM token GROUP BY item_id)
+SELECT item_id, label_id, round(least(1.0, sum(1.0 / df) / least(any_value(n), 3)), 6) AS score FROM token JOIN n USING (item_id) JOIN lexicon USING (word) GROUP BY item_id, label_id""")
 def lexical_match(spark, d):
     texts = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("item_id"), F.lit(B.TASK).alias("task"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string"), F.lit(" of region "), F.col("n_regionkey").cast("string")).alias("text"))
     return labels.lexical_match(texts, labels.lexicon(B.labels(spark, d))).select("item_id", "label_id", F.round("score", 6).alias("score"))
@@ -440,12 +462,22 @@ def qa_pairs(spark, d):
     return qa.turn_pairs(B.table(spark, d, "conversations"))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, asked AS (SELECT conv_id, turn, question, gold, md5('distract|' || conv_id || '|' || turn) AS key FROM pairs WHERE role = 'user' AND next_role = 'assistant'),
+ring AS (SELECT *, [lead(gold, 1) OVER w, lead(gold, 2) OVER w, lead(gold, 3) OVER w, lag(gold, 1) OVER w, lag(gold, 2) OVER w, lag(gold, 3) OVER w] AS near
+  FROM asked WINDOW w AS (PARTITION BY ('0x' || key[1:8])::BIGINT % 1024 ORDER BY key)),
+other AS (SELECT conv_id, turn, key, gold, o, min(i) AS i FROM (SELECT conv_id, turn, key, gold, unnest(near) AS o, unnest(range(6)) AS i FROM ring) WHERE o IS NOT NULL AND o <> gold GROUP BY ALL),
+few AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM other),
+option AS (SELECT conv_id, turn, key, gold AS option, true AS right_ FROM asked UNION ALL SELECT conv_id, turn, key, o, false FROM few WHERE n <= 3),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY md5(key || '|' || option), option) AS place FROM option),
+listed AS (SELECT conv_id, turn, string_agg(chr((64 + place)::INTEGER) || '. ' || option, chr(10) ORDER BY place) AS lines, chr((64 + max(place) FILTER (right_))::INTEGER) AS target FROM placed GROUP BY conv_id, turn)
+SELECT a.conv_id, a.turn, 'qa' AS task, question || chr(10) || lines AS prompt, target FROM asked a JOIN listed USING (conv_id, turn)
+UNION ALL SELECT conv_id, turn, 'explain', question, CASE WHEN regexp_matches(gold, '[.!?]\\s*$') THEN trim(gold) ELSE trim(gold) || '.' END FROM asked""")
 def qa_examples(spark, d):
     return qa.examples(qa.with_distractors(qa.turn_pairs(B.table(spark, d, "conversations"))))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, u AS (SELECT ('0x' || md5('split|' || conv_id || '|' || turn)[1:8])::BIGINT % 1000000 / 1e6 AS u FROM pairs WHERE role = 'user' AND next_role = 'assistant')
+SELECT CASE WHEN u < 0.1 THEN 'test' WHEN u < 0.1 + 0.05 THEN 'select' ELSE 'train' END AS part, count(*) AS n FROM u GROUP BY 1""")
 def qa_split(spark, d):
     return qa.split(qa.turn_pairs(B.table(spark, d, "conversations")), ["conv_id", "turn"]).groupBy("part").agg(F.count("*").alias("n"))
 
