@@ -21,7 +21,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from verdigris.llm._shared import bounded_batches, byte_slices, held_out
 
@@ -181,14 +180,12 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2
     """
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality"))
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id", F.col("quality").cast("int").alias("quality"), key.alias("draw")).distinct()
-    totals = known.groupBy("quality").count()
-    share = totals.select("quality", "count", (F.lit(8.0 * per_class) / F.col("count") * (1 << 31)).alias("below"))
-    # Ids first, so that few texts leave the scan: about 8 x per_class ids of each class.
-    drawn = known.join(F.broadcast(share), "quality").where(F.col("draw").bitwiseAND(F.lit((1 << 31) - 1)) <= F.col("below"))
-    ids = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("quality").orderBy(F.col("draw"), "doc_id"))).where(F.col("rank") <= per_class).select("doc_id", "quality", "count", "rank")
+    # The rows of least hash of each class: a distributed top-k, with no task per class.
+    drawn = [known.where(F.col("quality") == c).orderBy("draw", "doc_id").limit(per_class) for c in (0, 1)]
+    ids = drawn[0].unionAll(drawn[1]).join(F.broadcast(known.groupBy("quality").count()), "quality")
     texts = docs.where(F.col("text").isNull() | (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text")
     # At most 2 x per_class ids: a proven bound for the broadcast.
-    rows = texts.join(F.broadcast(ids), "doc_id").orderBy("rank", "quality", F.sha2("text", 256)).select("text", "quality", "count").limit(4 * per_class).collect()
+    rows = texts.join(F.broadcast(ids), "doc_id").orderBy("draw", "quality", F.sha2("text", 256)).select("text", "quality", "count").limit(4 * per_class).collect()
     label = np.array([r.quality for r in rows], np.int64)
     drawn_of = np.bincount(label, minlength=2)
     weight = np.array([r["count"] / drawn_of[r.quality] for r in rows], np.float64)
