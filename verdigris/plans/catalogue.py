@@ -13,6 +13,7 @@ from verdigris.functions.vectors import bhattacharyya, fitted_size, softmax
 from verdigris.functions.vocabulary import DEFAULT
 from verdigris.operators import evidence, fusion, graph, labels, metrics, moments, qa
 from verdigris.plans import bindings as B
+from verdigris.plans.cut import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,7 +82,7 @@ def resolve_backoff(spark, d):
 
 
 def _near(spark, d):
-    return graph.neighbours(B.graph(spark, d))
+    return cut(graph.neighbours(B.graph(spark, d)))
 
 
 @query(f"WITH {B.PROFILE_SQL} SELECT term, other, round(strength, 6) AS strength FROM profile")
@@ -95,7 +96,7 @@ def negative_links(spark, d):
 
 
 def _label_profiles(spark, d):
-    profiles = graph.profile(_near(spark, d), B.RELATIONS)
+    profiles = cut(graph.profile(_near(spark, d), B.RELATIONS))
     return profiles, graph.label_profiles(labels.anchors(B.labels(spark, d)), profiles)
 
 
@@ -120,14 +121,14 @@ def key_terms_ranked(spark, d):
 
 def _support(spark, d):
     near = _near(spark, d)
-    profiles = graph.profile(near, B.RELATIONS)
-    space = B.labels(spark, d)
+    profiles = cut(graph.profile(near, B.RELATIONS))
+    space = cut(B.labels(spark, d))
     anchored = labels.anchors(space)
-    merged = graph.label_profiles(anchored, profiles)
-    terms = evidence.key_terms(B.mentions(spark, d)).withColumn("concept", F.translate("phrase", " ", "_"))
+    merged = cut(graph.label_profiles(anchored, profiles))
+    terms = cut(evidence.key_terms(B.mentions(spark, d)).withColumn("concept", F.translate("phrase", " ", "_")))
     words = evidence.keyword_hits(terms.select(F.col("concept").alias("term"), "phrase").distinct(), labels.lexicon(space))
     # "nation" is a word of every label, and "part" of none: keywords say nothing here.
-    scores = evidence.signals(profiles, anchored, graph.two_hop(profiles, merged), words, graph.negatives(near, B.RELATIONS), B.RELATIONS)
+    scores = cut(evidence.signals(profiles, anchored, graph.two_hop(profiles, merged), words, graph.negatives(near, B.RELATIONS), B.RELATIONS))
     weights = spark.createDataFrame(B.KIND_WEIGHTS, "task string, kind string, weight double")
     return evidence.label_support(terms, scores, space, weights)
 
@@ -190,6 +191,12 @@ def ambiguity_margin(spark, d):
     return _predictions(spark, d).where("rank = 1").select("item_id", F.round("margin", 4).alias("margin"))
 
 
+@query(_RANKED + " SELECT item_id, rank::INTEGER AS rank, label_id FROM ranked_p")
+def ranked_alternatives(spark, d):
+    rows = _predictions(spark, d).withColumn("probability", F.round("probability", 9))
+    return fusion.rank(rows.drop("rank", "margin", "ambiguous")).select("item_id", "rank", "label_id")
+
+
 @query()
 def result_json(spark, d):
     """Nested results of all items as JSON lines."""
@@ -200,7 +207,20 @@ def result_json(spark, d):
     return as_json(nested)
 
 
-@query()
+@query(f"""WITH {B.NEAR_SQL}, relation(rel, rel_weight) AS (VALUES {B._WEIGHTS_SQL}), {B.TERMS_SQL}, best AS (
+  SELECT term, other, rel, start, "end", weight, rel_weight FROM near JOIN relation USING (rel) WHERE weight >= 1.0 AND other <> 'nation_0' AND term <> other
+  QUALIFY row_number() OVER (PARTITION BY term, other ORDER BY rel_weight * (1 - exp(-weight)) DESC, edge_rank) = 1
+), own AS (
+  SELECT item_id, rank, replace(phrase, ' ', '_') AS term, salience FROM top_term
+), scored AS (
+  SELECT item_id, rank, rel, start, "end", weight, round(rel_weight * (1 - exp(-weight)) * 0.5 * salience, 4) AS relevance FROM own JOIN best USING (term)
+), few AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id, rank ORDER BY relevance DESC, weight DESC, rel, start, "end") AS n FROM scored
+), once AS (
+  SELECT * FROM few WHERE n <= 6 QUALIFY row_number() OVER (PARTITION BY item_id, rel, start, "end" ORDER BY rank, n) = 1
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY relevance DESC, rank, n) AS place FROM once
+) SELECT item_id, place::INTEGER AS place, rel, start, "end", relevance FROM placed WHERE place <= 40""")
 def facts_topk(spark, d):
     """The most relevant graph facts of every order."""
     profiles = graph.profile(_near(spark, d), B.RELATIONS)
@@ -315,6 +335,25 @@ def dedupe_ordered(spark, d):
     return lines.where("lines > 0")
 
 
+@query(f"""WITH word AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS x, generate_subscripts(string_split(lower(p_name), ' '), 1) AS i FROM part
+  UNION ALL SELECT p_partkey, string_split(lower(p_name), ' ')[-1] || 's', 100 FROM part),
+head AS (SELECT p_partkey, CASE WHEN i = 100 THEN 'two ' || x ELSE 'a ' || x END AS person, i, {_LEMMA} AS base FROM word),
+first AS (SELECT * FROM head QUALIFY row_number() OVER (PARTITION BY p_partkey, base ORDER BY i) = 1)
+SELECT p_partkey, string_agg(person, '|' ORDER BY i) AS people FROM first GROUP BY p_partkey""")
+def unique_people(spark, d):
+    words = F.split(F.lower("p_name"), " ")
+    people = F.concat(F.transform(words, lambda w: F.concat(F.lit("a "), w)), F.array(F.concat(F.lit("two "), F.element_at(words, -1), F.lit("s"))))
+    return B.table(spark, d, "part").select("p_partkey", F.array_join(T.unique_people(people), "|").alias("people"))
+
+
+@query("""SELECT n_nationkey AS item_id, 'Is ' || lower(n_name) || '1 near ' || lower(n_name) || '1, region' || '2 and object' || (n_regionkey + 3) || '?' AS text FROM nation""")
+def token_render(spark, d):
+    """Indices beyond the objects are rendered by their number."""
+    token = lambda text, *at: F.struct(F.lit(text).alias("text"), F.array(*at).cast("array<int>").alias("indices"))
+    tokens = F.array(token("Is"), token("", F.lit(0)), token("near"), token("", F.lit(0), F.lit(1), F.col("n_regionkey") + 2), token("?"))
+    return B.table(spark, d, "nation").select(F.col("n_nationkey").alias("item_id"), T.render_tokens(tokens, F.array(F.lower("n_name"), F.lit("region"))).alias("text"))
+
+
 _LEXICON = f"""source AS (
   SELECT 'region_' || r_regionkey AS label_id, 'region ' || r_regionkey AS text FROM region
   UNION ALL SELECT 'region_' || r_regionkey, lower(r_name) FROM region UNION ALL SELECT 'region_' || n_regionkey, 'nation ' || n_nationkey FROM nation
@@ -336,6 +375,21 @@ def lexical_match(spark, d):
     return labels.lexical_match(texts, labels.lexicon(B.labels(spark, d))).select("item_id", "label_id", F.round("score", 6).alias("score"))
 
 
+_LEXICAL = f"""WITH {_LEXICON}, asked AS (SELECT n_nationkey AS item_id, unnest(['nation', n_nationkey::VARCHAR, 'region', n_regionkey::VARCHAR]) AS word FROM nation),
+token AS (SELECT DISTINCT item_id, word FROM asked WHERE length(word) > 1), n AS (SELECT item_id, count(*) AS n FROM token GROUP BY item_id),
+lexical AS (SELECT item_id, label_id, least(1.0, sum(1.0 / df) / least(any_value(n), 3)) AS score FROM token JOIN n USING (item_id) JOIN lexicon USING (word) GROUP BY item_id, label_id)"""
+
+
+@query(_LEXICAL + """, draft AS (SELECT n_nationkey AS item_id, 'region_' || n_regionkey AS label_id, n_nationkey / 25.0 AS best FROM nation)
+SELECT item_id, label_id, round(greatest(coalesce(score, 0.0), 0.8 * coalesce(best, 0.0)), 3) AS draft FROM lexical FULL JOIN draft USING (item_id, label_id)""")
+def draft_match(spark, d):
+    nations = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("item_id"), F.lit(B.TASK).alias("task"), "n_regionkey")
+    texts = nations.select("item_id", "task", F.concat(F.lit("nation "), F.col("item_id").cast("string"), F.lit(" of region "), F.col("n_regionkey").cast("string")).alias("text"))
+    drafted = nations.select("item_id", "task", F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("label_id"), (F.col("item_id") / 25.0).alias("score"))
+    matched = evidence.draft_match(labels.lexical_match(texts, labels.lexicon(B.labels(spark, d))), drafted)
+    return matched.select("item_id", "label_id", F.round("draft", 3).alias("draft"))
+
+
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, sum(value) AS total FROM events GROUP BY 1")
 def json_props(spark, d):
     k = F.from_json("props", "k bigint")["k"]
@@ -531,3 +585,12 @@ def stream_counts(spark, d):
     """A complete-mode streaming aggregation over the events."""
     counted = _event_stream(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
     return _run(spark, counted, "stream_counts_result", "complete")
+
+
+@query("SELECT DISTINCT user_id AS job_id, event_type AS state FROM events")
+def dedup_stream(spark, d):
+    """The states that each job reached, once each, from a stream of repeated reports."""
+    from verdigris.streaming.sampler import job_states
+
+    reports = _event_stream(spark, d).select(F.col("user_id").alias("job_id"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("ts"))
+    return _run(spark, job_states(reports, "400 days").select("job_id", "state"), "dedup_stream_result", "append")

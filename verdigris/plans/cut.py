@@ -1,0 +1,25 @@
+"""Tables that several results of one analysis need, written once."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the checkpoint folder that all executors share.
+
+    Plans that build on it stay small and read only the columns they use, and a lost
+    executor costs a reread.  The folder is the session's spark.checkpoint.dir; only
+    where that is unset (as in tests) a local one is made.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="verdigris-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
