@@ -63,3 +63,33 @@ def test_required_words_miss_no_match(name, wording):
 def test_the_plan_is_native(spark, documents):
     plan = licences.scan(documents("x"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and "Arrow" not in plan
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+
+
+@pytest.mark.parametrize(
+    "text, want, n",
+    [
+        ("This project is licensed under the MIT License.", "mit", 1),
+        ("This file is released under the MIT License.", "mit", 1),
+        ("Copyright 2021 Acme Corp, all rights reserved.", "all-rights-reserved", 1),
+        ("Copyright (c) 2020 Acme\n\n" + MIT, "mit", 1),
+        ("the whole of this little program, said he, is released\nunder the MIT License and nothing else in the world", "mit", 1),
+        ("You may take it as licensed under the MIT License or, if you like that more, as licensed under the Apache License, Version 2.0, whichever it is", "apache-2.0,mit", 2),
+        ("some prose about it\nReleased under the MIT License.\nand this other part is licensed under the MIT License too", "mit", 2),
+        ("all of this is, they say, work licensed under the GNU General Public License, version 3, as is what follows below", "gpl-3.0", 1),
+        ("all rights of way were reserved by the county, under the license of 1980", "", 0),
+    ],
+)
+def test_notice_within_a_longer_sentence(spark, documents, text, want, n):
+    row = licences.scan(documents(text)).first()
+    assert (row.licences, row.n_notices) == (want, n)

@@ -6,6 +6,11 @@ t needs |A| between t / (2 - t) |B| and (2 - t) / t |B|, so a unit's size leaves
 candidate templates, and it needs a share of the template's bigrams, so every match
 holds one of a few word lists: documents and units without any are not looked at.
 
+A notice among other words of its sentence is found by windows: neighbouring bigrams
+within the same size bounds, the first and the last of them in the template.  As it is
+the best of many, a window's coefficient is to be above t.  Of windows that overlap the
+best one counts, and none that a matching unit has counted already.
+
 Everything is one expression of built-in functions: no shuffle, no Python.
 """
 
@@ -100,12 +105,16 @@ def _may_match(text: Column, lists: list[list[str]]) -> Column:
     return found
 
 
-def _bigrams(unit: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(unit, _NO_WORD, " ")), " ")
+def _words(unit: Column) -> Column:
+    return F.trim(F.regexp_replace(unit, _NO_WORD, " "))
+
+
+def _pairs(words: Column) -> Column:
+    """All bigrams of normalised words, in order."""
     pair = lambda x: F.concat_ws(" ", F.get(x, F.lit(0)), F.get(x, F.lit(1)))
     neighbours = lambda w: F.transform(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b")), lambda z: F.when(z["b"].isNotNull(), pair(F.array(z["a"], z["b"]))))
     # transform over a one-element array names the words, so they are split once.
-    return F.array_distinct(F.array_compact(F.get(F.transform(F.array(words), neighbours), F.lit(0))))
+    return F.array_compact(F.get(F.transform(F.array(F.split(words, " ")), neighbours), F.lit(0)))
 
 
 def _best(unit_bigrams: Column, table: Column) -> Column:
@@ -118,16 +127,54 @@ def _best(unit_bigrams: Column, table: Column) -> Column:
     return F.aggregate(good, F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence")), lambda a, x: F.when((x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["licence"] < a["licence"])), x).otherwise(a))
 
 
+_WINDOWS = "array<struct<loss:double,licence:string,start:int,end:int,words:string>>"
+
+
+def _windows(words: Column, pairs: Column, table: Column) -> Column:
+    """The matching windows of a sentence's bigrams that overlap no better one."""
+    t, n = float(LEAST), F.size(pairs)
+    # A match has t / (2 - t) of the template's bigrams, wherever its window is.
+    able = F.filter(table, lambda x: F.size(F.array_intersect(pairs, x["bigrams"])) * (2 - t) + 1e-9 >= x["size"] * t)
+
+    def of(x: Column) -> Column:
+        hits = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.array_contains(x["bigrams"], F.get(pairs, i)))
+        sized = lambda i, j: ((j - i + 1) * (2 - t) + 1e-9 >= x["size"] * t) & (x["size"] * (2 - t) + 1e-9 >= (j - i + 1) * t)
+        spans = lambda h: F.flatten(F.transform(h, lambda i, at: F.transform(F.filter(F.slice(h, at + 1, x["size"] * 2), lambda j: sized(i, j)), lambda j: F.struct(i.alias("start"), (j + 1).alias("end")))))
+        sets = F.transform(F.get(F.transform(F.array(hits), spans), F.lit(0)), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.array_distinct(F.slice(pairs, w["start"] + 1, w["end"] - w["start"])).alias("set")))
+        scored = F.transform(sets, lambda w: F.struct((-2.0 * F.size(F.array_intersect(w["set"], x["bigrams"])) / (F.size(w["set"]) + x["size"])).alias("loss"), x["licence"].alias("licence"), w["start"].alias("start"), w["end"].alias("end")))
+        return F.filter(scored, lambda w: w["loss"] < -t - 1e-9)
+
+    ranked = F.array_sort(F.flatten(F.transform(able, of)))
+    text = lambda w: F.array_join(F.slice(F.split(words, " "), w["start"] + 1, w["end"] - w["start"] + 1), " ")
+    spelled = F.transform(ranked, lambda w: F.struct(w["loss"].alias("loss"), w["licence"].alias("licence"), w["start"].alias("start"), w["end"].alias("end"), text(w).alias("words")))
+    return F.aggregate(spelled, F.array().cast(_WINDOWS), lambda kept, w: F.when(F.exists(kept, lambda k: (w["start"] <= k["end"]) & (k["start"] <= w["end"])), kept).otherwise(F.concat(kept, F.array(w))))
+
+
+def _embedded(words: Column, whole: Column, table: Column) -> Column:
+    """(dice, licence) of the windows of a sentence, without those of its matching units."""
+    around = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
+    within = F.filter(whole, lambda m: F.contains(around(words), around(m["words"])))
+    rest = F.aggregate(within, around(words), lambda left, m: F.replace(left, around(m["words"]), F.lit(" | ")))
+    windows = F.get(F.transform(F.array(_pairs(words)), lambda p: _windows(words, p, table)), F.lit(0))
+    new = F.filter(windows, lambda w: ~F.exists(within, lambda m: m["best"]["licence"] == w["licence"]) | F.contains(rest, around(w["words"])))
+    return F.transform(new, lambda w: F.struct((-w["loss"]).alias("dice"), w["licence"].alias("licence")))
+
+
 _NOTICES = "array<struct<dice:double,licence:string>>"
 
 
 def notices(low: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Column:
-    """The best (dice, licence) of each unit of a lower-case text that matches a notice."""
+    """The best (dice, licence) of each unit of a lower-case text that matches a notice,
+    and of each notice among other words of a sentence."""
     lists = conditions(templates)
     table = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(len(b)).alias("size"), F.array(*map(F.lit, b)).alias("bigrams")) for name, w in templates if (b := template_bigrams(w))])
     units = F.array_distinct(F.concat(F.split(low, _SENTENCE), F.split(low, _LINE), F.split(low, _PARAGRAPH)))
-    some = F.filter(units, lambda u: _may_match(u, lists))
-    return F.filter(F.transform(F.transform(some, _bigrams), lambda b: _best(b, table)), lambda m: m["dice"] > 0)
+    worded = lambda parts: F.transform(F.filter(parts, lambda u: _may_match(u, lists)), _words)
+    scored = F.transform(worded(units), lambda w: F.struct(F.get(F.transform(F.array(F.array_distinct(_pairs(w))), lambda b: _best(b, table)), F.lit(0)).alias("best"), w.alias("words")))
+    whole = F.filter(scored, lambda m: m["best"]["dice"] > 0)
+    sentences = worded(F.array_distinct(F.split(low, _SENTENCE)))
+    both = lambda m: F.concat(F.transform(m, lambda x: x["best"]), F.flatten(F.transform(sentences, lambda w: _embedded(w, m, table))))
+    return F.get(F.transform(F.array(whole), both), F.lit(0))
 
 
 def scan(docs: DataFrame) -> DataFrame:
