@@ -41,3 +41,22 @@ def test_column(spark):
     rows = main_texts(pages).orderBy("page_id").collect()
     assert [(r.text, r.n_chars) for r in rows] == [(TEXT, len(TEXT)), ("", 0), ("", 0), ("", 0)]
     assert main_texts(pages.limit(0)).count() == 0
+
+
+LINKS = "<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li><li><a href=3>Third source</a></li></ul>"
+CITED = "First source Second source Third source"
+
+
+@pytest.mark.parametrize("name", ["entry-content has-sidebar", "no-sidebar", "with-banner", "post-social", "search-content", "sidebar"])
+def test_marks_do_not_drop_the_article(name):
+    assert extract(f"<body><h1>T</h1><div class='{name}'>{BODY}</div></body>") == TEXT
+    parts = "".join(f"<div class='{name}'>{BODY}</div>" for _ in range(5))
+    if name != "sidebar":
+        assert extract(f"<body><h1>T</h1>{parts}</body>") == " ".join(["T", *[TEXT] * 5])
+
+
+def test_lists_of_links_and_forms_of_an_article():
+    assert extract(f"<body>{LINKS}<article>{BODY}{LINKS}</article></body>") == f"{TEXT} {CITED}"
+    assert extract(f"<body>{LINKS}<div>{BODY}{LINKS}</div></body>") == f"{TEXT} {CITED}"
+    assert extract(f"<body><form><div><h1>T</h1>{BODY}</div></form></body>") == f"T {TEXT}"
+    assert extract(f"<body><form>{LINKS}<div id=related-posts>Another one</div><div>{BODY}</div></form><section class=comments>{BODY * 3}</section></body>") == TEXT

@@ -1,8 +1,8 @@
 """Main text of a web page by composite text density.
 
 A page becomes a tree of elements without the parts that are never article text
-(scripts, menus, forms, adverts, reader comments, ... by tag, role, class or id).  For
-each node, characters per tag are adjusted by the share of link characters and link
+(scripts, menus, forms, adverts, reader comments, ... by tag, role, class or id; a form
+or mark that holds most of the page's text does not count).  For each node, characters per tag are adjusted by the share of link characters and link
 tags: the composite text density.  The node whose children's densities have the
 greatest sum holds the article; the least density on its path to the body is the
 threshold from which neighbours belong to it, too.  All text of that subtree, in page
@@ -47,9 +47,9 @@ _IMPLIED = {
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul dd dt".split())
 _P_SCOPE = frozenset("html body table td th button object caption article section div ul ol blockquote main aside nav header footer form".split())
 
-_NEVER = frozenset("head title script style noscript template svg nav footer aside form button select textarea input iframe object embed canvas audio video dialog menu map noframes noembed xmp".split())
+_NEVER = frozenset("head title script style noscript template svg nav footer aside button select textarea input iframe object embed canvas audio video dialog menu map noframes noembed xmp".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Parts of a class or id that mark what is no article text.
+#: Words of a class or id that mark what is no article text, if the name has no others but _BOX.
 _MARKS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion banner "
     "sidebar aside comment comments commentlist disqus respond replies cookie cookies consent gdpr notice notices notification notifications "
@@ -58,6 +58,9 @@ _MARKS = frozenset(
     "widget widgets".split()
 )
 _COMMENT_MARKS = frozenset("comment comments commentlist disqus respond replies".split())
+_BOX = frozenset("area bar box block button buttons container group holder icons inner item items left link links list outer panel posts region right row section slot text the top unit wrap wrapper".split())
+#: No mark; a mark that does not count on most of the page's text; one that always counts.
+_NO, _SOFT, _HARD = 0, 1, 2
 _FRAME_NAME = re.compile(r"(?:(?:site|page|global|main|top|bottom|web|blog)[-_]?)?(?:header|footer|head|foot)", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _MENU_LINKS, _MENU_SHARE = 3, 0.8
@@ -70,33 +73,36 @@ class _Tree:
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     end: list[int] = field(default_factory=list)
-    out: list[bool] = field(default_factory=list)  # marked as no article text
+    out: list[int] = field(default_factory=list)  # marked as no article text
+    article: list[bool] = field(default_factory=list)  # within an article or main
     text: list[tuple[int, str | None]] = field(default_factory=list)  # (node, text), None: a block's border
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> bool:
+def _marked(tag: str, attributes: str, in_article: bool) -> int:
     if tag in _NEVER or (tag == "header" and not in_article):
-        return True
+        return _HARD
+    found = _SOFT if tag == "form" else _NO
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return found
     for match in _ATTRIBUTE.finditer(attributes):
         name = match[1].lower()
         value = match[2] or match[3] or match[4] or ""
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name == "role" and value.strip().lower() in _ROLES:
-            return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & (_COMMENT_MARKS if tag == "article" else _MARKS):
-                return True
-            if not in_article and tag != "article" and any(_FRAME_NAME.fullmatch(v) for v in value.split()):
-                return True
-    return False
+            found = max(found, _SOFT)
+        elif name == "role" and value.strip().lower() in _ROLES:
+            found = max(found, _SOFT)
+        elif name in ("class", "id"):
+            for one in value.split():
+                words = {w.lower() for w in _WORD.findall(one)}
+                if words & (_COMMENT_MARKS if tag == "article" else _MARKS) and words <= _MARKS | _BOX:
+                    found = max(found, _HARD if words & _COMMENT_MARKS else _SOFT)
+                elif not in_article and tag != "article" and _FRAME_NAME.fullmatch(one):
+                    found = max(found, _SOFT)
+    return found
 
 
 def _parse(page: str) -> _Tree:
-    tree = _Tree(["#root"], [-1], [0], [False], [])
+    tree = _Tree(["#root"], [-1], [0], [_NO], [False], [])
     stack, in_article = [0], [False]
     tags, texts = tree.tag, tree.text
 
@@ -153,6 +159,7 @@ def _parse(page: str) -> _Tree:
         tree.parent.append(stack[-1])
         tree.end.append(node + 1)
         tree.out.append(_marked(name, attributes, in_article[-1]))
+        tree.article.append(in_article[-1])
         if name not in _INLINE:
             texts.append((node, None))
         if name in _RAW:
@@ -165,13 +172,20 @@ def _parse(page: str) -> _Tree:
     return tree
 
 
-def _visible(tree: _Tree) -> list[bool]:
-    """Nodes that no mark hides: a mark on what holds the page's title does not count."""
+def _visible(tree: _Tree, plain: list[int]) -> list[bool]:
+    """Nodes that no mark hides: a mark on what holds the page's title or most of its
+    text outside links (`plain` characters a node) does not count."""
     title = [i for i, tag in enumerate(tree.tag) if tag == "h1"]
+    held = plain.copy()
+    for node in range(len(tree.tag) - 1, 0, -1):
+        if tree.out[node] != _HARD:
+            held[tree.parent[node]] += held[node]
     shown = [True] * len(tree.tag)
     for node in range(1, len(tree.tag)):
-        hidden = tree.out[node]
-        if hidden and tree.tag[node] not in _NEVER and tree.tag[node] != "header" and any(node < i < tree.end[node] for i in title):
+        hidden = tree.out[node] != _NO
+        if hidden and tree.tag[node] not in _NEVER and tree.tag[node] not in ("header", "form") and any(node < i < tree.end[node] for i in title):
+            hidden = False
+        if tree.out[node] == _SOFT and 2 * held[node] > held[0]:
             hidden = False
         shown[node] = shown[tree.parent[node]] and not hidden
     return shown
@@ -182,28 +196,34 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     tree = _parse(page.replace("\0", ""))
-    n, shown = len(tree.tag), _visible(tree)
+    n = len(tree.tag)
     link = [False] * n
     chars, link_chars, tags, links = [0] * n, [0] * n, [0] * n, [0] * n
     for node in range(1, n):
         link[node] = tree.tag[node] == "a" or link[tree.parent[node]]
     pieces = [(node, None if text is None else html.unescape(text)) for node, text in tree.text]
     for node, text in pieces:
-        if text and shown[node]:
+        if text:
             size = len(" ".join(text.split()))
             chars[node] += size
             link_chars[node] += size if link[node] else 0
+    shown = _visible(tree, [c - lc for c, lc in zip(chars, link_chars, strict=True)])
+    menus = []
     for node in range(n - 1, 0, -1):
         up = tree.parent[node]
         if shown[node]:
-            # A list of links is a menu, whatever it is called.
-            if tree.tag[node] in ("ul", "ol", "div", "table") and links[node] >= _MENU_LINKS and link_chars[node] >= _MENU_SHARE * chars[node]:
+            # A list of links outside an article is a menu, whatever it is called.
+            if not tree.article[node] and tree.tag[node] in ("ul", "ol", "div", "table") and links[node] >= _MENU_LINKS and link_chars[node] >= _MENU_SHARE * chars[node]:
                 shown[node] = False
+                menus.append(node)
                 continue
             chars[up] += chars[node]
             link_chars[up] += link_chars[node]
             tags[up] += tags[node] + 1
             links[up] += links[node] + (tree.tag[node] == "a")
+    unlisted = shown.copy()
+    for node in menus:
+        unlisted[node] = True
     for node in range(1, n):
         shown[node] = shown[node] and shown[tree.parent[node]]
 
@@ -224,6 +244,9 @@ def extract(page: str | None) -> str:
     best = max(inside, key=lambda i: (total[i], -i), default=0)
     if total[best] <= 0:
         best = body
+    if best != body:  # lists of links beside the paragraphs of the densest part are its sources
+        for node in range(best + 1, tree.end[best]):
+            shown[node] = shown[tree.parent[node]] and unlisted[node]
 
     threshold, node = density[best], best
     while node != body and tree.parent[node] >= 0:
