@@ -64,3 +64,14 @@ def test_context_vectors_do_not_depend_on_the_step(monkeypatch):
     want = quality.context_vectors(words, shapes, sizes)
     monkeypatch.setattr(quality, "STREAM_STEP", 4)
     assert np.allclose(quality.context_vectors(words, shapes, sizes), want, atol=1e-5)
+
+
+def test_word_vectors_cover_all_documents(spark, documents):
+    rows, labels = corpus(60)
+    more = [(1000 + i, f"quokka{i % 3} jumps over wombat{i % 5} again") for i in range(40)]
+    docs = documents(*rows, *more, (2000, None))
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), per_class=5)
+    words, _, _ = quality.tokens(pa.array(["quokka0 quokka1 quokka2 wombat4"]))
+    assert model.words[words].any(axis=1).all()
+    want = quality.context_vectors(*quality.tokens(pa.array([r[1] for r in [*rows, *more]])))
+    assert np.array_equal(model.words, want)

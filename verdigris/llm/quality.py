@@ -2,7 +2,7 @@
 
 Every word and every word shape (``Oning.!!`` has shape ``Aa.!``) has a sparse
 ternary index vector drawn from a fixed seed.  A word's context vector is the sum
-of the index vectors around it over the training sample; a document is the mean of
+of the index vectors around it over all documents; a document is the mean of
 its words' and its shapes' unit context vectors, with the share of words whose
 neighbours carry their own index vector (a text that repeats itself).  A network with one hidden layer,
 trained in numpy, gives a logit, and a temperature fitted on held-back sample rows
@@ -13,7 +13,9 @@ Words are hashed into a fixed number of rows, so the model has a fixed size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from verdigris.llm._shared import bounded_batches, byte_slices, held_out
 BUCKETS, DIMS, NONZERO = 1 << 15, 48, 6
 #: Words on either side that count as context.
 WINDOW = 2
-#: Words of the sample whose contexts are added up at once (bounds the driver's memory).
+#: Words whose contexts are added up at once (bounds memory).
 STREAM_STEP = 1 << 16
 HIDDEN, STEPS, RATE, DECAY, SEED = 32, 400, 0.02, 1e-3, 42
 FEATURES = 2 * DIMS + WINDOW
@@ -50,6 +52,7 @@ class QualityModel:
     temperature: float
 
 
+@cache
 def index_vectors() -> np.ndarray:
     """Sparse ternary vectors of all buckets, the same in every process."""
     rng = np.random.default_rng(SEED)
@@ -87,8 +90,8 @@ def _segment_mean(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def context_vectors(words: np.ndarray, shapes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Unit context vectors of all buckets, from documents laid end to end."""
+def context_sums(words: np.ndarray, shapes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of context of all buckets (whole numbers), from documents laid end to end."""
     index = index_vectors()
     out = np.zeros((BUCKETS, DIMS), np.float64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -106,7 +109,44 @@ def context_vectors(words: np.ndarray, shapes: np.ndarray, sizes: np.ndarray) ->
             order = np.argsort(k, kind="stable")
             heads, starts = np.unique(k[order], return_index=True)
             out[heads] += np.add.reduceat(around[inner][order], starts, axis=0)
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    return out
+
+
+def _unit(sums: np.ndarray) -> np.ndarray:
+    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def context_vectors(words: np.ndarray, shapes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Unit context vectors of all buckets, from documents laid end to end."""
+    return _unit(context_sums(words, shapes, sizes))
+
+
+def corpus_vectors(docs: DataFrame) -> np.ndarray:
+    """Unit context vectors of all buckets, from the text of every row of `docs`.
+
+    Each task adds up its rows and hands on one row a bucket; the driver gets BUCKETS
+    rows of DIMS whole numbers, however many documents there are.
+    """
+    bounded_batches(docs.sparkSession)
+    names = [f"d{i}" for i in range(DIMS)]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS, DIMS), np.float64)
+        for batch in batches:
+            text = batch.column(0)
+            for a, b in byte_slices(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)):
+                total += context_sums(*tokens(text[a:b]))
+        used = np.flatnonzero(total.any(axis=1))
+        for a in range(0, len(used), 4096):
+            rows = used[a : a + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *[pa.array(x) for x in total[rows].T.astype(np.int64)]], names=["bucket", *names])
+
+    parts = docs.select("text").mapInArrow(sums, ", ".join(["bucket int", *[f"{n} long" for n in names]]))
+    table = parts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    out = np.zeros((BUCKETS, DIMS), np.float64)
+    if table.num_rows:
+        out[table["bucket"].to_numpy()] = np.stack([table[n].to_numpy() for n in names], 1)
+    return _unit(out)
 
 
 def _echo(words: np.ndarray, sizes: np.ndarray, lag: int) -> np.ndarray:
@@ -137,11 +177,9 @@ def probability(model: QualityModel, text: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def train(text: pa.Array, label: np.ndarray, weight: np.ndarray) -> QualityModel:
-    """Fit vectors, network and temperature; every fifth row only sets the temperature."""
+def train(text: pa.Array, label: np.ndarray, weight: np.ndarray, vectors: np.ndarray) -> QualityModel:
+    """Fit network and temperature; every fifth row only sets the temperature."""
     rng = np.random.default_rng(SEED)
-    words, shapes, sizes = tokens(text)
-    vectors = context_vectors(words, shapes, sizes)
     x = pooled(vectors, text)
     y, weight = label.astype(np.float64), weight / max(weight.mean(), 1e-12) if len(weight) else weight
     mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
@@ -172,7 +210,7 @@ def train(text: pa.Array, label: np.ndarray, weight: np.ndarray) -> QualityModel
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
-    """Fit on a sample of the labelled rows of `docs` (doc_id, text).
+    """Word vectors of all rows of `docs` (doc_id, text), the rest from a sample of labelled ones.
 
     Only label rows with quality 0 or 1 and crc32(doc_id) mod `modulus` other than
     `remainder` are learned from: `per_class` of each at most, those of least hash
@@ -189,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2
     label = np.array([r.quality for r in rows], np.int64)
     drawn_of = np.bincount(label, minlength=2)
     weight = np.array([r["count"] / drawn_of[r.quality] for r in rows], np.float64)
-    return train(pa.array([r.text or "" for r in rows], pa.string()), label, weight)
+    return train(pa.array([r.text or "" for r in rows], pa.string()), label, weight, corpus_vectors(docs))
 
 
 def quality_of(spark: SparkSession, model: QualityModel) -> Column:
