@@ -53,3 +53,14 @@ def test_held_out_accuracy_on_generated_text(spark, documents):
     docs = documents(*rows)
     got = langid.identify(docs, langid.fit(docs)).where(langid.held_out(F.col("doc_id"), 5, 0))
     assert got.where(F.col("language.lang_pred") != F.col("lang")).count() == 0
+
+
+def test_all_contexts_of_all_languages_count():
+    rng = np.random.default_rng(3)
+    texts = {lang: ["".join(map(chr, rng.integers(first, first + 26, n)))] for lang, first, n in (("common", 97, 20000), ("rare", 1072, 150))}
+    model = langid.train(texts)
+    assert len(model.escape) > 9000
+    probes = [texts["rare"][0][:60], texts["common"][0][:60], "qzj аб", "漢"]
+    bits, _ = langid.code_lengths(model, probes)
+    want = [[langid.brute_bits(texts[lang], p) for lang in model.langs] for p in probes]
+    assert np.allclose(bits, want, rtol=1e-5)

@@ -8,7 +8,8 @@ distinct)) and is then coded in the next shorter context.  The language with the
 shortest code wins.
 
 Frozen trees of all languages are merged into one automaton, so a batch of texts
-is scored by two table look-ups a byte, for all languages at once.
+is scored by table look-ups for all languages at once.  Of the deepest contexts, which
+are many, only the symbols met are kept, under sorted keys.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from verdigris.llm._shared import BYTES_PER_STEP, bounded_batches, byte_slices,
 
 #: Bytes of context at most.
 ORDER = 3
-#: Contexts of the deepest order that the automaton keeps, most frequent first.
-MAX_STATES = 6000
 #: Labelled texts per language that the trees are counted on, and the largest of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 256, 1 << 16
 #: Bytes that count as evidence in the score: the posterior of a longer text is
@@ -41,12 +40,16 @@ RESULT = "lang_pred string, score double, bits_per_byte double"
 
 @dataclass
 class PpmModel:
-    """Frozen statistics: `cost[state, symbol, language]` in bits."""
+    """Frozen statistics: bits of a symbol in each language, in all contexts that were counted."""
 
     langs: list[str]
     symbol: np.ndarray  # byte -> symbol; 0 stands for every byte not in the sample
-    state: np.ndarray  # three symbols, as a number -> deepest kept context
-    cost: np.ndarray
+    state: np.ndarray  # two symbols, as a number -> context of at most two
+    cost: np.ndarray  # (state, symbol, language)
+    deep: np.ndarray  # three symbols, as a number -> deepest context, or -1
+    keys: np.ndarray  # deepest context and symbol that any language has, as a number, sorted
+    met: np.ndarray  # (key, language): bits of the symbol
+    escape: np.ndarray  # (deepest context, language): bits to add to the shorter context's
 
     @property
     def width(self) -> int:
@@ -68,15 +71,17 @@ def train(texts: dict[str, list[str]]) -> PpmModel:
     k = len(seen) + 1
     streams = {lang: symbol[data] for lang, data in raw.items()}
 
-    # The deepest contexts that any language has, most frequent first; ties by context.
     every = np.concatenate([(s[:-3] * k + s[1:-2]) * k + s[2:-1] for s in streams.values()] or [np.zeros(0, np.int64)])
-    deep, uses = np.unique(every, return_counts=True)
-    deep = np.sort(deep[np.argsort(-uses, kind="stable")[:MAX_STATES]])
+    deep = np.unique(every)
+    pairs = {lang: _rank(deep, (s[:-3] * k + s[1:-2]) * k + s[2:-1]) * k + s[ORDER:] for lang, s in streams.items()}
+    keys = np.unique(np.concatenate([*pairs.values(), np.zeros(0, np.int64)]))
+    owner = keys // k
     middle = np.unique(np.concatenate([s[:-2] * k + s[1:-1] for s in streams.values()] or [np.zeros(0, np.int64)]))
-    row = {1: 1 + np.arange(k), 2: 1 + k + np.arange(len(middle)), 3: 1 + k + len(middle) + np.arange(len(deep))}
-    n_states = 1 + k + len(middle) + len(deep)
+    row = {1: 1 + np.arange(k), 2: 1 + k + np.arange(len(middle))}
+    n_states = 1 + k + len(middle)
 
     cost = np.empty((n_states, k, len(langs)), np.float32)
+    met, escape = np.empty((len(keys), len(langs)), np.float32), np.empty((len(deep), len(langs)), np.float32)
     for column, lang in enumerate(langs):
         s = streams[lang]
         counts = np.bincount(s[ORDER:], minlength=k).astype(np.float64)
@@ -85,16 +90,20 @@ def train(texts: dict[str, list[str]]) -> PpmModel:
         p1 = _blend(s[2:-1], s[ORDER:], k, np.broadcast_to(p0, (k, k)))
         m = _rank(middle, s[1:-2] * k + s[2:-1])
         p2 = _blend(m, s[ORDER:], k, p1[middle % k])
-        d = _rank(deep, (s[:-3] * k + s[1:-2]) * k + s[2:-1])
-        p3 = _blend(d, s[ORDER:], k, _lower(deep % (k * k), middle, p2, p1, k))
-        cost[:, :, column] = -np.log2(np.concatenate([p0[None], p1, p2, p3]))
-
-    state = np.broadcast_to(row[1], (k * k, k)).reshape(-1).astype(np.int32)  # by the last symbol
-    two = np.full(k * k, -1, np.int32)
-    two[middle] = row[2]
-    state = np.where(np.tile(two, k) >= 0, np.tile(two, k), state)
-    state[deep] = row[3]
-    return PpmModel(langs, symbol.astype(np.int32), state, cost)
+        cost[:, :, column] = -np.log2(np.concatenate([p0[None], p1, p2]))
+        counts = np.bincount(_rank(keys, pairs[lang]), minlength=len(keys)).astype(np.float64)
+        total, distinct = np.bincount(owner, counts, len(deep)), np.bincount(owner, counts > 0, len(deep))
+        whole = np.maximum(total + distinct, 1)
+        free = np.where(total > 0, distinct / whole, 1.0)
+        shorter = p2[_rank(middle, deep[owner] % (k * k)), keys % k]
+        met[:, column] = -np.log2(np.where(counts > 0, counts / whole[owner], free[owner] * shorter))
+        escape[:, column] = -np.log2(free)
+
+    state = np.tile(row[1], k).astype(np.int32)  # by the last symbol
+    state[middle] = row[2]
+    place = np.full(k**3, -1, np.int32)
+    place[deep] = np.arange(len(deep))
+    return PpmModel(langs, symbol.astype(np.int32), state, cost, place, keys, met, escape)
 
 
 def _rank(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -103,11 +112,6 @@ def _rank(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == values, at, -1) if len(keys) else np.full(len(values), -1)
 
 
-def _lower(pairs: np.ndarray, middle: np.ndarray, p2: np.ndarray, p1: np.ndarray, k: int) -> np.ndarray:
-    at = _rank(middle, pairs)
-    return np.where((at >= 0)[:, None], p2[np.maximum(at, 0)] if len(p2) else p1[pairs % k], p1[pairs % k])
-
-
 def _blend(context: np.ndarray, nxt: np.ndarray, k: int, shorter: np.ndarray) -> np.ndarray:
     """PPM-C probabilities of each context over the distribution of the shorter one."""
     known = context >= 0
@@ -129,7 +133,13 @@ def code_lengths(model: PpmModel, texts: list[str]) -> tuple[np.ndarray, np.ndar
         starts = ORDER + np.cumsum(np.concatenate([[0], sizes[a:b] + ORDER]))[:-1]
         for w in range(ORDER, len(data), BYTES_PER_STEP):
             s = model.symbol[data[w - ORDER : w + BYTES_PER_STEP]]
-            cost = model.cost[model.state[(s[:-3] * k + s[1:-2]) * k + s[2:-1]], s[3:]]
+            two = s[1:-2] * k + s[2:-1]
+            cost = model.cost[model.state[two], s[3:]]
+            deep = model.deep[s[:-3] * (k * k) + two].astype(np.int64)
+            at = _rank(model.keys, deep * k + s[3:])
+            met, left = np.flatnonzero((deep >= 0) & (at >= 0)), np.flatnonzero((deep >= 0) & (at < 0))
+            cost[met] = model.met[at[met]]
+            cost[left] += model.escape[deep[left]]
             lo = np.clip(starts - w, 0, len(cost))
             hi = np.clip(starts + sizes[a:b] - w, 0, len(cost))
             own = np.flatnonzero(hi > lo)
@@ -162,11 +172,11 @@ def fit(docs: DataFrame, modulus: int = 5, remainder: int = 0, sample_docs: int
     `modulus` other than `remainder` are learned from, `sample_docs` per language
     at most, those of least hash; so the same rows give the same model.
     """
-    mine = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id", "lang", "text")
+    mine = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & ~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id", "lang", "text")
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")).bitwiseAND(F.lit((1 << 31) - 1))
     # One narrow pass counts the rows of each language; then few texts leave the scan.
     share = mine.groupBy("lang").count().select("lang", (F.lit(4.0 * sample_docs) / F.col("count") * (1 << 31)).alias("below"))
-    picked = mine.join(F.broadcast(share), "lang").where((draw <= F.col("below")) & (F.octet_length("text") <= SAMPLE_BYTES))
+    picked = mine.join(F.broadcast(share), "lang").where(draw <= F.col("below"))
     ranked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", F.sha2("text", 256))))
     texts: dict[str, list[str]] = {}
     for row in ranked.where(F.col("rank") <= sample_docs).orderBy("lang", "rank").select("lang", "text").collect():
