@@ -68,3 +68,33 @@ def test_columns(spark, documents):
     assert [r.text for r in back] == ["a cat", "", "", "x" * 5000, "tail  spaces  "]
     assert [r.ids for r in back] == [LIBRARY.encode(t) for t in ["a cat", "", "", "x" * 5000, "tail  spaces  "]]
     assert docs.limit(0).select(pieces.encoder(spark, MODEL)("text")).count() == 0
+
+
+def test_a_memory_belongs_to_its_model():
+    rows = [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+    one = pieces.from_pieces([*rows, ("▁", -1.0, 1), ("a", -2.0, 1), ("b", -3.0, 1)], bpe=False)
+    two = pieces.from_pieces([*rows, ("b", -3.0, 1), ("a", -2.0, 1), ("▁", -1.0, 1)], bpe=False)
+    for model, ids in ((one, [256, 257, 258]), (two, [258, 257, 256])):
+        assert parts(model, ["ab"]) == [ids] and parts(model, ["ab"]) == [ids]
+    count = len(pieces._MEMORY)
+    del model, one, two
+    assert len(pieces._MEMORY) == count - 2
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="日本語の文章は空白なしで続く。ไทยภาษา", min_size=40, max_size=200), min_size=1, max_size=4))
+def test_scripts_without_spaces(texts):
+    assert parts(MODEL, texts) == [LIBRARY.encode(t) for t in texts]
+
+
+@pytest.mark.parametrize("bpe", [False, True])
+def test_equal_hashes_do_no_harm(monkeypatch, bpe):
+    rows = [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] + [(p, -float(i), 1) for i, p in enumerate(("▁", "a", "b", "c", "ab", "bc", "▁a"))]
+    model = pieces.from_pieces(rows, bpe)
+    texts = ["abc", "ab c", "cab", "dab abd", "d" * 60, "bca" * 30]
+    want = parts(model, texts)
+    pieces._MEMORY.clear()
+    real = pieces._mixed
+    # From now on "c" and "d" hash like "b": other words and pieces answer to their hashes.
+    monkeypatch.setattr(pieces, "_mixed", lambda codes: real(np.where(np.isin(codes, [ord("c"), ord("d")]), ord("b"), codes)))
+    assert parts(model, texts) == want and parts(model, texts[::-1]) == want[::-1]

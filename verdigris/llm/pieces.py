@@ -4,7 +4,14 @@ A text is split before each run of the space mark (no piece holds one after anot
 character), so its segmentation is that of its words.  The distinct words of a batch
 are sorted by length; words of equal length advance together: at every end position,
 the hashes of all substrings ending there probe the sorted hashes of the pieces, and
-a vectorised maximum keeps score and backpointer of every word.
+a vectorised maximum keeps score and backpointer of every word.  A long word (a text in
+a script without spaces) is first cut wherever no piece holds its two neighbours, which
+changes no segmentation; what no such cut shortens is searched alone.  Hashes only
+propose: the characters of words and pieces are compared as well.
+
+Of equal scores the longest last piece wins.  Null and empty texts have no ids; equal
+texts have equal ids, and repeated rows stay.  The functions take one column, so other
+columns of a table do not matter, whatever their names.
 
 For a unigram model the maximum is over total scores.  A BPE model's encoding is no
 maximum of a sum, but it is a path as well: every prefix of it is the encoding of the
@@ -16,8 +23,7 @@ give the library's ids.  A character without a piece becomes its UTF-8 byte piec
 
 from __future__ import annotations
 
-import functools
-import heapq
+import weakref
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +34,8 @@ from pyspark.sql import functions as F
 from verdigris.llm._shared import bounded_batches, byte_slices, ranges
 
 SPACE = "▁"
-#: Words beyond this length are searched one at a time, with all their probes at once.
+#: Words beyond this length are cut where no piece can cross, and those that stay longer
+#: are searched one at a time, with all their probes at once.
 LONG_WORD = 48
 #: Bytes of text that are encoded at once.
 STEP = 1 << 21
@@ -36,11 +43,14 @@ STEP = 1 << 21
 UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BEGINNING = 20  # bits of a hash that sort out most substrings before the sorted keys are probed
+_NEIGHBOURS = 20  # bits of the table of characters that stand together in some piece
 
 
-@dataclass
+@dataclass(eq=False)
 class PieceModel:
     keys: np.ndarray  # sorted hashes of the pieces
+    begun: np.ndarray  # by the first bits of a hash: whether a key begins so
     ids: np.ndarray  # piece id of each key
     scores: np.ndarray  # score of each key
     longest: int
@@ -48,6 +58,9 @@ class PieceModel:
     byte_ids: np.ndarray  # id of each byte's piece
     spelling: np.ndarray  # the bytes of all pieces, end to end
     spelled: np.ndarray  # offsets into `spelling`
+    points: np.ndarray  # the characters of all pieces that a search can give, end to end
+    pointed: np.ndarray  # offsets into `points`
+    together: np.ndarray  # by the mix of two characters: whether a piece may hold both, side by side
     space: int  # id of the lone space mark
     runs: list[list[int]]  # BPE: the pieces of a run of n space marks, n up to the longest
     bpe: bool = False
@@ -81,6 +94,11 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Place of two neighbouring characters in the table `together`."""
+    return ((left.astype(np.uint64) * np.uint64(0x9E3779B1) + right) * _BASE >> np.uint64(64 - _NEIGHBOURS)).astype(np.int64)
+
+
 def load(path: str) -> PieceModel:
     """Read pieces, scores and kind from a SentencePiece model file with byte pieces."""
     from sentencepiece import sentencepiece_model_pb2
@@ -133,13 +151,22 @@ def from_pieces(table: list[tuple[str, float, int]], bpe: bool) -> PieceModel:
         rank[number] = order[piece] if len(piece) > 1 else -1
     pairs = sorted((known[p[:i]] * len(table) + known[p[i:]], order[p]) for p in usable for i in range(1, len(p)) if p[:i] in usable and p[i:] in usable) if bpe else []
     names = list(usable)
+    shown = [""] * len(table)
+    for piece, number in usable.items():
+        shown[number] = piece
+    together = np.zeros(1 << _NEIGHBOURS, bool)
+    inner = _codes("\0".join(known))
+    together[_slot(inner[:-1], inner[1:])] = True
     keys = np.array([_sums(_codes(p))[-1] for p in names], np.uint64)
     if len(np.unique(keys)) != len(keys):
         raise ValueError("two pieces have one hash")
     by_key = np.argsort(keys)
+    begun = np.zeros(1 << _BEGINNING, bool)
+    begun[keys >> np.uint64(64 - _BEGINNING)] = True
     return PieceModel(
-        keys[by_key], np.array([usable[p] for p in names], np.int32)[by_key], np.array([score[p] for p in names])[by_key], max(map(len, names)), least - UNKNOWN_PENALTY, byte_ids,
-        np.frombuffer(b"".join(spelling), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in spelling])]), known.get(SPACE, -1), runs, bpe,
+        keys[by_key], begun, np.array([usable[p] for p in names], np.int32)[by_key], np.array([score[p] for p in names])[by_key], max(map(len, names)), least - UNKNOWN_PENALTY, byte_ids,
+        np.frombuffer(b"".join(spelling), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in spelling])]),
+        _codes("".join(shown)), np.concatenate([[0], np.cumsum([len(p) for p in shown])]), together, known.get(SPACE, -1), runs, bpe,
         rank, parts, np.array([p for p, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64),
     )
 
@@ -186,8 +213,12 @@ def fits(model: PieceModel, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def _probe(model: PieceModel, hashes: np.ndarray) -> np.ndarray:
     """Row of each hash among the keys, or -1."""
-    at = np.minimum(np.searchsorted(model.keys, hashes), len(model.keys) - 1)
-    return np.where(model.keys[at] == hashes, at, -1)
+    row = np.full(hashes.shape, -1)
+    likely = model.begun[hashes >> np.uint64(64 - _BEGINNING)]
+    some = hashes[likely]
+    at = np.minimum(np.searchsorted(model.keys, some), len(model.keys) - 1)
+    row[likely] = np.where(model.keys[at] == some, at, -1)
+    return row
 
 
 def _together(model: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,19 +291,86 @@ def _fit(model: PieceModel, seen: dict[tuple[int, int], bool], left: int, right:
     return seen[left, right]
 
 
-def _distinct(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place and number of each distinct word; long words are all distinct."""
-    short, long = np.flatnonzero(lengths <= LONG_WORD), np.flatnonzero(lengths > LONG_WORD)
+def _spelt(model: PieceModel, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of tokens end to end, and how many each has."""
+    size = np.where(tokens < 0, 1, np.diff(model.pointed)[tokens])
+    at = np.where(tokens < 0, 0, model.pointed[tokens])
+    out = model.points[ranges(at, size)]
+    bare = tokens < 0
+    out[(np.cumsum(size) - size)[bare]] = -1 - tokens[bare]
+    return out, size
+
+
+def _plainly(model: PieceModel, codes: np.ndarray) -> np.ndarray:
+    """Best segmentation by spelling, for the rare words that hashes mislead."""
+    text = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    spelling = {model.points[model.pointed[i] : model.pointed[i + 1]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"): (i, s) for i, s in zip(model.ids.tolist(), model.scores.tolist(), strict=True)}
+    if model.bpe:
+        parts = _merge(text, {p: -float(model.rank[i]) for p, (i, _) in spelling.items() if len(p) > 1})[0]
+    else:
+        best: list[tuple[float, list[str]]] = [(0.0, [])]
+        for end in range(1, len(text) + 1):
+            options = [(best[a][0] + spelling[text[a:end]][1], best[a][1] + [text[a:end]]) for a in range(max(0, end - model.longest), end) if text[a:end] in spelling]
+            if text[end - 1] not in spelling:
+                options.append((best[end - 1][0] + model.unknown, best[end - 1][1] + [text[end - 1]]))
+            best.append(max(options, key=lambda o: o[0]))
+        parts = best[-1][1]
+    return np.array([spelling[p][0] if p in spelling else -1 - ord(p) for p in parts], np.int64)
+
+
+def _checked(model: PieceModel, codes: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' tokens, after a comparison with the words (rows of equal length)."""
+    spelt, size = _spelt(model, tokens)
+    ends = np.cumsum(counts)
+    whole = np.concatenate([[0], np.cumsum(size)])
+    good = whole[ends] - whole[ends - counts] == codes.shape[1]
+    if good.all():
+        good = (spelt.reshape(codes.shape) == codes).all(1)
+        if good.all():
+            return tokens, counts
+    parts = [tokens[e - c : e] if g else _plainly(model, w) for e, c, g, w in zip(ends, counts, good, codes, strict=True)]
+    return np.concatenate(parts), np.array([len(p) for p in parts])
+
+
+def _distinct(codes: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """First place and number of each distinct word, and how many of them may be remembered.
+
+    Long words are all distinct, and so are those that only share their hash with the
+    first word of it.
+    """
+    short, apart = np.flatnonzero(length <= LONG_WORD), np.flatnonzero(length > LONG_WORD)
     _, first, inverse = np.unique(hashes[short], return_index=True, return_inverse=True)
+    first = short[first]
     number = np.empty(len(hashes), np.int64)
-    number[short], number[long] = inverse, len(first) + np.arange(len(long))
-    return np.concatenate([short[first], long]), number
+    number[short] = inverse
+    like = first[inverse]
+    same = length[short] == length[like]
+    size = np.where(same, length[short], 0)
+    differs = codes[ranges(start[short], size)] != codes[ranges(start[like], size)]
+    if differs.any() or not same.all():
+        same &= np.bincount(np.repeat(np.arange(len(short)), size), differs, len(short)) == 0
+        apart = np.concatenate([apart, short[~same]])
+    number[apart] = len(first) + np.arange(len(apart))
+    return np.concatenate([first, apart]), number, len(first)
 
 
-#: Words of the most recent batches and their tokens, by model: a bounded memory of
-#: each worker, which spares it the search for words that come again.
-_MEMORY: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-MEMORY_WORDS = 1 << 18
+@dataclass
+class _Memory:
+    """Words of recent batches and their tokens."""
+
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted
+    ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # offsets into `tokens`
+    tokens: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    spelt: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # offsets into `codes`
+    codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+
+
+#: A bounded memory of each worker for each living model, which spares it the search for
+#: words that come again.
+_MEMORY: weakref.WeakKeyDictionary[PieceModel, _Memory] = weakref.WeakKeyDictionary()
+MEMORY_WORDS = 1 << 19
+#: A batch with fewer new words than this share of the remembered ones adds none.
+MEMORY_GROWS = 1 / 64
 
 
 def encode(model: PieceModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -286,6 +384,12 @@ def encode(model: PieceModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     begins = is_space & ~np.concatenate([[False], is_space[:-1]])
     begins[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
     start = np.flatnonzero(begins)
+    length = np.diff(np.append(start, len(codes)))
+    inner = ranges(start[length > LONG_WORD] + 1, length[length > LONG_WORD] - 1)
+    if len(inner):
+        inner = inner[~is_space[inner] & ~is_space[inner - 1]]
+        begins[inner[~model.together[_slot(codes[inner - 1], codes[inner])]]] = True
+        start = np.flatnonzero(begins)
     owner = np.searchsorted(np.cumsum(sizes), start, side="right")
     length = np.diff(np.append(start, len(codes)))
     extra = np.zeros(len(start), np.int64)
@@ -327,11 +431,17 @@ def _words(model: PieceModel, codes: np.ndarray, start: np.ndarray, length: np.n
     """Tokens of the distinct words, and where each word's begin and how many they are."""
     sums = _sums(codes)
     hashes = (sums[start + length] - sums[start]) * _powers(_INVERSE, len(codes) + 1)[start]
-    first, number = _distinct(hashes, length)
+    first, number, keepable = _distinct(codes, start, length, hashes)
     own, size = hashes[first], length[first]
-    past_keys, past_ends, past_flat = _MEMORY.get(id(model), (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)))
-    at = np.minimum(np.searchsorted(past_keys, own), max(len(past_keys) - 1, 0))
-    old = (past_keys[at] == own) & (size <= LONG_WORD) if len(past_keys) else np.zeros(len(own), bool)
+    past = _MEMORY.get(model) or _Memory()
+    at = np.minimum(np.searchsorted(past.keys, own), max(len(past.keys) - 1, 0))
+    old = np.zeros(len(own), bool)
+    if len(past.keys):
+        old[:keepable] = (past.keys[at] == own)[:keepable] & (np.diff(past.spelt)[at] == size)[:keepable]
+        hit = np.flatnonzero(old)
+        differs = codes[ranges(start[first[hit]], size[hit])] != past.codes[ranges(past.spelt[at[hit]], size[hit])]
+        if differs.any():
+            old[hit[np.unique(np.repeat(np.arange(len(hit)), size[hit])[differs])]] = False
     new = np.flatnonzero(~old)
 
     order = new[np.argsort(size[new], kind="stable")]
@@ -341,33 +451,40 @@ def _words(model: PieceModel, codes: np.ndarray, start: np.ndarray, length: np.n
         n = int(size[order[a]])
         if n > LONG_WORD:
             for w in order[a:b]:
-                tokens.append(_alone(model, codes[start[first[w]] : start[first[w]] + n]))
-                counts[w] = len(tokens[-1])
+                word = codes[start[first[w]] : start[first[w]] + n]
+                alone = _alone(model, word)
+                got, many = _checked(model, word[None], alone, np.array([len(alone)]))
+                tokens.append(got)
+                counts[w] = many[0]
         elif n:
             for c in range(a, b, 1 << 14):
                 part = order[c : min(b, c + (1 << 14))]
-                got, many = _together(model, codes[start[first[part]][:, None] + np.arange(n)])
+                words = codes[start[first[part]][:, None] + np.arange(n)]
+                got, many = _checked(model, words, *_together(model, words))
                 tokens.append(got)
                 counts[part] = many
     flat, counts[order] = _with_bytes(model, np.concatenate(tokens), counts[order])
     begin = np.zeros(len(first), np.int64)
     begin[order] = np.cumsum(counts[order]) - counts[order]
-    counts[old] = np.diff(past_ends)[at[old]]
-    begin[old] = len(flat) + past_ends[at[old]]
-    both = np.concatenate([flat, past_flat])
-
-    if len(new):
-        kept = np.flatnonzero(size <= LONG_WORD)
-        if len(past_keys) + len(new) <= MEMORY_WORDS:  # else start anew from this batch
-            stale = np.flatnonzero(~np.isin(past_keys, own))
-            key = np.concatenate([own[kept], past_keys[stale]])
-            where = np.concatenate([begin[kept], len(flat) + past_ends[stale]])
-            many = np.concatenate([counts[kept], np.diff(past_ends)[stale]])
-        else:
-            key, where, many = own[kept], begin[kept], counts[kept]
+    counts[old] = np.diff(past.ends)[at[old]]
+    begin[old] = len(flat) + past.ends[at[old]]
+    both = np.concatenate([flat, past.tokens])
+
+    if len(new) > MEMORY_GROWS * len(past.keys):
+        kept = np.arange(keepable)
+        key, where, many, spelt, letters = own[kept], begin[kept], counts[kept], start[first[kept]], size[kept]
+        text = codes
+        if len(past.keys) + len(new) <= MEMORY_WORDS:  # else start anew from this batch
+            stale = np.flatnonzero(~np.isin(past.keys, key))
+            key = np.concatenate([key, past.keys[stale]])
+            where = np.concatenate([where, len(flat) + past.ends[stale]])
+            many = np.concatenate([many, np.diff(past.ends)[stale]])
+            spelt = np.concatenate([spelt, len(codes) + past.spelt[stale]])
+            letters = np.concatenate([letters, np.diff(past.spelt)[stale]])
+            text = np.concatenate([codes, past.codes])
         by_key = np.argsort(key)
-        _MEMORY.clear()
-        _MEMORY[id(model)] = (key[by_key], np.concatenate([[0], np.cumsum(many[by_key])]), both[ranges(where[by_key], many[by_key])])
+        many, letters = many[by_key], letters[by_key]
+        _MEMORY[model] = _Memory(key[by_key], np.concatenate([[0], np.cumsum(many)]), both[ranges(where[by_key], many)], np.concatenate([[0], np.cumsum(letters)]), text[ranges(spelt[by_key], letters)])
     return both, begin[number], counts[number]
 
 
@@ -398,6 +515,17 @@ def decode(model: PieceModel, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     return [raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def _lists(model: PieceModel, texts: list[str]) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+    """Ids of all texts as a list array, end to end, and their numbers."""
+    flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for a, b in byte_slices(np.array([4 * len(t) for t in texts]), STEP * 4):
+        f, c = encode(model, texts[a:b])
+        flat.append(f)
+        counts.append(c)
+    ids, many = np.concatenate(flat), np.concatenate(counts)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(ids)), ids, many
+
+
 def encoder(spark: SparkSession, model: PieceModel) -> Column:
     """A function of a text column: its piece ids (array<int>).
 
@@ -409,18 +537,25 @@ def encoder(spark: SparkSession, model: PieceModel) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(text: pa.Array) -> pa.Array:
-        texts = [t or "" for t in text.to_pylist()]
-        flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for a, b in byte_slices(np.array([4 * len(t) for t in texts]), STEP * 4):
-            f, c = encode(shared.value, texts[a:b])
-            flat.append(f)
-            counts.append(c)
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
+        return _lists(shared.value, [t or "" for t in text.to_pylist()])[0]
 
     return ids
 
 
+def coder(spark: SparkSession, model: PieceModel) -> Column:
+    """A function of a text column: struct<ids, back>, its piece ids and the text that
+    decoding them gives, each text encoded once."""
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("ids array<int>, back string")
+    def both(text: pa.Array) -> pa.Array:
+        lists, ids, counts = _lists(shared.value, [t or "" for t in text.to_pylist()])
+        return pa.StructArray.from_arrays([lists, pa.array(decode(shared.value, ids, counts), pa.string())], ["ids", "back"])
+
+    return both
+
+
 def decoder(spark: SparkSession, model: PieceModel) -> Column:
     """A function of an array<int> column: the text (empty for null)."""
     bounded_batches(spark)

@@ -38,10 +38,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens and whether decoding the ids gives the text again."""
     model = pieces.load(model_path or tokenizer_path(PIECE_MODEL))
-    encoded = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.encoder(spark, model)("text").alias("ids"))
-    decoded = encoded.select("doc_id", "text", "ids", pieces.decoder(spark, model)("ids").alias("back"))
-    same = F.col("back") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
-    return decoded.select("doc_id", F.size("ids").alias("n_tokens"), same.alias("round_trip"), "ids")
+    coded = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.coder(spark, model)("text").alias("coded"))
+    same = F.col("coded.back") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
+    return coded.select("doc_id", F.size("coded.ids").alias("n_tokens"), same.alias("round_trip"), F.col("coded.ids").alias("ids"))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
