@@ -91,3 +91,15 @@ def test_an_empty_table(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_clashing_columns_and_repeated_ids(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 200").withColumns({n: F.lit(i) for i, n in enumerate(("verdict", "row", "mark", "print", "__language", "size"))})
+    other = docs.where("doc_id = 7").withColumn("text", F.lit("una casa en el jardín y el río de la casa"))
+    docs = docs.unionByName(other).unionByName(other)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, folder)
+        assert docs.columns == before.columns
+        assert set(rows_of(docs)) <= set(rows_of(before))
+        if name == "near_dedup":
+            assert len({r.text for r in before.where("doc_id = 7").collect()}) == docs.where("doc_id = 7").count()

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from verdigris.llm import graph, simhash
@@ -126,3 +127,14 @@ def test_near_duplicates(spark, documents):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({r.component_id for r in got})
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark, documents):
+    base, other = " ".join(f"word{i}" for i in range(60)), " ".join(f"thing{i}" for i in range(60))
+    rows = [(1, base, "en", "a"), (1, other, "en", "b"), (1, other, "en", "b"), (2, base, "de", "c"), (None, base), (None, "no id and no copy at all"), (None, "no id and no copy at all"), (3, None), (4, "")]
+    docs = documents(*rows).withColumn("mark", F.lit(1)).withColumn("row", F.array(F.lit(2))).withColumn("id", F.create_map(F.lit(1), F.lit(2)))
+    for frame in (docs, docs.repartition(5, "text")):
+        kept = simhash.keep_first(frame)
+        assert kept.columns == docs.columns
+        got = sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=str)
+        assert got == sorted([(1, base, "a"), (1, other, "b"), (None, "no id and no copy at all", None), (3, None, None)], key=str)

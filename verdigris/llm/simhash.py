@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from verdigris.llm._shared import bounded_batches, drop, store
 from verdigris.llm.graph import components
@@ -273,6 +274,20 @@ def links(prints: DataFrame) -> DataFrame:
     return near.unionByName(words.join(least, "key").where("print <> b").select(F.col("print").alias("a"), "b").distinct())
 
 
+def _owners(rows: DataFrame, first: Column) -> DataFrame:
+    """(print, owner) of every fingerprint of `rows`: the least `first` of its component."""
+    spark = rows.sparkSession
+    classes, classes_at = store(rows.groupBy("print").agg(F.min(first).alias("first")), "classes")
+    roots = components(links(classes.select("print")))
+    linked = classes.join(roots.withColumnRenamed("node", "print"), "print")
+    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
+    moved = linked.join(lowest, "root").select("print", "lowest")
+    # Components first, then one join that carries the ids of all rows.
+    owners, _ = store(classes.join(moved, "print", "left").select("print", F.coalesce("lowest", "first").alias("owner")), "owners")
+    drop(spark, classes_at)
+    return owners
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of `docs` (doc_id, text).
 
@@ -281,27 +296,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fingerprint zero and are linked like others.  component_id is the smallest
     doc_id reachable (null only if the component has no id); repeated rows stay.
     """
-    spark = docs.sparkSession
-    rows, _ = store(docs.select("doc_id", fingerprint_of(spark)("text").alias("print")), "fingerprints")
-    classes, classes_at = store(rows.groupBy("print").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes.select("print")))
-    linked = classes.join(roots.withColumnRenamed("node", "print"), "print")
-    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
-    moved = linked.join(lowest, "root").select("print", "lowest")
-    # Components first, then one join that carries the ids of all rows.
-    owner = classes.join(moved, "print", "left").select("print", F.coalesce("lowest", "first").alias("component_id"))
-    owner, _ = store(owner, "owners")
-    drop(spark, classes_at)
-    return rows.join(owner, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, _ = store(docs.select("doc_id", fingerprint_of(docs.sparkSession)("text").alias("print")), "fingerprints")
+    owners = _owners(rows, F.col("doc_id")).withColumnRenamed("owner", "component_id")
+    return rows.join(owners, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id.
 
-    Rows without an id stay, since nothing tells which they are; of repeated rows of
-    the smallest id, one stays.
+    A row without an id comes after all that have one.  Of rows of one id, the one whose
+    text and other plain columns have the least hash comes first; rows of one id that
+    are no near-duplicates of each other are separate groups, and each has its row.
+    Other columns may have any name.
     """
-    groups = near_duplicates(docs.where("doc_id is not null"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
+    absent, mark = F.col("doc_id").isNull(), F.xxhash64(*[F.col(f"`{name}`") for name in plain])
+    rows, rows_at = store(docs.select(absent.alias("absent"), "doc_id", mark.alias("mark"), fingerprint_of(docs.sparkSession)("text").alias("print")), "fingerprints")
+    owners = _owners(rows, F.struct("absent", "doc_id", "mark"))
+    drop(docs.sparkSession, rows_at)
+    first = owners.select("owner.doc_id", "owner.mark").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), mark.alias("mark"))
+    kept = whole.join(first, F.col("row.doc_id").eqNullSafe(first["doc_id"]) & (whole["mark"] == first["mark"]), "left_semi")
+    # Equal rows are one document.
+    return kept.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "mark"]).select("row.*")
