@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import langid, mixture, pieces, quality, queries, simhash
@@ -19,23 +19,36 @@ from verdigris.llm._shared import materialise
 SURE = 0.4
 
 
+def _judged(docs: DataFrame, verdict: Column) -> DataFrame:
+    """(row, verdict) of every document: its columns as one struct, so that none can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), verdict.alias("verdict"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; null texts and texts without a letter go."""
-    verdict = langid.language_of(spark, langid.fit(docs))("text")
-    judged = docs.withColumn("__language", verdict)
-    kept = judged.where((F.col("__language.lang_pred") != langid.UNKNOWN) & (F.col("__language.score") >= SURE))
-    return kept.select(*[judged[c] for c in docs.columns])
+    """Documents in a known language; null texts and texts without a letter go.
+
+    Every row is judged by its text alone, so repeated rows stay or go together; other
+    columns may have any name.
+    """
+    judged = _judged(docs, langid.language_of(spark, langid.fit(docs))("text"))
+    return judged.where((F.col("verdict.lang_pred") != langid.UNKNOWN) & (F.col("verdict.score") >= SURE)).select("row.*")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of these documents, calls good."""
+    """Documents that the classifier, fitted on the labels of these documents, calls good.
+
+    Every row is judged by its text alone, so repeated rows stay or go together; other
+    columns may have any name.
+    """
     model = quality.fit(docs, queries.table(spark, sf_dir, "labels"))
-    judged = docs.withColumn("__quality", quality.quality_of(spark, model)("text"))
-    return judged.where(F.col("__quality") >= quality.GOOD).select(*[judged[c] for c in docs.columns])
+    return _judged(docs, quality.quality_of(spark, model)("text")).where(F.col("verdict") >= quality.GOOD).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id, of each group of near-duplicates.
+
+    Documents of one id with unlike texts are of different groups.
+    """
     return simhash.keep_first(docs)
 
 
