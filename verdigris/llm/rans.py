@@ -13,6 +13,7 @@ twice.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -188,13 +189,15 @@ def unpack(image: bytes, check: bool = True) -> Segment:
 class _Growing:
     """An array that grows at its end."""
 
-    def __init__(self) -> None:
-        self._data, self._n = np.zeros(1 << 16, np.int64), 0
+    def __init__(self, values: np.ndarray | None = None) -> None:
+        self._data, self._n = np.zeros(1 << 16, np.int32), 0
+        if values is not None:
+            self.extend(values)
 
     def extend(self, values: np.ndarray) -> None:
         need = self._n + len(values)
         if need > len(self._data):
-            self._data = np.concatenate([self._data, np.zeros(max(need, len(self._data)), np.int64)])
+            self._data = np.concatenate([self._data, np.zeros(max(need, len(self._data) // 2), np.int32)])
         self._data[self._n : need] = values
         self._n = need
 
@@ -213,10 +216,10 @@ class WordEncoder:
 
     Its pre-tokenizer never joins text across white space, nor letters and punctuation,
     so a text's ids are those of its parts one after another.  Parts met before are
-    remembered, up to a bound; new plain words are encoded many at a time.
+    remembered, up to a bound and one batch more; new plain words are encoded many at a time.
     """
 
-    REMEMBERED, TOGETHER = 1 << 20, 200
+    REMEMBERED, TOGETHER, LEARNED = 1 << 19, 200, 1 << 14
 
     def __init__(self, definition: str) -> None:
         import os
@@ -231,32 +234,41 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._place: dict[str, int] = {"": 0}
-        self._begin, self._size, self._ids = _Growing(), _Growing(), _Growing()
-        self._begin.extend(np.zeros(1, np.int64))
-        self._size.extend(np.zeros(1, np.int64))
-
-    def _learn(self, sizes: np.ndarray, ids: np.ndarray, parts: list[str]) -> None:
+        # The parts of each kind and their numbers; part i has ids begin[i], ..., begin[i] + size[i] - 1.
+        self._known = {kind: pa.array([""], pa.string()) for kind in ("word", "tail", "odd")}
+        self._number = {kind: _Growing(np.zeros(1)) for kind in self._known}
+        self._begin, self._size, self._ids = _Growing(np.zeros(1)), _Growing(np.zeros(1)), _Growing()
+
+    def _learn(self, parts: pa.Array, plain: bool) -> None:
+        """Encode the new distinct parts and remember their ids."""
+        fresh, sizes, ids = parts.to_pylist(), None, None
+        if plain:
+            texts = [" ".join(fresh[i : i + self.TOGETHER]) for i in range(0, len(fresh), self.TOGETHER)]
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            last = np.flatnonzero(self._ends[ids])
+            if len(last) == len(fresh) and last[-1] == len(ids) - 1:
+                sizes = np.diff(last, prepend=-1)
+        if sizes is None:
+            each = [e.ids for e in self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            sizes, ids = np.array([len(e) for e in each], np.int64), np.array([i for e in each for i in e], np.int64)
         first = len(self._ids.values)
-        self._place.update(zip(parts, range(len(self._place), len(self._place) + len(parts)), strict=True))
         self._begin.extend(first + np.cumsum(sizes) - sizes)
         self._size.extend(sizes)
         self._ids.extend(ids)
 
-    def _places(self, parts: list[str], plain: bool) -> np.ndarray:
+    def _places(self, parts: pa.Array, kind: str) -> np.ndarray:
         """Where the distinct parts are remembered; new ones are encoded first."""
-        fresh = [p for p in parts if p not in self._place]
-        if fresh and plain:
-            texts = [" ".join(fresh[i : i + self.TOGETHER]) for i in range(0, len(fresh), self.TOGETHER)]
-            ids = np.concatenate([np.array(e.ids, np.int64) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-            last = np.flatnonzero(self._ends[ids])
-            if len(last) == len(fresh) and last[-1] == len(ids) - 1:
-                self._learn(np.diff(last, prepend=-1), ids, fresh)
-                fresh = []
-        if fresh:
-            each = [e.ids for e in self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            self._learn(np.array([len(e) for e in each], np.int64), np.array([i for e in each for i in e], np.int64), fresh)
-        return np.fromiter((self._place[p] for p in parts), np.int64, len(parts))
+        at = pc.index_in(parts, value_set=self._known[kind])
+        new = parts.filter(pc.is_null(at))
+        place = self._number[kind].values[pc.fill_null(at, 0).to_numpy(zero_copy_only=False)]
+        if len(new):
+            numbers = len(self._size.values) + np.arange(len(new))
+            place[pc.is_null(at).to_numpy(zero_copy_only=False)] = numbers
+            for a in range(0, len(new), self.LEARNED):
+                self._learn(new[a : a + self.LEARNED], kind == "word")
+            self._known[kind] = pa.concat_arrays([self._known[kind], new])
+            self._number[kind].extend(numbers)
+        return place
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with `end_id` after it, and their numbers."""
@@ -264,20 +276,20 @@ class WordEncoder:
         per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary
-        if len(self._place) + 2 * len(words) > self.REMEMBERED:
+        if len(self._size.values) > self.REMEMBERED:
             self._forget()
         parted = pc.extract_regex(words, pattern=_PLAIN)
         plain = pc.is_valid(parted)
         head, tail = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         of = plain.to_numpy(zero_copy_only=False)
-        for out, part in ((head, pc.utf8_lower(pc.struct_field(parted, "word").filter(plain))), (tail, pc.struct_field(parted, "tail").filter(plain))):
+        for out, kind, part in ((head, "word", pc.utf8_lower(pc.struct_field(parted, "word").filter(plain))), (tail, "tail", pc.struct_field(parted, "tail").filter(plain))):
             distinct = part.dictionary_encode()
             if len(distinct):
-                out[of] = self._places(distinct.dictionary.to_pylist(), out is head)[distinct.indices.to_numpy(zero_copy_only=False)]
+                out[of] = self._places(distinct.dictionary, kind)[distinct.indices.to_numpy(zero_copy_only=False)]
         if not of.all():
-            head[~of] = self._places(words.filter(pc.invert(plain)).to_pylist(), False)
+            head[~of] = self._places(words.filter(pc.invert(plain)), "odd")
         pairs = np.stack([head, tail], 1).reshape(-1)
-        size, begin = self._size.values[pairs], self._begin.values[pairs]
+        size, begin = self._size.values[pairs].astype(np.int64), self._begin.values[pairs]
         of_words = self._ids.values[ranges(begin, size)]
         size = size.reshape(-1, 2).sum(1)
         begin = np.cumsum(size) - size
@@ -293,8 +305,21 @@ class WordEncoder:
         return np.append(of_words, end_id).astype(np.int32)[ranges(from_, many)], counts + 1
 
 
+#: The encoder of this worker process, by the digest of its definition: its memory of
+#: words serves all tasks that the process runs.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(definition: str) -> WordEncoder:
+    digest = hashlib.sha256(definition.encode()).hexdigest()
+    if digest not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[digest] = WordEncoder(definition)
+    return _ENCODERS[digest]
+
+
 #: Bytes of text whose distinct words are encoded at once.
-STEP = 1 << 23
+STEP = 1 << 22
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,14 +341,15 @@ def write_segments(docs: DataFrame, definition: str, end_id: int = END_ID) -> Da
     """Encode `docs` (doc_id, text) into segments in ascending doc_id order; returns
     the table of segments (part, seq, n_docs, n_ids, image), read back from storage.
 
-    Null texts are empty.  Null ids come first; rows of one id stay together.
+    Null texts are empty.  Null ids come first; rows of one id follow each other in the
+    order of their texts' hashes, and may fill several parts however many they are.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(definition)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = WordEncoder(shared.value), TaskContext.get().partitionId(), 0
+        encoder, part, seq = word_encoder(shared.value), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -345,7 +371,11 @@ def write_segments(docs: DataFrame, definition: str, end_id: int = END_ID) -> Da
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Rows of one id are told apart by their text and place, so that no id makes a hot part.
+    keyed = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = ("doc_id", "tie", "place")
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return store(ordered.mapInArrow(encode, _ROWS), "segments")[0]
 
 
