@@ -218,10 +218,12 @@ def search(vectors: DataFrame, is_query: str, k: int = TOP) -> DataFrame:
     # Every block of queries goes to every group of candidate blocks: an equi-join on the
     # group, whose rows are pairs of blocks.
     groups = max(1, spark.sparkContext.defaultParallelism, candidates.count() // BLOCKS_PER_GROUP)
-    grouped = candidates.withColumn("part", F.pmod(F.xxhash64("x_ids"), F.lit(groups)).cast("int"))
-    spread = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = grouped.join(spread, ["part", "dim"])
-    found = pairs.select("dim", "q_ids", "q_values", "x_ids", "x_values").mapInArrow(_search(k), _FOUND)
+    # (A fixed number of partitions: groups are few bytes, but much work.)
+    part = lambda number: F.struct("dim", number.cast("int").alias("number"))
+    grouped = candidates.select(part(F.pmod(F.xxhash64("x_ids"), F.lit(groups))).alias("part"), "x_ids", "x_values").repartition(groups, "part")
+    spread = queries.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(part(F.col("number")).alias("part"), "q_ids", "q_values")
+    pairs = grouped.join(spread.repartition(groups, "part"), "part")
+    found = pairs.select("part.dim", "q_ids", "q_values", "x_ids", "x_values").mapInArrow(_search(k), _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("class"), F.desc("score"), F.desc("wide"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
