@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.llm import jpeg, media
 
@@ -125,6 +126,106 @@ def test_decoder_agrees_with_a_plain_one():
         assert np.array_equal(plain_decode(file), jpeg.read([file])[1])
 
 
+class Bits:
+    """A scan's bits, written one at a time by the format's rules."""
+
+    def __init__(self, table):
+        code, length = jpeg._codes(*table)
+        self.codes, self.bits = {s: f"{code[s]:0{length[s]}b}" for s in range(256) if length[s]}, ""
+
+    def put(self, symbol, extra=""):
+        self.bits += self.codes[symbol] + extra
+
+    def data(self):
+        whole = self.bits + "1" * (-len(self.bits) % 8)
+        return bytes(int(whole[i : i + 8], 2) for i in range(0, len(whole), 8)).replace(b"\xff", b"\xff\0")
+
+
+def hand_made(blocks, table, low=1, high=63):
+    """A gray image of rows of coefficients: DC, a first AC scan without the last two bits,
+    and two refinements in which coefficients become non-zero."""
+    dc = Bits(jpeg._own_table(True))
+    last = 0
+    for row in blocks:
+        diff = int(row[0]) - last
+        size = abs(diff).bit_length()
+        dc.put(size, f"{diff if diff >= 0 else diff + (1 << size) - 1:0{size}b}" if size else "")
+        last = int(row[0])
+    scans = [(0, 0, 0, 0, dc.data())]
+    first = Bits(table)
+    for row in blocks:
+        run = 0
+        shifted = [int(np.sign(v)) * (abs(int(v)) >> 2) for v in row]
+        for k in range(low, high + 1):
+            v = shifted[k]
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                first.put(0xF0)
+                run -= 16
+            size = abs(v).bit_length()
+            first.put(run << 4 | size, f"{v if v > 0 else v + (1 << size) - 1:0{size}b}")
+            run = 0
+        if run:
+            first.put(0)
+    scans.append((low, high, 0, 2, first.data()))
+    for left in (1, 0):
+        out, ended, waiting = Bits(table), 0, ""
+
+        def end_run(out=out):
+            nonlocal ended, waiting
+            if ended:
+                n = ended.bit_length() - 1
+                out.put(n << 4, (f"{ended - (1 << n):0{n}b}" if n else "") + waiting)
+            ended, waiting = 0, ""
+
+        for row in blocks:
+            size = [abs(int(v)) >> left for v in row]
+            fresh = [k for k in range(low, high + 1) if size[k] == 1]
+            run, corrections = 0, ""
+            for k in range(low, high + 1):
+                if size[k] > 1:
+                    corrections += str(size[k] & 1)
+                elif size[k] == 0 or k > (fresh[-1] if fresh else 0):
+                    run += 1
+                    if run == 16 and fresh and k < fresh[-1]:
+                        end_run()
+                        out.put(0xF0, corrections)
+                        run, corrections = 0, ""
+                else:
+                    end_run()
+                    out.put(run << 4 | 1, ("1" if row[k] > 0 else "0") + corrections)
+                    run, corrections = 0, ""
+            if run or corrections or not fresh:
+                ended += 1
+                waiting += corrections
+        end_run()
+        scans.append((low, high, left + 1, left, out.data()))
+    segment = jpeg._segment
+    tables = b"".join(bytes([kind << 4]) + t[0] + t[1] for kind, t in ((0, jpeg._own_table(True)), (1, table)))
+    file = b"\xff\xd8" + segment(0xDB, bytes([0]) + bytes([1] * 64)) + segment(0xC2, bytes([8, 0, 8, 0, 8 * len(blocks), 1, 1, 0x11, 0])) + segment(0xC4, tables)
+    for a, b, sent, left, data in scans:
+        file += segment(0xDA, bytes([1, 1, 0, a, b, sent << 4 | left])) + data
+    return file + b"\xff\xd9"
+
+
+def test_refinements_that_bring_new_coefficients():
+    rng = np.random.default_rng(5)
+    symbols = [run << 4 | size for run in range(16) for size in range(11) if size or run < 15 or run == 15]
+    table = (bytes([0] * 8 + [len(symbols)] + [0] * 7), bytes(symbols))
+    for density in (0.02, 0.15, 0.5, 1.0):
+        blocks = rng.integers(-9, 10, (9, 64)) * (rng.random((9, 64)) < density)
+        blocks[4, 1:] = 0  # blocks within a run of ended ones
+        blocks[5, 1:] = np.where(rng.random(63) < 0.5, 8, 0)
+        blocks[6, 1:] = 0
+        file = hand_made(blocks, table)
+        assert np.array_equal(plain_decode(file), blocks)
+        assert np.array_equal(jpeg.read([file])[1], blocks)
+    files = [hand_made(rng.integers(-3, 4, (5, 64)), table) for _ in range(3)]
+    assert np.array_equal(jpeg.read(files)[1], np.concatenate([plain_decode(f) for f in files]))
+
+
 def test_transform_and_colours():
     frame = jpeg.square_frame(6)
     blocks = np.zeros((6, 64), np.int32)
@@ -158,6 +259,10 @@ def test_digests(spark, documents):
     assert rows[4].tail_crc32 == zlib.crc32(padded[-64:])
     (file,) = encoded(["z" * 200])
     assert (rows[4].media_bytes, rows[4].media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+    assert rows[4].height * rows[4].width * 3 == len(rows[4].rgb) and rows[4].feature.startswith(f"{rows[4].width}x{rows[4].height};")
     assert media.media_digests(docs.limit(0)).count() == 0
+    mixed = docs.select(F.when(F.col("doc_id") == 4, media.stored(spark)("text")).alias("media"))
+    digests = [r.d for r in mixed.select(media.digest(spark)("media").alias("d")).collect()]
+    assert [d.n_bytes for d in digests].count(None) == 4 and rows[4].media_sha256 in {d.media_sha256 for d in digests}
     shapes = media.media_column(docs).select(media.tensors(spark)("media").alias("t")).select("t.*").collect()
     assert all(len(r.rgb) == r.height * r.width * 3 for r in shapes)

@@ -1,8 +1,9 @@
 """Media columns: payloads stored as progressive JPEG, and read back as RGB tensors.
 
 A payload's bytes become coefficients of 8x8 blocks, 64 bytes each, in zigzag order;
-coefficients are the unit that the format keeps without loss.  Byte b is stored as
-b - 66 below 64 and b - 62 from there, so no magnitude is under 2.
+coefficients are the unit that the format keeps without loss.  The bytes that texts have
+most get the smallest coefficients: 2, -2, 3, -3, ... in order of COMMON and then of
+value.  No magnitude is under 2, so that every scan of a block is full.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import jpeg
-from verdigris.llm._shared import bounded_batches, byte_slices, ranges, utf8
+from verdigris.llm._shared import bounded_batches, byte_slices, ranges, store, utf8
 
 UNIT = 64
 #: Payload bytes that are coded at once.
 STEP = 1 << 21
-_SPLIT, _LOW, _HIGH = 64, 66, 62
+#: The bytes that get the smallest coefficients (any order is read back without loss).
+COMMON = b" etaoinsrhldcumfpgwybvkxjqz"
+_RANKED = np.array([*COMMON, *(b for b in range(256) if b not in COMMON)], np.uint8)
+_COEFFICIENT = np.zeros(256, np.int32)
+_COEFFICIENT[_RANKED] = (2 + np.arange(256) // 2) * np.where(np.arange(256) % 2, -1, 1)
 
 
 def padded_sizes(n_bytes: np.ndarray) -> np.ndarray:
@@ -38,7 +43,7 @@ def encode(data: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     raw = np.zeros(int(padded.sum()), np.uint8)
     raw[ranges(np.cumsum(padded) - padded, sizes)] = data
     values = np.zeros(int(place[-1]), np.int32)
-    values[ranges(place[:-1], padded)] = np.where(raw < _SPLIT, raw.astype(np.int32) - _LOW, raw.astype(np.int32) - _HIGH)
+    values[ranges(place[:-1], padded)] = _COEFFICIENT[raw]
     return jpeg.write(frames, values.reshape(-1, 64), [struct.pack("<qq", a, b) for a, b in zip(sizes.tolist(), padded.tolist(), strict=True)])
 
 
@@ -46,7 +51,7 @@ def payload(image: jpeg.Image, coefficients: np.ndarray) -> tuple[int, bytes]:
     """Unpadded size and padded payload that an image's coefficients hold."""
     n_bytes, padded = struct.unpack("<qq", image.comment)
     values = coefficients.reshape(-1)[:padded]
-    return n_bytes, np.where(values > 0, values + _HIGH, values + _LOW).astype(np.uint8).tobytes()
+    return n_bytes, _RANKED[2 * (np.abs(values) - 2) + (values < 0)].tobytes()
 
 
 def describe(tensor: np.ndarray) -> str:
@@ -76,29 +81,31 @@ def stored(spark: SparkSession) -> Column:
     return files
 
 
-_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
 
 
 def digest(spark: SparkSession) -> Column:
-    """A function of a JPEG column: what the stored bytes give when read back."""
+    """A function of a JPEG column: what the stored bytes give when read back, with the
+    full-resolution RGB tensor (height, width, bytes).  Null gives a struct of nulls."""
     bounded_batches(spark)
+    fields = [f.split() for f in _DIGEST.split(", ")]
 
     @F.arrow_udf(_DIGEST)
     def describe_files(media: pa.Array) -> pa.Array:
-        rows = []
-        sizes = np.array([len(m) for m in media.to_pylist()])
-        for a, b in byte_slices(sizes, STEP):
-            files = media[a:b].to_pylist()
+        rows: list[tuple] = []
+        known = [m for m in media.to_pylist() if m is not None]
+        for a, b in byte_slices(np.array([len(m) for m in known], np.int64), STEP):
+            files = known[a:b]
             images, coefficients, first = jpeg.read(files)
             pixels = jpeg.samples(images, coefficients)
             for image, file, at, end in zip(images, files, first[:-1], first[1:], strict=True):
-                own = coefficients[at:end]
-                n_bytes, raw = payload(image, own)
-                rows.append((n_bytes, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), describe(jpeg.rgb(image, pixels[at:end]))))
-        names = [f.split()[0] for f in _DIGEST.split(", ")]
-        kinds = [pa.string() if " string" in f else pa.int64() for f in _DIGEST.split(", ")]
-        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-        return pa.StructArray.from_arrays(columns, names)
+                n_bytes, raw = payload(image, coefficients[at:end])
+                tensor = jpeg.rgb(image, pixels[at:end])
+                rows.append((n_bytes, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), describe(tensor), *tensor.shape[:2], tensor.tobytes()))
+        found = iter(rows)
+        every = [next(found) if m.is_valid else (None,) * len(fields) for m in media]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in every], _KINDS[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
     return describe_files
 
@@ -129,11 +136,11 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the digest of every row of `docs` (doc_id, text), read from `media`.
+    """doc_id, the digest and the RGB tensor of every row of `docs` (doc_id, text).
 
-    A null or empty text is stored as 64 zero bytes; equal texts have equal digests;
-    repeated rows stay.
+    The media table (doc_id, media) is written to the shared folder first; all else comes
+    from the bytes that are read back.  A null or empty text is stored as 64 zero bytes;
+    equal texts have equal digests; repeated rows stay.
     """
-    spark = docs.sparkSession
-    kept = media_column(docs.select("doc_id", "text")).select("doc_id", "media")
-    return kept.select("doc_id", digest(spark)("media").alias("digest")).select("doc_id", "digest.*")
+    kept, _ = store(media_column(docs.select("doc_id", "text")).select("doc_id", "media"), "media")
+    return kept.select("doc_id", digest(docs.sparkSession)("media").alias("digest")).select("doc_id", "digest.*")
