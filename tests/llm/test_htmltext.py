@@ -1,5 +1,10 @@
+import math
+import random
+import time
+
 import pytest
 
+from verdigris.llm import htmltext
 from verdigris.llm.htmltext import extract, main_texts
 
 BODY = "<p>First paragraph is long enough to be text of an article.</p><p>Second <a href=x>link</a> one, with text &amp; more of it.</p>"
@@ -60,3 +65,67 @@ def test_lists_of_links_and_forms_of_an_article():
     assert extract(f"<body>{LINKS}<div>{BODY}{LINKS}</div></body>") == f"{TEXT} {CITED}"
     assert extract(f"<body><form><div><h1>T</h1>{BODY}</div></form></body>") == f"T {TEXT}"
     assert extract(f"<body><form>{LINKS}<div id=related-posts>Another one</div><div>{BODY}</div></form><section class=comments>{BODY * 3}</section></body>") == TEXT
+
+
+def test_named_parts_of_an_article_stay():
+    page = f"<article><h1>T</h1>{BODY}<section id=related-work>{BODY}</section><div class=share-of-market>{BODY}</div></article>"
+    assert extract(f"<body><nav>menu</nav>{page}<footer>f</footer></body>") == " ".join(["T", TEXT, TEXT, TEXT])
+
+
+@pytest.mark.parametrize("page", ["<div>" * 8000 + "x" + "</b>" * 8000, "<div>" * 8000 + "x" + "</div>" * 8000, "<b>" * 8000 + "<div></b>" * 8000, "<div>" * 8000 + "<p>x" * 8000])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    extract(page)
+    assert time.process_time() - began < 1.5
+
+
+def random_page(rng, depth=0):
+    """Nested blocks of words and links."""
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        words = " ".join(rng.choice(("lorem", "ipsum", "dolor", "a", "of")) for _ in range(rng.randint(1, 30)))
+        if depth < 4 and kind < 0.45:
+            tag = rng.choice(("div", "section", "ul", "td", "blockquote"))
+            out.append(f"<{tag}>{random_page(rng, depth + 1)}</{tag}>")
+        elif kind < 0.75:
+            out.append(f"<p>{words}</p>")
+        elif kind < 0.9:
+            out.append(f"<p>{words} <a href=x>{words[:12]}</a></p>")
+        else:
+            out.append(f"<span>{words}</span>")
+    return "".join(out)
+
+
+def test_densities_and_choice_are_those_of_the_definition():
+    rng = random.Random(3)
+    for _ in range(60):
+        tree = htmltext._parse(f"<html><body>{random_page(rng)}</body></html>")
+        pieces = tree.text
+        m = htmltext.measure(tree, pieces)
+        n = len(tree.tag)
+        above = {i: [i] for i in range(n)}
+        for i in range(1, n):
+            above[i] += above[tree.parent[i]]
+        # Every figure anew from all descendants of a node.
+        visible = [i for i in range(n) if m.shown[i]]
+        is_link = lambda i: any(tree.tag[a] == "a" for a in above[i])
+        sizes = {i: sum(len(" ".join(t.split())) for k, t in pieces if k == i and t) for i in range(n)}
+        body = tree.tag.index("body")
+
+        def figures(i):
+            own = [d for d in visible if i in above[d]]
+            return sum(sizes[d] for d in own), sum(sizes[d] for d in own if is_link(d)), sum(d != i for d in own), sum(d != i and tree.tag[d] == "a" for d in own)
+
+        c_body, lc_body, *_ = figures(body)
+        density = {}
+        for i in visible:
+            c, lc, t, lt = figures(i)
+            if c:
+                t, lt = max(t, 1), max(lt, 1)
+                log_base = math.log(math.log(c / max(c - lc, 1) * lc + lc_body / max(c_body, 1) * c + math.e))
+                density[i] = c / t * math.log(max(1.0, c / max(lc, 1) * t / lt)) / log_base if log_base > 0 else c / t
+        sums = {i: sum(density.get(k, 0.0) for k in range(n) if tree.parent[k] == i) for i in range(body, tree.end[body])}
+        best, got = htmltext.choose(tree, m, body)
+        assert all(got[i] == pytest.approx(density.get(i, 0.0)) for i in visible)
+        assert sums[best] == pytest.approx(max(sums.values()))

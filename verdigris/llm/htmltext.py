@@ -2,8 +2,9 @@
 
 A page becomes a tree of elements without the parts that are never article text
 (scripts, menus, forms, adverts, reader comments, ... by tag, role, class or id; a form
-or mark that holds most of the page's text does not count).  For each node, characters per tag are adjusted by the share of link characters and link
-tags: the composite text density.  The node whose children's densities have the
+or mark that holds most of the page's text does not count).  For each node, characters
+per tag are adjusted by the share of link characters and link tags: the composite text
+density.  The node whose children's densities have the
 greatest sum holds the article; the least density on its path to the body is the
 threshold from which neighbours belong to it, too.  All text of that subtree, in page
 order, is the result.
@@ -105,22 +106,25 @@ def _parse(page: str) -> _Tree:
     tree = _Tree(["#root"], [-1], [0], [_NO], [False], [])
     stack, in_article = [0], [False]
     tags, texts = tree.tag, tree.text
+    # Where on the stack the open elements of a name are, and those that are no inline
+    # elements: an end tag without its start tag is known at once, however deep the page.
+    places: dict[str, list[int]] = {"#root": [0]}
+    blocks, seen = [0], set()
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             node = stack.pop()
             in_article.pop()
+            places[tags[node]].pop()
             tree.end[node] = len(tags)
             if tags[node] not in _INLINE:
+                blocks.pop()
                 texts.append((node, None))
 
     def find(names: frozenset[str], stop: frozenset[str]) -> int:
-        for depth in range(len(stack) - 1, 0, -1):
-            if tags[stack[depth]] in names:
-                return depth
-            if tags[stack[depth]] in stop:
-                break
-        return 0
+        """Place of the innermost open element of `names`, 0 if one of `stop` is within it."""
+        found = max((places[n][-1] for n in names if places.get(n)), default=0)
+        return found if found and found >= max((places[n][-1] for n in stop if places.get(n)), default=0) else 0
 
     at, size = 0, len(page)
     while at < size:
@@ -138,7 +142,7 @@ def _parse(page: str) -> _Tree:
         if token[1]:
             name = token[1].lower()
             depth = find(frozenset((name,)), frozenset())
-            if depth and not (name in _FORMAT and any(tags[n] not in _INLINE for n in stack[depth:])):
+            if depth and not (name in _FORMAT and blocks[-1] > depth):
                 close(depth)
             elif name in ("br", "p"):
                 texts.append((stack[-1], None))
@@ -150,8 +154,10 @@ def _parse(page: str) -> _Tree:
             close(depth)
         if name in _IMPLIED and (depth := find(*_IMPLIED[name])):
             close(depth)
-        if name in ("html", "body") and name in tags:
-            continue
+        if name in ("html", "body"):
+            if name in seen:
+                continue
+            seen.add(name)
         if name == "body" and (depth := find(frozenset({"head"}), frozenset())):
             close(depth)
         node = len(tags)
@@ -166,6 +172,9 @@ def _parse(page: str) -> _Tree:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else size
         elif name not in _VOID and not (attributes.endswith("/") and name in ("svg", "path")):
+            places.setdefault(name, []).append(len(stack))
+            if name not in _INLINE:
+                blocks.append(len(stack))
             stack.append(node)
             in_article.append(in_article[-1] or name in ("article", "main"))
     close(0)
@@ -191,17 +200,24 @@ def _visible(tree: _Tree, plain: list[int]) -> list[bool]:
     return shown
 
 
-def extract(page: str | None) -> str:
-    """The article's text; empty for a null page or one without article text."""
-    if not page:
-        return ""
-    tree = _parse(page.replace("\0", ""))
+@dataclass
+class _Measured:
+    """What a node's visible subtree holds, and which nodes are visible."""
+
+    shown: list[bool]
+    unlisted: list[bool]  # visible if lists of links are
+    chars: list[int]
+    link_chars: list[int]
+    tags: list[int]
+    links: list[int]
+
+
+def measure(tree: _Tree, pieces: list[tuple[int, str | None]]) -> _Measured:
     n = len(tree.tag)
     link = [False] * n
     chars, link_chars, tags, links = [0] * n, [0] * n, [0] * n, [0] * n
     for node in range(1, n):
         link[node] = tree.tag[node] == "a" or link[tree.parent[node]]
-    pieces = [(node, None if text is None else html.unescape(text)) for node, text in tree.text]
     for node, text in pieces:
         if text:
             size = len(" ".join(text.split()))
@@ -226,27 +242,47 @@ def extract(page: str | None) -> str:
         unlisted[node] = True
     for node in range(1, n):
         shown[node] = shown[node] and shown[tree.parent[node]]
+    return _Measured(shown, unlisted, chars, link_chars, tags, links)
 
-    body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
-    if tree.end[body] < n and any(text and shown[node] and node >= tree.end[body] for node, text in pieces):
-        body = 0  # text after a body that was closed too early
-    body_share = link_chars[body] / max(chars[body], 1)
+
+def composite_density(chars: int, link_chars: int, tags: int, links: int, body_share: float) -> float:
+    """Characters per tag, adjusted by how many of both are those of links."""
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + body_share * chars + math.e)
+    ratio = chars / max(link_chars, 1) * (max(tags, 1) / max(links, 1))
+    return max(0.0, chars / max(tags, 1) * math.log(max(ratio, 1.0)) / math.log(base)) if base > 1 else chars / max(tags, 1)
+
+
+def choose(tree: _Tree, m: _Measured, body: int) -> tuple[int, list[float]]:
+    """The node within `body` whose children's densities have the greatest sum (of equal
+    sums the first), or `body` if no sum is above zero; and all densities."""
+    n = len(tree.tag)
+    body_share = m.link_chars[body] / max(m.chars[body], 1)
     density, total = [0.0] * n, [0.0] * n
     for node in range(n - 1, -1, -1):
-        if shown[node] and chars[node]:
-            c, lc = chars[node], link_chars[node]
-            base = math.log(c / max(c - lc, 1) * lc + body_share * c + math.e)
-            ratio = c / max(lc, 1) * (max(tags[node], 1) / max(links[node], 1))
-            density[node] = max(0.0, c / max(tags[node], 1) * math.log(max(ratio, 1.0)) / math.log(base)) if base > 1 else c / max(tags[node], 1)
+        if m.shown[node] and m.chars[node]:
+            density[node] = composite_density(m.chars[node], m.link_chars[node], m.tags[node], m.links[node], body_share)
             if tree.parent[node] >= 0:
                 total[tree.parent[node]] += density[node]
-    inside = range(body, tree.end[body] if body else n)
-    best = max(inside, key=lambda i: (total[i], -i), default=0)
-    if total[best] <= 0:
-        best = body
+    best = max(range(body, tree.end[body] if body else n), key=lambda i: (total[i], -i), default=0)
+    return best if total[best] > 0 else body, density
+
+
+def extract(page: str | None) -> str:
+    """The article's text; empty for a null page or one without article text."""
+    if not page:
+        return ""
+    tree = _parse(page.replace("\0", ""))
+    n = len(tree.tag)
+    pieces = [(node, None if text is None else html.unescape(text)) for node, text in tree.text]
+    m = measure(tree, pieces)
+    shown, chars = m.shown, m.chars
+    body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
+    if tree.end[body] < n and any(text and shown[node] and node >= tree.end[body] for node, text in pieces):
+        body = 0  # text after a body that was closed too early
+    best, density = choose(tree, m, body)
     if best != body:  # lists of links beside the paragraphs of the densest part are its sources
         for node in range(best + 1, tree.end[best]):
-            shown[node] = shown[tree.parent[node]] and unlisted[node]
+            shown[node] = shown[tree.parent[node]] and m.unlisted[node]
 
     threshold, node = density[best], best
     while node != body and tree.parent[node] >= 0:
@@ -261,8 +297,7 @@ def extract(page: str | None) -> str:
         beside = [s for s in children[up] if s != best and chars[s] and shown[s]]
         if named or up == body and not any(tree.tag[s] in ("h1", "h2", "p") for s in beside):
             break
-        in_article = any(tree.tag[a] in ("article", "main") for a in _above(tree, best))
-        if not in_article and not any(density[s] >= threshold for s in beside) and beside:
+        if not tree.article[best] and not any(density[s] >= threshold for s in beside) and beside:
             break
         best = up
 
@@ -276,14 +311,6 @@ def extract(page: str | None) -> str:
     return " ".join("".join(words).split())
 
 
-def _above(tree: _Tree, node: int) -> list[int]:
-    found = []
-    while tree.parent[node] >= 0:
-        node = tree.parent[node]
-        found.append(node)
-    return found
-
-
 def text_of(spark: SparkSession) -> Column:
     """A function of an html column: the main text, empty for null."""
     bounded_batches(spark)
