@@ -65,6 +65,42 @@ def test_the_plan_is_native(spark, documents):
     assert "Python" not in plan and "Exchange" not in plan and "Arrow" not in plan
 
 
+GPL2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
@@ -82,7 +118,6 @@ copies or substantial portions of the Software."""
         ("This project is licensed under the MIT License.", "mit", 1),
         ("This file is released under the MIT License.", "mit", 1),
         ("Copyright 2021 Acme Corp, all rights reserved.", "all-rights-reserved", 1),
-        ("Copyright (c) 2020 Acme\n\n" + MIT, "mit", 1),
         ("the whole of this little program, said he, is released\nunder the MIT License and nothing else in the world", "mit", 1),
         ("You may take it as licensed under the MIT License or, if you like that more, as licensed under the Apache License, Version 2.0, whichever it is", "apache-2.0,mit", 2),
         ("some prose about it\nReleased under the MIT License.\nand this other part is licensed under the MIT License too", "mit", 2),
@@ -93,3 +128,24 @@ copies or substantial portions of the Software."""
 def test_notice_within_a_longer_sentence(spark, documents, text, want, n):
     row = licences.scan(documents(text)).first()
     assert (row.licences, row.n_notices) == (want, n)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Copyright (c) 2020 Acme\n\n" + MIT, "mit"),
+        (GPL2, "gpl,gpl-2.0"),
+        (GPL2.replace("version 2", "version 3").replace("software;", "software:").replace("Foundation;", "Foundation,"), "gpl,gpl-3.0"),
+        (GPL2.replace("This program is free", "This library is free").replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1"), "gpl,lgpl-2.1"),
+        (GPL2.replace("GNU General", "GNU Affero General").replace("version 2", "version 3"), "agpl-3.0,gpl"),
+        (GPL2.replace("GNU General", "GNU Lesser General").replace("version 2", "version 3"), "gpl,lgpl-3.0"),
+        (BSD3, "bsd,bsd-3-clause"),
+        (ISC, "isc"),
+        (APACHE, "apache-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc-4.0"),
+    ],
+)
+def test_real_wordings_and_their_versions(spark, documents, text, want):
+    rows = licences.scan(documents(text, "Some words before.\n\n" + text.upper() + "\n\nAnd after.")).collect()
+    assert [r.licences for r in rows] == [want, want]
