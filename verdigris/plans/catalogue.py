@@ -13,7 +13,7 @@ from verdigris.functions.vectors import bhattacharyya, fitted_size, softmax
 from verdigris.functions.vocabulary import DEFAULT
 from verdigris.operators import evidence, fusion, graph, labels, metrics, moments, qa
 from verdigris.plans import bindings as B
-from verdigris.plans.cut import cut
+from verdigris.storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
