@@ -1,16 +1,18 @@
-"""Small helpers shared by the operators: shared storage and bounded batches."""
+"""Small helpers shared by the operators: bounded batches of whole texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.storage import drop, store
+
+__all__ = ["bounded_batches", "byte_slices", "drop", "held_out", "ranges", "store", "utf8"]
+
 #: Rows in one Arrow batch that Spark hands to Python.  Texts have no length
 #: limit, so the operators cut each batch again by bytes (`byte_slices`).
 ROWS_PER_BATCH = 512
@@ -25,44 +27,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The folder is ``spark.checkpoint.dir``; only where the session names none (as
-    in tests on one machine) a temporary folder of the driver is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        base = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="verdigris-")
-            context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a reread, not a recomputation.
-    """
-    return store(df, name)[0]
-
-
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """`materialise`, with the table's path for a later `drop`."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table written by `store`, in whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id's text leaves `remainder`; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
