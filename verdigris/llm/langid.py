@@ -33,6 +33,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 256, 1 << 16
 #: Bytes that count as evidence in the score: the posterior of a longer text is
 #: that of its mean over so many bytes.
 EVIDENCE_BYTES = 64
+#: Places of a table that spares the search among sorted keys.
+DENSE = 1 << 23
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 RESULT = "lang_pred string, score double, bits_per_byte double"
@@ -50,11 +52,21 @@ class PpmModel:
     keys: np.ndarray  # deepest context and symbol that any language has, as a number, sorted
     met: np.ndarray  # (key, language): bits of the symbol
     escape: np.ndarray  # (deepest context, language): bits to add to the shorter context's
+    dense: np.ndarray | None = None  # `rows` of all keys, made where it is used
 
     @property
     def width(self) -> int:
         return int(self.symbol.max()) + 1
 
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each deepest context and symbol in `met`, or -1."""
+        if len(self.escape) * self.width > DENSE:
+            return _rank(self.keys, keys)
+        if self.dense is None:
+            self.dense = np.full(len(self.escape) * self.width, -1, np.int32)
+            self.dense[self.keys] = np.arange(len(self.keys))
+        return self.dense[keys]
+
 
 def _folded(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
@@ -136,7 +148,7 @@ def code_lengths(model: PpmModel, texts: list[str]) -> tuple[np.ndarray, np.ndar
             two = s[1:-2] * k + s[2:-1]
             cost = model.cost[model.state[two], s[3:]]
             deep = model.deep[s[:-3] * (k * k) + two].astype(np.int64)
-            at = _rank(model.keys, deep * k + s[3:])
+            at = np.where(deep >= 0, model.rows(np.maximum(deep, 0) * k + s[3:]), -1)
             met, left = np.flatnonzero((deep >= 0) & (at >= 0)), np.flatnonzero((deep >= 0) & (at < 0))
             cost[met] = model.met[at[met]]
             cost[left] += model.escape[deep[left]]
