@@ -62,6 +62,12 @@ def index_vectors() -> np.ndarray:
     return vectors
 
 
+@cache
+def _small_vectors() -> np.ndarray:
+    """The index vectors in bytes: sums of a window's entries stay under 10."""
+    return index_vectors().astype(np.int8)
+
+
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets and shape buckets of all texts in order, and words per text."""
     text = pc.fill_null(text, "")
@@ -92,7 +98,7 @@ def _segment_mean(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def context_sums(words: np.ndarray, shapes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of context of all buckets (whole numbers), from documents laid end to end."""
-    index = index_vectors()
+    index = _small_vectors()
     out = np.zeros((BUCKETS, DIMS), np.float64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     for a in range(0, len(words), STREAM_STEP):  # windows of the stream, with their neighbours
@@ -108,7 +114,7 @@ def context_sums(words: np.ndarray, shapes: np.ndarray, sizes: np.ndarray) -> np
             k = key[lo:hi][inner]
             order = np.argsort(k, kind="stable")
             heads, starts = np.unique(k[order], return_index=True)
-            out[heads] += np.add.reduceat(around[inner][order], starts, axis=0)
+            out[heads] += np.add.reduceat(around[inner][order], starts, axis=0, dtype=np.int32)
     return out
 
 
