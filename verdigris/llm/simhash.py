@@ -315,7 +315,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     owners = _owners(rows, F.struct("absent", "doc_id", "mark"))
     drop(docs.sparkSession, rows_at)
     first = owners.select("owner.doc_id", "owner.mark").distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), mark.alias("mark"))
-    kept = whole.join(first, F.col("row.doc_id").eqNullSafe(first["doc_id"]) & (whole["mark"] == first["mark"]), "left_semi")
+    # An id as text that is never null: one partitioning serves the join and the last step.
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")).alias("id")
+    whole = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), named(F.col("doc_id")), mark.alias("mark"))
+    kept = whole.join(first.select(named(F.col("doc_id")), "mark"), ["id", "mark"], "left_semi")
     # Equal rows are one document.
-    return kept.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "mark"]).select("row.*")
+    return kept.dropDuplicates(["id", "mark"]).select("row.*")
