@@ -216,9 +216,9 @@ def test_qa(spark):
     turns = spark.createDataFrame([(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (1, 3, "user", "q3"), (1, 4, "assistant", "a3."), (2, 0, "user", "q4"), (2, 1, "assistant", "a4")], "conv_id int, turn int, role string, text string")
     pairs = qa.turn_pairs(turns)
     assert sorted((r.question, r.gold) for r in pairs.collect()) == [("q1", "a1"), ("q3", "a3."), ("q4", "a4")]
-    asked = qa.with_distractors(pairs, buckets=1).collect()
+    asked = qa.with_distractors(pairs).collect()
     assert all(r.options[r.answer_label] == r.gold and len(set(r.options)) == len(r.options) == 3 for r in asked)
-    made = qa.examples(qa.with_distractors(pairs, buckets=1)).collect()
+    made = qa.examples(qa.with_distractors(pairs)).collect()
     assert len(made) == 6 and {r.target for r in made if r.task == "explain"} == {"a1.", "a3.", "a4."}
     parts = qa.split(spark.range(2000).withColumnRenamed("id", "conv_id"), ["conv_id"]).groupBy("part").count().collect()
     assert {r.part for r in parts} == {"test", "select", "train"} and sum(r["count"] for r in parts) == 2000
@@ -321,3 +321,16 @@ def test_pandas_is_only_where_it_is_needed(toy):
     assert isinstance(pd.DataFrame(), pd.DataFrame)
     plan = graph.profile(graph.neighbours(toy), REL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("pairs, answers", [(40, 40), (40, 3), (5, 1), (3, 2)])
+def test_every_question_has_its_distractors(spark, pairs, answers):
+    rows = spark.createDataFrame([(f"c{i}", i, f"q{i}", f"answer {i % answers}") for i in range(pairs)], "conv_id string, turn int, question string, gold string").repartition(7)
+    got = qa.with_distractors(rows).collect()
+    assert len(got) == pairs
+    for r in got:
+        assert len(set(r.options)) == len(r.options) == min(4, answers)
+        assert r.options[r.answer_label] == r.gold
+    assert {r.turn: r.options for r in got} == {r.turn: r.options for r in qa.with_distractors(rows.coalesce(1)).collect()}
+    none = spark.createDataFrame([("c", 1, "q", None)], rows.schema)
+    assert [(r.options, r.answer_label) for r in qa.with_distractors(none).collect()] == [([], None)]

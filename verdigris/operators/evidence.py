@@ -103,12 +103,15 @@ def label_support(terms: DataFrame, scores: DataFrame, labels: DataFrame, kind_w
     weighed = kinds.groupBy("item_id", "phrase", "concept", "task").agg((F.max("salience") * F.max("weight")).alias("w"))
     totals = weighed.groupBy("item_id", "task").agg(F.sum("w").alias("total"))
     hits = weighed.where("w > 0").join(scores, (weighed.concept == scores.term) & (weighed.task == scores.task)).groupBy("item_id", scores.task, "label_id").agg(F.sum(F.col("w") * F.col("score")).alias("sum"))
-    every = totals.join(F.broadcast(labels.select("task", "label_id", "ord")), "task")
-    raw = every.join(hits, ["item_id", "task", "label_id"], "left")
-    mean = F.coalesce("sum", F.lit(0.0)) / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))
-    raw = raw.select("item_id", "task", "label_id", "ord", F.greatest(F.lit(0.0), mean).alias("raw"))
-    scale = F.greatest(F.max("raw").over(Window.partitionBy("item_id", "task")), F.lit(FLOOR))
-    return raw.select("item_id", "task", "label_id", "ord", (F.col("raw") / scale).alias("support"))
+    # One map of sums for each item and task; labels come in at the very end.
+    sums = hits.groupBy("item_id", "task").agg(F.map_from_entries(F.collect_list(F.struct("label_id", "sum"))).alias("sums"))
+    known = totals.join(sums, ["item_id", "task"], "left").join(F.broadcast(labels.groupBy("task").agg(F.collect_list(F.struct("label_id", "ord")).alias("space"))), "task")
+    total = F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))
+    mean = lambda x: F.greatest(F.lit(0.0), F.coalesce(F.try_element_at("sums", x["label_id"]), F.lit(0.0)) / total)
+    raw = known.withColumn("raw", F.transform("space", lambda x: F.struct(x["label_id"].alias("label_id"), x["ord"].alias("ord"), mean(x).alias("raw"))))
+    scaled = raw.withColumn("scale", F.greatest(F.array_max(F.col("raw.raw")), F.lit(FLOOR)))
+    each = scaled.select("item_id", "task", "scale", F.explode("raw").alias("r"))
+    return each.select("item_id", "task", "r.label_id", "r.ord", (F.col("r.raw") / F.col("scale")).alias("support"))
 
 
 def draft_match(lexical: DataFrame, draft_scores: DataFrame) -> DataFrame:

@@ -53,8 +53,10 @@ def scene_segments(samples: DataFrame, threshold: float = 0.35, distance=ratio_d
 
     places = F.when(F.size("v") > 1, F.sequence(F.lit(1), F.size("v") - 1)).otherwise(F.array().cast("array<int>"))
     folded = rows.withColumn("cuts", F.aggregate(places, state, fold)["cuts"])
-    each = folded.select("clip_id", "cuts", F.explode(F.sequence(F.lit(0), F.size("v") - 1)).alias("k"))
-    return each.select("clip_id", "k", (F.size(F.filter("cuts", lambda c: c <= F.col("k"))) - 1).alias("segment"))
+    # Every segment's samples, up to the next cut.
+    last = lambda i: F.coalesce(F.get("cuts", i + 1), F.size("v")) - 1
+    ranges = F.transform("cuts", lambda c, i: F.transform(F.sequence(c, last(i)), lambda k: F.struct(k.alias("k"), i.alias("segment"))))
+    return folded.select("clip_id", F.explode(F.flatten(ranges)).alias("r")).select("clip_id", "r.*")
 
 
 def _adjusted(times: np.ndarray, starts: list[int], duration: float, most: int, min_split: float) -> list[tuple[int, int]]:
@@ -79,23 +81,25 @@ def _adjusted(times: np.ndarray, starts: list[int], duration: float, most: int,
 def key_moments(samples: DataFrame, segments: DataFrame, settings: MomentSettings = MomentSettings()) -> DataFrame:
     """(clip_id, moment, k, time_s, begin_s, end_s, sharpness): up to `most` moments a clip.
 
-    `samples` has clip_id, k, time_s, sharpness, duration.  Short segments are merged, or
-    long ones split, and the sharpest sample of each (away from its edges) stands for it.
+    `samples` has clip_id, k, time_s, sharpness, duration and may have fps; `scan` bounds
+    their number.  Short segments are merged, or long ones split, and the sharpest sample
+    of each (away from its edges) stands for it.  The last segment ends with the clip, or
+    one frame after the last sample if that is later.
     """
     most, min_split = settings.most, settings.min_split_s
 
     def choose(clip: pd.DataFrame) -> pd.DataFrame:
         clip = clip.sort_values("k")
         times, sharp = clip.time_s.to_numpy(float), clip.sharpness.to_numpy(float)
-        last = times[-1]
-        duration = max(float(clip.duration.iloc[0]), last)
+        frame = 1 / float(clip.fps.iloc[0]) if "fps" in clip else 0.0
+        duration = max(float(clip.duration.iloc[0]), times[-1] + frame)
         starts = np.flatnonzero(np.diff(clip.segment.to_numpy(), prepend=-1)).tolist()
         out = []
         for low, high in _adjusted(times, starts, duration, most, min_split):
             cut = (high - low) // 10 if high - low >= 4 else 0
             best = low + cut + int(np.argmax(sharp[low + cut : high - cut + 1]))
             end = times[high + 1] if high + 1 < len(times) else duration
-            out.append((clip.clip_id.iloc[0], len(out), int(clip.k.iloc[best]), round(times[best], 2), round(times[low], 2), round(end, 2), round(sharp[best], 1)))
+            out.append((clip.clip_id.iloc[0], len(out), int(clip.k.iloc[best]), times[best], times[low], end, sharp[best]))
         return pd.DataFrame(out, columns=["clip_id", "moment", "k", "time_s", "begin_s", "end_s", "sharpness"])
 
     kind = dict(samples.dtypes)["clip_id"]

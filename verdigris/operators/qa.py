@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdigris.functions.text import choice_prompt
+from verdigris.storage import cut
 
 
 def seeded(seed: str, *columns: str) -> Column:
@@ -31,32 +32,63 @@ def valid_questions(rows: DataFrame) -> DataFrame:
     return rows.where("answer_label is not null and rationale_label is not null and length(question) > 0 and size(answers) >= 2 and size(rationales) >= 2")
 
 
-def with_distractors(pairs: DataFrame, n: int = 3, buckets: int = 1024, seed: str = "distract") -> DataFrame:
-    """`pairs` with options: the gold answer and up to `n` others, in seeded order.
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """`rows` with i, their place from 0 in the given order over all rows: a sort by ranges,
+    and the number of rows in the ranges before (one row per range)."""
+    line = Window.partitionBy("__part")
+    parted = cut(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = parted.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__start"))
+    return parted.withColumn("__i", F.row_number().over(line.orderBy(*order))).join(starts, "__part").withColumn("i", F.col("__start") + F.col("__i") - 1).drop("__part", "__i", "__start")
 
-    Distractors are the answers next to it in a seeded ring of its bucket, so no pair
-    meets all others.
+
+def with_distractors(pairs: DataFrame, n: int = 3, seed: str = "distract") -> DataFrame:
+    """`pairs` with options: the gold answer and `n` others, in seeded order.
+
+    The distinct answers stand in a ring by their md5; a pair takes `n` different places
+    of it, from a seeded one on, and never its own.  With fewer than n + 1 distinct
+    answers it gets all others.  A pair without an answer has no options.
     """
-    keyed = pairs.withColumn("key", seeded(seed, "conv_id", "turn")).withColumn("bucket", _number(F.col("key"), buckets))
-    ring = Window.partitionBy("bucket").orderBy("key")
-    near = [F.lead("gold", i).over(ring) for i in range(1, n + 1)] + [F.lag("gold", i).over(ring) for i in range(1, n + 1)]
-    others = F.slice(F.array_except(F.array_compact(F.array(*near)), F.array("gold")), 1, n)
-    options = F.concat(F.array("gold"), others)
+    # conv_id and turn name a pair.
+    keyed = cut(pairs.withColumn("key", seeded(seed, "conv_id", "turn")))
+    answers = keyed.where("gold is not null").select("gold").distinct().withColumn("h", F.md5("gold"))
+    ring = cut(numbered(answers, "h", "gold").select("gold", "i"))
+    m = ring.count()
+    start = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    drawn = keyed.select("conv_id", "turn", "key", "gold").join(ring, "gold")
+    places = [(F.col("i") + 1 + F.pmod(start + j, F.lit(m - 1))) % m for j in range(min(n, m - 1))]
+    wanted = drawn.select("conv_id", "turn", F.explode(F.array(*places).cast("array<long>")).alias("i"))
+    others = wanted.join(ring, "i").groupBy("conv_id", "turn").agg(F.collect_list("gold").alias("others"))
+    joined = keyed.join(others, ["conv_id", "turn"], "left")
+    options = F.concat(F.array("gold"), F.coalesce("others", F.array().cast("array<string>")))
     order = F.array_sort(F.transform(options, lambda o: F.struct(F.md5(F.concat("key", F.lit("|"), o)).alias("h"), o.alias("option"))))
-    ordered = keyed.withColumn("options", F.transform(order, lambda x: x["option"]))
-    return ordered.withColumn("answer_label", F.array_position("options", F.col("gold")).cast("int") - 1).drop("bucket")
+    ordered = joined.withColumn("options", F.when(F.col("gold").isNotNull(), F.transform(order, lambda x: x["option"])).otherwise(F.array().cast("array<string>")))
+    return ordered.withColumn("answer_label", F.array_position("options", F.col("gold")).cast("int") - 1).drop("others")
+
+
+def why(question: Column, answer: Column) -> Column:
+    """The question for the reason of an answer."""
+    return F.concat(question, F.lit(" The answer is: "), answer, F.lit(" Why is this answer correct?"))
 
 
 def examples(questions: DataFrame, tasks: tuple[str, ...] = ("qa", "explain")) -> DataFrame:
-    """(conv_id, turn, task, prompt, target): a multiple-choice and a free-form example
-    of every question; a free-form target ends in punctuation."""
-    letter = F.char(F.lit(65) + F.col("answer_label"))
+    """(conv_id, turn, task, prompt, target): one example of every question and task.
+
+    qa: the options of the answer; qar: those of its reason (`rationales`, with
+    `rationale_label`); explain: the answer, ended by punctuation, and its reason if there
+    are any.
+    """
+    letter = lambda label: F.char(F.lit(65) + F.col(label))
     ended = F.when(F.col("gold").rlike(r"[.!?]\s*$"), F.trim("gold")).otherwise(F.concat(F.trim("gold"), F.lit(".")))
+    row = lambda task, prompt, target: F.struct(F.lit(task).alias("task"), prompt.alias("prompt"), target.alias("target"))
+    reasoned = "rationales" in questions.columns
     made = {
-        "qa": F.struct(F.lit("qa").alias("task"), choice_prompt(F.col("question"), F.col("options")).alias("prompt"), letter.alias("target")),
-        "explain": F.struct(F.lit("explain").alias("task"), F.col("question").alias("prompt"), ended.alias("target")),
+        "qa": lambda: row("qa", choice_prompt(F.col("question"), F.col("options")), letter("answer_label")),
+        "qar": lambda: row("qar", choice_prompt(why(F.col("question"), F.col("gold")), F.col("rationales")), letter("rationale_label")),
+        "explain": lambda: row("explain", F.col("question"), F.concat_ws(" ", ended, F.get("rationales", F.col("rationale_label"))) if reasoned else ended),
     }
-    return questions.select("conv_id", "turn", F.explode(F.array(*[made[t] for t in tasks])).alias("e")).select("conv_id", "turn", "e.*")
+    return questions.select("conv_id", "turn", F.explode(F.array(*[made[t]() for t in tasks])).alias("e")).select("conv_id", "turn", "e.*")
 
 
 def split(rows: DataFrame, keys: list[str], test: float = 0.1, select: float = 0.05, seed: str = "split") -> DataFrame:

@@ -1,26 +1,31 @@
 """Inputs of the catalogue's queries, made of the shared tables.
 
 G: a knowledge graph of parts, suppliers, nations, regions and brands.
-L: regions as labels, their nations as anchors.
-E: orders as items, their parts as terms.
-V: a user's week as a clip, its events as samples (so no clip grows with the table).
+L: regions as labels, their nations and names as anchors.
+E: orders as items, their parts and first supplier as terms.
+
+Parts, suppliers and nations are numbered by letters, so that their names are words.
+V: a user as a clip, the events as frames, of which a scan keeps a bounded number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verdigris.operators import moments
 from verdigris.operators.graph import Relations, build_edges
 
 RELATIONS = Relations(
     weights={"SuppliedBy": 0.8, "SoldIn": 0.9, "ReturnedTo": 0.5, "LocatedIn": 1.0, "PartOf": 1.0, "IsA": 0.7},
     negative=("RejectedIn",),
     definitional=("IsA",),
-    hubs=("nation_0",),
+    hubs=("nation_b",),
 )
-KIND_WEIGHTS = [("region", "action", 1.0), ("region", "object", 0.6)]
+KIND_WEIGHTS = [("region", "action", 1.0), ("region", "object", 0.6), ("region", "setting", 0.3)]
+#: The letters of the digits 0 to 9; no word of them is a stop word or has an ending.
+LETTERS = "bcdfghjklm"
 TASK = "region"
 
 
@@ -29,7 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _named(prefix: str, column: str):
-    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+    return F.concat(F.lit(prefix), spelt(F.col(column)))
+
+
+def spelt(number: Column) -> Column:
+    """A number in letters."""
+    return F.translate(number.cast("string"), "0123456789", LETTERS)
+
+
+def spelt_sql(number: str) -> str:
+    return f"translate({number}::VARCHAR, '0123456789', '{LETTERS}')"
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +63,13 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = sold.select(part, weight, none, F.explode(both).alias("e")).select("e.rel", "start", "e.end", "weight", "surface")
     fixed = lambda df, rel, start, end, weight: df.select(F.lit(rel).alias("rel"), start.alias("start"), end.alias("end"), F.lit(weight).alias("weight"), none)
     located = fixed(table(spark, sf_dir, "supplier"), "LocatedIn", _named("supp_", "s_suppkey"), _named("nation_", "s_nationkey"), 2.0)
-    inside = fixed(table(spark, sf_dir, "nation"), "PartOf", _named("nation_", "n_nationkey"), _named("region_", "n_regionkey"), 3.0)
+    inside = fixed(table(spark, sf_dir, "nation"), "PartOf", _named("nation_", "n_nationkey"), F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")), 3.0)
     brand = F.concat(F.lit("brand_"), F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]+", "_"))
     kind = fixed(table(spark, sf_dir, "part"), "IsA", _named("part_", "p_partkey"), brand, 1.0)
-    return lines.unionByName(located).unionByName(inside).unionByName(kind)
+    # Suppliers sell to a region of their own, told by a phrase.
+    sells = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "region"), F.col("s_suppkey") % 5 == F.col("r_regionkey"))
+    sellers = fixed(sells, "IsA", _named("supp_", "s_suppkey"), F.concat(F.lit("seller_of_"), F.translate(F.lower("r_name"), " ", "_")), 4.0)
+    return lines.unionByName(located).unionByName(inside).unionByName(kind).unionByName(sellers)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,37 +78,46 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as labels (task, label_id, ord, description, anchors, keywords)."""
-    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(_named("nation ", "n_nationkey"))).alias("anchors"))
+    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(_named("nation ", "n_nationkey"))).alias("nations"))
     joined = table(spark, sf_dir, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"))
-    return joined.select(F.lit(TASK).alias("task"), _named("region_", "r_regionkey").alias("label_id"), F.col("r_regionkey").alias("ord"), F.lower("r_name").alias("description"), "anchors", F.array(F.lower("r_name")).alias("keywords"))
+    return joined.select(F.lit(TASK).alias("task"), F.concat(F.lit("region_"), F.col("r_regionkey").cast("string")).alias("label_id"), F.col("r_regionkey").alias("ord"), F.lower("r_name").alias("description"), F.array_append("nations", F.lower("r_name")).alias("anchors"), F.array(F.lower("r_name")).alias("keywords"))
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of orders as mentions (item_id, phrase, kind, factor, ord)."""
+    """Parts and the first supplier of orders as mentions (item_id, phrase, kind, factor, ord)."""
     kind = F.when(F.col("l_linestatus") == "O", "action").otherwise("object")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), _named("the part ", "l_partkey").alias("phrase"), kind.alias("kind"), (1 - F.col("l_discount")).alias("factor"), F.col("l_linenumber").alias("ord"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_discount", "l_linenumber", kind.alias("kind"))
+    part = F.struct(_named("the part ", "l_partkey").alias("phrase"), "kind", (1 - F.col("l_discount")).alias("factor"), F.col("l_linenumber").alias("ord"))
+    supplier = F.struct(_named("the supp ", "l_suppkey").alias("phrase"), F.lit("setting").alias("kind"), F.lit(1.0).alias("factor"), (F.col("l_linenumber") + 100).alias("ord"))
+    told = F.when(F.col("l_linenumber") == 1, F.array(part, supplier)).otherwise(F.array(part))
+    return lines.select(F.col("l_orderkey").alias("item_id"), F.explode(told).alias("m")).select("item_id", "m.*")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user's week as samples (clip_id, k, time_s, value, sharpness, blurry, duration)."""
+    """Events of a user on the scan's grid as samples (clip_id, k, time_s, value, sharpness,
+    blurry, duration, fps)."""
     line = Window.partitionBy("clip_id")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = table(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")).alias("clip_id"), "event_id", seconds.alias("at"), F.abs("value").alias("value"))
-    timed = rows.withColumn("k", F.row_number().over(line.orderBy("at", "event_id")) - 1).withColumn("time_s", F.col("at") - F.min("at").over(line))
-    return timed.withColumn("duration", F.max("time_s").over(line)).select("clip_id", "k", "time_s", "value", F.col("value").alias("sharpness"), (F.col("value") < 2).alias("blurry"), "duration")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), "event_id", seconds.alias("at"), F.abs("value").alias("value"))
+    timed = rows.withColumns({"time_s": F.col("at") - F.min("at").over(line), "n": F.count("*").over(line)})
+    frames = moments.numbered(timed, "clip_id", ["at", "event_id"]).withColumnRenamed("k", "frame_index").withColumn("duration", F.max("time_s").over(line))
+    scanned = moments.scan(frames.withColumn("fps", F.when(F.col("duration") > 0, F.col("n") / F.col("duration")).otherwise(1.0)))
+    kept = moments.numbered(scanned, "clip_id", ["frame_index"])
+    return kept.select("clip_id", "k", "time_s", "value", F.col("value").alias("sharpness"), (F.col("value") < 2).alias("blurry"), "duration", "fps")
 
 
 #: DuckDB: the graph as table `edges`.
-EDGES_SQL = """
+EDGES_SQL = f"""
 sold AS (
   SELECT l_partkey, l_suppkey, l_quantity, l_returnflag, c_nationkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 ), raw_edges AS (
-  SELECT CASE WHEN l_returnflag = 'R' THEN 'ReturnedTo' ELSE 'SuppliedBy' END AS rel, 'part_' || l_partkey AS start, 'supp_' || l_suppkey AS "end", l_quantity / 10 AS weight, '' AS surface FROM sold
-  UNION ALL SELECT CASE WHEN l_returnflag = 'R' THEN 'RejectedIn' ELSE 'SoldIn' END, 'part_' || l_partkey, 'nation_' || c_nationkey, l_quantity / 10, '' FROM sold
-  UNION ALL SELECT 'LocatedIn', 'supp_' || s_suppkey, 'nation_' || s_nationkey, 2.0, '' FROM supplier
-  UNION ALL SELECT 'PartOf', 'nation_' || n_nationkey, 'region_' || n_regionkey, 3.0, '' FROM nation
-  UNION ALL SELECT 'IsA', 'part_' || p_partkey, 'brand_' || regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), 1.0, '' FROM part
+  SELECT CASE WHEN l_returnflag = 'R' THEN 'ReturnedTo' ELSE 'SuppliedBy' END AS rel, 'part_' || {spelt_sql("l_partkey")} AS start, 'supp_' || {spelt_sql("l_suppkey")} AS "end", l_quantity / 10 AS weight, '' AS surface FROM sold
+  UNION ALL SELECT CASE WHEN l_returnflag = 'R' THEN 'RejectedIn' ELSE 'SoldIn' END, 'part_' || {spelt_sql("l_partkey")}, 'nation_' || {spelt_sql("c_nationkey")}, l_quantity / 10, '' FROM sold
+  UNION ALL SELECT 'LocatedIn', 'supp_' || {spelt_sql("s_suppkey")}, 'nation_' || {spelt_sql("s_nationkey")}, 2.0, '' FROM supplier
+  UNION ALL SELECT 'PartOf', 'nation_' || {spelt_sql("n_nationkey")}, 'region_' || n_regionkey, 3.0, '' FROM nation
+  UNION ALL SELECT 'IsA', 'part_' || {spelt_sql("p_partkey")}, 'brand_' || regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), 1.0, '' FROM part
+  UNION ALL SELECT 'IsA', 'supp_' || {spelt_sql("s_suppkey")}, 'seller_of_' || replace(lower(r_name), ' ', '_'), 4.0, '' FROM supplier JOIN region ON s_suppkey % 5 = r_regionkey
 ), edges AS (
   SELECT rel, start, "end", max(weight)::DOUBLE AS weight, max(surface) AS surface FROM raw_edges GROUP BY rel, start, "end"
 )"""
@@ -103,19 +129,22 @@ NEAR_SQL = EDGES_SQL + """, touching AS (
 _WEIGHTS_SQL = ", ".join(f"('{rel}', {w})" for rel, w in RELATIONS.weights.items())
 PROFILE_SQL = NEAR_SQL + f""", relation(rel, rel_weight) AS (VALUES {_WEIGHTS_SQL}), strong AS (
   SELECT term, other, max(rel_weight * (1 - exp(-greatest(weight, 0.0)))) AS strength FROM near JOIN relation USING (rel)
-  WHERE weight >= 1.0 AND other <> 'nation_0' AND term <> other GROUP BY term, other
+  WHERE weight >= 1.0 AND other <> 'nation_b' AND term <> other GROUP BY term, other
 ), profile AS (
   SELECT term, other, strength, true AS has_edge FROM strong UNION ALL SELECT DISTINCT term, term, 1.0, false FROM near
 )"""
-LABEL_SQL = PROFILE_SQL + """, anchor AS (SELECT 'region_' || n_regionkey AS label_id, 'nation_' || n_nationkey AS concept FROM nation), merged AS (
+LABEL_SQL = PROFILE_SQL + f""", anchor AS (SELECT 'region_' || n_regionkey AS label_id, 'nation_' || {spelt_sql("n_nationkey")} AS concept FROM nation
+  UNION ALL SELECT 'region_' || r_regionkey, replace(lower(r_name), ' ', '_') FROM region), merged AS (
   SELECT label_id, other, max(strength) AS strength FROM anchor JOIN profile ON concept = term GROUP BY label_id, other
 ), norms AS (SELECT label_id, sqrt(sum(strength * strength)) AS norm FROM merged GROUP BY label_id)"""
 COSINE_SQL = LABEL_SQL + """, term_norm AS (SELECT term, sqrt(sum(strength * strength)) AS tn FROM profile GROUP BY term), cosines AS (
   SELECT p.term, m.label_id, sum(p.strength * m.strength) / (any_value(tn) * any_value(norm)) AS cosine
   FROM profile p JOIN merged m USING (other) JOIN norms USING (label_id) JOIN term_norm ON term_norm.term = p.term GROUP BY p.term, m.label_id
 )"""
-TERMS_SQL = """mention AS (
-  SELECT l_orderkey AS item_id, 'part ' || l_partkey AS phrase, CASE WHEN l_linestatus = 'O' THEN 'action' ELSE 'object' END AS kind,
+TERMS_SQL = f"""mention AS (
+  SELECT l_orderkey AS item_id, 'supp ' || {spelt_sql("l_suppkey")} AS phrase, 'setting' AS kind, 0.6::DOUBLE AS salience, l_linenumber + 100 AS ord FROM lineitem WHERE l_linenumber = 1
+  UNION ALL
+  SELECT l_orderkey AS item_id, 'part ' || {spelt_sql("l_partkey")} AS phrase, CASE WHEN l_linestatus = 'O' THEN 'action' ELSE 'object' END AS kind,
          CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END * (1 - l_discount) AS salience, l_linenumber AS ord
   FROM lineitem
 ), term AS (
@@ -127,6 +156,11 @@ SUPPORT_SQL = COSINE_SQL + ", " + TERMS_SQL + """, signal AS (
   SELECT term, label_id, 1.0 AS score, true AS exact FROM (SELECT DISTINCT term FROM profile) JOIN anchor ON term = concept
   UNION ALL SELECT term, label_id, 0.9 * strength, false FROM profile JOIN anchor ON other = concept WHERE has_edge
   UNION ALL SELECT term, label_id, 0.6 * least(1.0, 2.5 * cosine), false FROM cosines
+  UNION ALL SELECT term, label_id, 0.7 * strength, false FROM (
+    SELECT DISTINCT p.term, p.strength, unnest(string_split(p.other, '_')) AS word FROM profile p JOIN near n ON n.term = p.term AND n.other = p.other
+    WHERE n.rel = 'IsA' AND p.has_edge AND len(string_split(p.other, '_')) BETWEEN 2 AND 6) JOIN anchor ON word = concept
+  UNION ALL SELECT concept, 'region_' || n_regionkey, 0.6, false FROM (SELECT DISTINCT replace(phrase, ' ', '_') AS concept, string_split(phrase, ' ')[2] AS code FROM top_term)
+    JOIN nation ON n_nationkey >= 10 AND code = """ + spelt_sql("n_nationkey") + """
 ), best AS (
   SELECT term, label_id, max(score) AS score, bool_or(exact) AS exact FROM signal GROUP BY term, label_id
 ), against AS (
@@ -135,16 +169,20 @@ SUPPORT_SQL = COSINE_SQL + ", " + TERMS_SQL + """, signal AS (
   SELECT term, label_id, coalesce(best.score, 0.0) - CASE WHEN against.term IS NOT NULL AND NOT coalesce(exact, false) THEN 0.5 ELSE 0.0 END AS score
   FROM best FULL JOIN against USING (term, label_id)
 ), weighed AS (
-  SELECT item_id, replace(phrase, ' ', '_') AS concept, salience * CASE WHEN list_contains(kinds, 'action') THEN 1.0 ELSE 0.6 END AS w FROM top_term
+  SELECT item_id, replace(phrase, ' ', '_') AS concept, salience * CASE WHEN list_contains(kinds, 'action') THEN 1.0 WHEN list_contains(kinds, 'object') THEN 0.6 ELSE 0.3 END AS w FROM top_term
 ), total AS (SELECT item_id, sum(w) AS total FROM weighed GROUP BY item_id), hit AS (
   SELECT item_id, label_id, sum(w * score) AS s FROM weighed JOIN score ON concept = term GROUP BY item_id, label_id
 ), raw_support AS (
   SELECT total.item_id, 'region_' || r_regionkey AS label_id, r_regionkey AS ord, greatest(0.0, coalesce(s, 0.0) / CASE WHEN total = 0 THEN 1.0 ELSE total END) AS raw
   FROM total CROSS JOIN region LEFT JOIN hit ON hit.item_id = total.item_id AND hit.label_id = 'region_' || r_regionkey
 )"""
-SAMPLES_SQL = """sample0 AS (
-  SELECT user_id || '/' || strftime(date_trunc('week', ts), '%Y-%m-%d') AS clip_id, event_id, epoch_us(ts) / 1e6 AS sec, abs(value) AS value FROM events
+SAMPLES_SQL = """frame0 AS (
+  SELECT user_id AS clip_id, event_id, epoch_us(ts) / 1e6 AS sec, abs(value) AS value FROM events
+), frame1 AS (
+  SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY sec, event_id) - 1 AS frame_index, sec - min(sec) OVER (PARTITION BY clip_id) AS time_s, count(*) OVER (PARTITION BY clip_id) AS n FROM frame0
+), frame2 AS (SELECT *, max(time_s) OVER (PARTITION BY clip_id) AS duration FROM frame1
+), frame3 AS (SELECT *, CASE WHEN duration > 0 THEN n / duration ELSE 1.0 END AS fps, CASE WHEN duration > 0 THEN least(4.0, 900 / greatest(duration, 1e-6)) ELSE 4.0 END AS rate FROM frame2
 ), samples AS (
-  SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY sec, event_id) - 1 AS INTEGER) AS k,
-         sec - min(sec) OVER (PARTITION BY clip_id) AS time_s, value FROM sample0
+  SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) - 1 AS INTEGER) AS k, time_s, value, duration, fps
+  FROM frame3 WHERE frame_index % greatest(1, round_even(fps / rate, 0)::BIGINT) = 0
 )"""

@@ -13,7 +13,7 @@ from verdigris.functions.vectors import bhattacharyya, fitted_size, softmax
 from verdigris.functions.vocabulary import DEFAULT
 from verdigris.operators import evidence, fusion, graph, labels, metrics, moments, qa
 from verdigris.plans import bindings as B
-from verdigris.storage import cut
+from verdigris.storage import cut, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,12 +55,12 @@ def neighbors_both_dirs(spark, d):
     return near.groupBy("term").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"), F.max("edge_rank").alias("last"))
 
 
-_PHRASES = "SELECT CASE p_partkey % 4 WHEN 0 THEN 'the part ' || p_partkey WHEN 1 THEN 'an old part ' || p_partkey WHEN 2 THEN 'part ' || p_partkey || ' missing' ELSE 'The ' END AS phrase FROM part"
+_PHRASES = f"SELECT CASE p_partkey % 4 WHEN 0 THEN 'the part ' || key WHEN 1 THEN 'an old part ' || key WHEN 2 THEN 'part ' || key || ' missing' ELSE 'The ' END AS phrase FROM (SELECT p_partkey, {B.spelt_sql('p_partkey')} AS key FROM part)"
 
 
 @query(f"""WITH {B.EDGES_SQL}, known AS (SELECT DISTINCT start AS name FROM edges UNION SELECT "end" FROM edges),
 phrases AS (SELECT DISTINCT phrase FROM ({_PHRASES})), shaped AS (
-  SELECT phrase, regexp_extract(phrase, '(part \\d+)', 1) AS core, phrase LIKE 'the part%' AS plain, phrase LIKE 'an old%' AS old, phrase LIKE '%missing' AS missing FROM phrases
+  SELECT phrase, regexp_extract(phrase, '(part [b-m]+)', 1) AS core, phrase LIKE 'the part%' AS plain, phrase LIKE 'an old%' AS old, phrase LIKE '%missing' AS missing FROM phrases
 ), named AS (
   SELECT *, CASE WHEN plain OR old THEN replace(core, ' ', '_') END AS hit,
          CASE WHEN plain THEN replace(core, ' ', '_') WHEN old THEN 'old_' || replace(core, ' ', '_') WHEN missing THEN replace(core, ' ', '_') || '_missing' END AS first
@@ -70,8 +70,8 @@ SELECT phrase, CASE WHEN hit IN (SELECT name FROM known) THEN hit ELSE first END
        coalesce(old AND hit IN (SELECT name FROM known), false) AS backed_off
 FROM named""")
 def resolve_backoff(spark, d):
-    """Phrases such as "an old part 7" back off to the node part_7."""
-    key = F.col("p_partkey").cast("string")
+    """Phrases such as "an old part k" back off to the node part_k."""
+    key = B.spelt(F.col("p_partkey"))
     phrase = (
         F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("the part "), key))
         .when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("an old part "), key))
@@ -120,14 +120,15 @@ def key_terms_ranked(spark, d):
 
 
 def _support(spark, d):
-    near = _near(spark, d)
-    profiles = cut(graph.profile(near, B.RELATIONS))
     space = cut(B.labels(spark, d))
     anchored = labels.anchors(space)
-    merged = cut(graph.label_profiles(anchored, profiles))
     terms = cut(evidence.key_terms(B.mentions(spark, d)).withColumn("concept", F.translate("phrase", " ", "_")))
+    # Only what items or labels name is looked up, each concept once.
+    wanted = terms.select(F.col("concept").alias("term")).unionByName(anchored.select(F.col("concept").alias("term"))).distinct()
+    near = cut(graph.neighbours(B.graph(spark, d), wanted))
+    profiles = cut(graph.profile(near, B.RELATIONS))
+    merged = cut(graph.label_profiles(anchored, profiles))
     words = evidence.keyword_hits(terms.select(F.col("concept").alias("term"), "phrase").distinct(), labels.lexicon(space))
-    # "nation" is a word of every label, and "part" of none: keywords say nothing here.
     scores = cut(evidence.signals(profiles, anchored, graph.two_hop(profiles, merged), words, graph.negatives(near, B.RELATIONS), B.RELATIONS))
     weights = spark.createDataFrame(B.KIND_WEIGHTS, "task string, kind string, weight double")
     return evidence.label_support(terms, scores, space, weights)
@@ -208,12 +209,15 @@ def result_json(spark, d):
 
 
 @query(f"""WITH {B.NEAR_SQL}, relation(rel, rel_weight) AS (VALUES {B._WEIGHTS_SQL}), {B.TERMS_SQL}, best AS (
-  SELECT term, other, rel, start, "end", weight, rel_weight FROM near JOIN relation USING (rel) WHERE weight >= 1.0 AND other <> 'nation_0' AND term <> other
+  SELECT term, other, rel, start, "end", weight, rel_weight FROM near JOIN relation USING (rel) WHERE weight >= 1.0 AND other <> 'nation_b' AND term <> other
   QUALIFY row_number() OVER (PARTITION BY term, other ORDER BY rel_weight * (1 - exp(-weight)) DESC, edge_rank) = 1
 ), own AS (
   SELECT item_id, rank, replace(phrase, ' ', '_') AS term, salience FROM top_term
+), anchor AS (SELECT 'nation_' || {B.spelt_sql("n_nationkey")} AS concept FROM nation UNION ALL SELECT replace(lower(r_name), ' ', '_') FROM region
 ), scored AS (
-  SELECT item_id, rank, rel, start, "end", weight, round(rel_weight * (1 - exp(-weight)) * 0.5 * salience, 4) AS relevance FROM own JOIN best USING (term)
+  SELECT o.item_id, o.rank, rel, start, "end", weight, round(rel_weight * (1 - exp(-weight)) * CASE WHEN a.concept IS NOT NULL THEN 2.0 WHEN s.term IS NOT NULL THEN 1.5 ELSE 0.5 END * o.salience, 4) AS relevance
+  FROM own o JOIN best b ON b.term = o.term LEFT JOIN anchor a ON a.concept = b.other LEFT JOIN own s ON s.item_id = o.item_id AND s.term = b.other
+  WHERE regexp_full_match(b.other, '[a-z]+(_[a-z]+){{0,2}}')
 ), few AS (
   SELECT *, row_number() OVER (PARTITION BY item_id, rank ORDER BY relevance DESC, weight DESC, rel, start, "end") AS n FROM scored
 ), once AS (
@@ -223,11 +227,11 @@ def result_json(spark, d):
 ) SELECT item_id, place::INTEGER AS place, rel, start, "end", relevance FROM placed WHERE place <= 40""")
 def facts_topk(spark, d):
     """The most relevant graph facts of every order."""
-    profiles = graph.profile(_near(spark, d), B.RELATIONS)
-    terms = evidence.key_terms(B.mentions(spark, d)).withColumns({"concept": F.translate("phrase", " ", "_"), "backed_off": F.lit(False)})
+    terms = cut(evidence.key_terms(B.mentions(spark, d)).withColumns({"concept": F.translate("phrase", " ", "_"), "backed_off": F.lit(False)}))
+    wanted = terms.select(F.col("concept").alias("term")).distinct()
+    profiles = cut(graph.profile(graph.neighbours(B.graph(spark, d), wanted), B.RELATIONS))
     words = labels.anchor_vocabulary(B.labels(spark, d))
-    named = profiles.withColumn("other", F.regexp_replace("other", "[0-9#]+", "x")).where("edge is not null")
-    return evidence.facts(terms, named, words, B.RELATIONS)
+    return evidence.facts(terms, profiles, words, B.RELATIONS)
 
 
 # ----------------------------------------------------------------------------- text
@@ -356,7 +360,7 @@ def token_render(spark, d):
 
 _LEXICON = f"""source AS (
   SELECT 'region_' || r_regionkey AS label_id, 'region ' || r_regionkey AS text FROM region
-  UNION ALL SELECT 'region_' || r_regionkey, lower(r_name) FROM region UNION ALL SELECT 'region_' || n_regionkey, 'nation ' || n_nationkey FROM nation
+  UNION ALL SELECT 'region_' || r_regionkey, lower(r_name) FROM region UNION ALL SELECT 'region_' || n_regionkey, 'nation ' || {B.spelt_sql("n_nationkey")} FROM nation
 ), {_WORDS}, base AS (SELECT label_id, unnest(list_transform(w, lambda x: {_LEMMA})) AS word FROM words),
 pair AS (SELECT DISTINCT label_id, word FROM base WHERE word NOT IN {_STOP} AND length(word) > 1),
 lexicon AS (SELECT label_id, word, count(*) OVER (PARTITION BY word) AS df FROM pair)"""
@@ -367,15 +371,15 @@ def lexicon_df(spark, d):
     return labels.lexicon(B.labels(spark, d))
 
 
-@query(f"""WITH {_LEXICON}, asked AS (SELECT n_nationkey AS item_id, unnest(['nation', n_nationkey::VARCHAR, 'region', n_regionkey::VARCHAR]) AS word FROM nation),
+@query(f"""WITH {_LEXICON}, asked AS (SELECT n_nationkey AS item_id, unnest(['nation', {B.spelt_sql("n_nationkey")}, 'region', n_regionkey::VARCHAR]) AS word FROM nation),
 token AS (SELECT DISTINCT item_id, word FROM asked WHERE length(word) > 1), n AS (SELECT item_id, count(*) AS n FROM token GROUP BY item_id)
 SELECT item_id, label_id, round(least(1.0, sum(1.0 / df) / least(any_value(n), 3)), 6) AS score FROM token JOIN n USING (item_id) JOIN lexicon USING (word) GROUP BY item_id, label_id""")
 def lexical_match(spark, d):
-    texts = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("item_id"), F.lit(B.TASK).alias("task"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string"), F.lit(" of region "), F.col("n_regionkey").cast("string")).alias("text"))
+    texts = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("item_id"), F.lit(B.TASK).alias("task"), F.concat(F.lit("nation "), B.spelt(F.col("n_nationkey")), F.lit(" of region "), F.col("n_regionkey").cast("string")).alias("text"))
     return labels.lexical_match(texts, labels.lexicon(B.labels(spark, d))).select("item_id", "label_id", F.round("score", 6).alias("score"))
 
 
-_LEXICAL = f"""WITH {_LEXICON}, asked AS (SELECT n_nationkey AS item_id, unnest(['nation', n_nationkey::VARCHAR, 'region', n_regionkey::VARCHAR]) AS word FROM nation),
+_LEXICAL = f"""WITH {_LEXICON}, asked AS (SELECT n_nationkey AS item_id, unnest(['nation', {B.spelt_sql("n_nationkey")}, 'region', n_regionkey::VARCHAR]) AS word FROM nation),
 token AS (SELECT DISTINCT item_id, word FROM asked WHERE length(word) > 1), n AS (SELECT item_id, count(*) AS n FROM token GROUP BY item_id),
 lexical AS (SELECT item_id, label_id, least(1.0, sum(1.0 / df) / least(any_value(n), 3)) AS score FROM token JOIN n USING (item_id) JOIN lexicon USING (word) GROUP BY item_id, label_id)"""
 
@@ -384,7 +388,7 @@ lexical AS (SELECT item_id, label_id, least(1.0, sum(1.0 / df) / least(any_value
 SELECT item_id, label_id, round(greatest(coalesce(score, 0.0), 0.8 * coalesce(best, 0.0)), 3) AS draft FROM lexical FULL JOIN draft USING (item_id, label_id)""")
 def draft_match(spark, d):
     nations = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("item_id"), F.lit(B.TASK).alias("task"), "n_regionkey")
-    texts = nations.select("item_id", "task", F.concat(F.lit("nation "), F.col("item_id").cast("string"), F.lit(" of region "), F.col("n_regionkey").cast("string")).alias("text"))
+    texts = nations.select("item_id", "task", F.concat(F.lit("nation "), B.spelt(F.col("item_id")), F.lit(" of region "), F.col("n_regionkey").cast("string")).alias("text"))
     drafted = nations.select("item_id", "task", F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("label_id"), (F.col("item_id") / 25.0).alias("score"))
     matched = evidence.draft_match(labels.lexical_match(texts, labels.lexicon(B.labels(spark, d))), drafted)
     return matched.select("item_id", "label_id", F.round("draft", 3).alias("draft"))
@@ -466,7 +470,7 @@ def resize_dims(spark, d):
 # --------------------------------------------------------------------------- clips
 
 
-@query(f"""WITH RECURSIVE {B.SAMPLES_SQL}, look AS (
+_SCENES = f"""WITH RECURSIVE {B.SAMPLES_SQL}, look AS (
   SELECT clip_id, k, value, lead(value) OVER (PARTITION BY clip_id ORDER BY k) AS next_value FROM samples
 ), walk AS (
   SELECT clip_id, 0 AS k, 0 AS segment, value AS anchor FROM look WHERE k = 0
@@ -475,7 +479,10 @@ def resize_dims(spark, d):
   FROM walk w JOIN look l ON l.clip_id = w.clip_id AND l.k = w.k + 1,
   LATERAL (SELECT CASE WHEN w.anchor + l.value = 0 THEN 0 ELSE abs(w.anchor - l.value) / (w.anchor + l.value) END > 0.35
      AND (l.next_value IS NULL OR CASE WHEN w.anchor + l.next_value = 0 THEN 0 ELSE abs(w.anchor - l.next_value) / (w.anchor + l.next_value) END > 0.35) AS cut) c
-) SELECT clip_id, k::INTEGER AS k, segment::INTEGER AS segment FROM walk""")
+)"""
+
+
+@query(_SCENES + " SELECT clip_id, k::INTEGER AS k, segment::INTEGER AS segment FROM walk")
 def scene_segments(spark, d):
     return moments.scene_segments(B.samples(spark, d).select("clip_id", "k", "value"))
 
@@ -492,7 +499,24 @@ def sampled_frames(spark, d):
     return moments.sampled(B.samples(spark, d).select("clip_id", "k", "time_s", "value", "blurry"))
 
 
-@query()
+@query(_SCENES + """, clip AS (
+  SELECT clip_id, list(time_s ORDER BY k) AS t, list(value ORDER BY k) AS sharp, greatest(max(duration), max(time_s) + 1 / any_value(fps)) AS stop FROM samples GROUP BY clip_id
+), scene AS (SELECT clip_id, segment, min(k)::BIGINT AS lo, max(k)::BIGINT AS hi FROM walk GROUP BY clip_id, segment
+), fit AS (
+  SELECT clip_id, list({'lo': lo, 'hi': hi} ORDER BY lo) AS parts FROM scene GROUP BY clip_id
+  UNION ALL
+  SELECT clip_id, CASE WHEN n > 7 THEN parts[:a - 1] || [{'lo': parts[a].lo, 'hi': parts[a + 1].hi}] || parts[a + 2:]
+                  ELSE parts[:b - 1] || [{'lo': parts[b].lo, 'hi': (parts[b].lo + parts[b].hi) // 2}, {'lo': (parts[b].lo + parts[b].hi) // 2 + 1, 'hi': parts[b].hi}] || parts[b + 1:] END
+  FROM (SELECT *, CASE WHEN j = 1 OR (j < n AND size[j + 1] < size[j - 1]) THEN j ELSE j - 1 END AS a FROM (
+    SELECT *, len(parts) AS n, list_position(size, list_min(size)) AS j, list_position(size, list_max(size)) AS b FROM (
+      SELECT clip_id, parts, list_transform(parts, lambda p: list_append(t, stop)[p.hi + 2] - t[p.lo + 1]) AS size FROM fit JOIN clip USING (clip_id))))
+  WHERE n > 7 OR (n < 7 AND size[b] >= 6.0 AND parts[b].hi - parts[b].lo >= 3)
+), settled AS (
+  SELECT clip_id, parts FROM fit QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY CASE WHEN len(parts) >= 7 THEN len(parts) - 7 ELSE 7 - len(parts) END) = 1
+), moment AS (SELECT clip_id, unnest(parts) AS p, generate_subscripts(parts, 1) - 1 AS moment FROM settled
+), trimmed AS (SELECT clip_id, moment, p.lo AS lo, p.hi AS hi, p.lo + CASE WHEN p.hi - p.lo >= 4 THEN (p.hi - p.lo) // 10 ELSE 0 END AS first, p.hi - CASE WHEN p.hi - p.lo >= 4 THEN (p.hi - p.lo) // 10 ELSE 0 END AS last FROM moment
+), best AS (SELECT *, first + list_position(sharp[first + 1:last + 1], list_max(sharp[first + 1:last + 1])) - 1 AS k FROM trimmed JOIN clip USING (clip_id))
+SELECT clip_id, moment::INTEGER AS moment, k::INTEGER AS k, t[k + 1] AS time_s, t[lo + 1] AS begin_s, list_append(t, stop)[hi + 2] AS end_s, sharp[k + 1] AS sharpness FROM best""")
 def key_moments(spark, d):
     samples = B.samples(spark, d)
     return moments.key_moments(samples, moments.scene_segments(samples.select("clip_id", "k", "value")))
@@ -516,18 +540,22 @@ def qa_pairs(spark, d):
     return qa.turn_pairs(B.table(spark, d, "conversations"))
 
 
-@query(f"""WITH {_PAIRS}, asked AS (SELECT conv_id, turn, question, gold, md5('distract|' || conv_id || '|' || turn) AS key FROM pairs WHERE role = 'user' AND next_role = 'assistant'),
-ring AS (SELECT *, [lead(gold, 1) OVER w, lead(gold, 2) OVER w, lead(gold, 3) OVER w, lag(gold, 1) OVER w, lag(gold, 2) OVER w, lag(gold, 3) OVER w] AS near
-  FROM asked WINDOW w AS (PARTITION BY ('0x' || key[1:8])::BIGINT % 1024 ORDER BY key)),
-other AS (SELECT conv_id, turn, key, gold, o, min(i) AS i FROM (SELECT conv_id, turn, key, gold, unnest(near) AS o, unnest(range(6)) AS i FROM ring) WHERE o IS NOT NULL AND o <> gold GROUP BY ALL),
-few AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM other),
-option AS (SELECT conv_id, turn, key, gold AS option, true AS right_ FROM asked UNION ALL SELECT conv_id, turn, key, o, false FROM few WHERE n <= 3),
+_OPTIONS = f"""WITH {_PAIRS}, asked AS (SELECT conv_id, turn, question, gold, md5('distract|' || conv_id || '|' || turn) AS key FROM pairs WHERE role = 'user' AND next_role = 'assistant'),
+ring AS (SELECT gold, row_number() OVER (ORDER BY md5(gold), gold) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT gold FROM asked WHERE gold IS NOT NULL)),
+drawn AS (SELECT a.conv_id, a.turn, a.key, a.gold, (r.i + 1 + (('0x' || key[1:8])::BIGINT + j) % (m - 1)) % m AS i FROM asked a JOIN ring r USING (gold), (SELECT unnest([0, 1, 2]) AS j) WHERE j < m - 1),
+option AS (SELECT conv_id, turn, key, gold AS option, true AS right_ FROM asked UNION ALL SELECT d.conv_id, d.turn, d.key, r.gold, false FROM drawn d JOIN ring r USING (i)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY md5(key || '|' || option), option) AS place FROM option),
-listed AS (SELECT conv_id, turn, string_agg(chr((64 + place)::INTEGER) || '. ' || option, chr(10) ORDER BY place) AS lines, chr((64 + max(place) FILTER (right_))::INTEGER) AS target FROM placed GROUP BY conv_id, turn)
+listed AS (SELECT conv_id, turn, string_agg(chr((64 + place)::INTEGER) || '. ' || option, chr(10) ORDER BY place) AS lines, chr((64 + max(place) FILTER (right_))::INTEGER) AS target FROM placed GROUP BY conv_id, turn)"""
+
+
+@query(_OPTIONS + """
 SELECT a.conv_id, a.turn, 'qa' AS task, question || chr(10) || lines AS prompt, target FROM asked a JOIN listed USING (conv_id, turn)
-UNION ALL SELECT conv_id, turn, 'explain', question, CASE WHEN regexp_matches(gold, '[.!?]\\s*$') THEN trim(gold) ELSE trim(gold) || '.' END FROM asked""")
+UNION ALL SELECT conv_id, turn, 'qar', question || ' The answer is: ' || gold || ' Why is this answer correct?' || chr(10) || 'A. ' || gold || chr(10) || 'B. ' || question, 'A' FROM asked
+UNION ALL SELECT conv_id, turn, 'explain', question, CASE WHEN regexp_matches(gold, '[.!?]\\s*$') THEN trim(gold) ELSE trim(gold) || '.' END || ' ' || gold FROM asked""")
 def qa_examples(spark, d):
-    return qa.examples(qa.with_distractors(qa.turn_pairs(B.table(spark, d, "conversations"))))
+    asked = qa.with_distractors(qa.turn_pairs(B.table(spark, d, "conversations")))
+    reasons = asked.withColumns({"rationales": F.array("gold", "question"), "rationale_label": F.lit(0)})
+    return qa.examples(reasons, ("qa", "qar", "explain"))
 
 
 @query(f"""WITH {_PAIRS}, u AS (SELECT ('0x' || md5('split|' || conv_id || '|' || turn)[1:8])::BIGINT % 1000000 / 1e6 AS u FROM pairs WHERE role = 'user' AND next_role = 'assistant')
@@ -553,10 +581,16 @@ def option_debias(spark, d):
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """The result of a stream that takes what is there and ends, as a table."""
-    started = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(name)
+    """The result of a stream that takes what is there and ends, as a table in the shared
+    folder; in complete mode that of the last batch."""
+    out, log = shared_dir(spark, name), shared_dir(spark, f"{name}-log")
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    else:
+        writer = writer.format("parquet").option("path", out)
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -568,7 +602,8 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 def tumbling_counts(spark, d):
     from verdigris.streaming.sampler import tumbling_counts as counts
 
-    return counts(B.table(spark, d, "events")).withColumn("total", F.round("total", 4))
+    windows = _run(spark, counts(_event_stream(spark, d)), "tumbling_counts", "complete")
+    return windows.withColumn("total", F.round("total", 4))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (
@@ -577,14 +612,14 @@ SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS session_start, count(*) AS n FROM
 def session_counts(spark, d):
     from verdigris.streaming.sampler import session_counts as counts
 
-    return counts(B.table(spark, d, "events"))
+    return _run(spark, counts(_event_stream(spark, d)), "session_counts", "complete")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_counts(spark, d):
     """A complete-mode streaming aggregation over the events."""
     counted = _event_stream(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
-    return _run(spark, counted, "stream_counts_result", "complete")
+    return _run(spark, counted, "stream_counts", "complete")
 
 
 @query("SELECT DISTINCT user_id AS job_id, event_type AS state FROM events")
@@ -593,4 +628,4 @@ def dedup_stream(spark, d):
     from verdigris.streaming.sampler import job_states
 
     reports = _event_stream(spark, d).select(F.col("user_id").alias("job_id"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("ts"))
-    return _run(spark, job_states(reports, "400 days").select("job_id", "state"), "dedup_stream_result", "append")
+    return _run(spark, job_states(reports, "400 days").select("job_id", "state"), "dedup_stream", "append")
