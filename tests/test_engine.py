@@ -9,6 +9,7 @@ from verdigris import config, sinks
 from verdigris.functions import vectors as V
 from verdigris.operators import evidence, fusion, graph, images, labels, metrics, moments, qa
 from verdigris.sources import dump, rest
+from verdigris.streaming.sampler import sampled_stream
 
 EDGES = "rel string, start string, end string, weight double, surface string"
 REL = graph.Relations({"RelatedTo": 0.5, "IsA": 1.0, "UsedFor": 0.8}, ("Antonym",), ("IsA",), ("thing",))
@@ -193,7 +194,7 @@ def test_streaming_sampler_agrees_with_the_batch_one(spark, tmp_path):
     for i in range(3):
         frames.where(F.col("k") % 75 >= 25 * i).where(F.col("k") % 75 < 25 * (i + 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in"))
-    query = sampled_stream(stream.select("clip_id", "k", "time_s", "value", "blurry")).writeStream.format("memory").queryName("sampled").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = sampled_stream(stream.select("clip_id", "k", "time_s", "value", "blurry"), idle=None).writeStream.format("memory").queryName("sampled").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     got = sorted((r.clip_id, r.k) for r in spark.table("sampled").collect())
     assert got == sorted((r.clip_id, r.k) for r in moments.sampled(frames).collect())
@@ -334,3 +335,62 @@ def test_every_question_has_its_distractors(spark, pairs, answers):
     assert {r.turn: r.options for r in got} == {r.turn: r.options for r in qa.with_distractors(rows.coalesce(1)).collect()}
     none = spark.createDataFrame([("c", 1, "q", None)], rows.schema)
     assert [(r.options, r.answer_label) for r in qa.with_distractors(none).collect()] == [([], None)]
+
+
+def test_a_stream_forgets_idle_clips(spark, tmp_path):
+    import time
+
+    frames = clip(spark, [10.0] * 9 + [90.0] * 9, fps=1.0).select("clip_id", "k", "time_s", "value", "blurry")
+    frames.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in"))
+    query = sampled_stream(stream, most=2, idle="1 second").writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "log")).start()
+    until = time.time() + 60
+    while time.time() < until and not (query.recentProgress and query.recentProgress[-1]["stateOperators"] and query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0 and spark.table("idle").count()):
+        time.sleep(0.5)
+    query.stop()
+    assert spark.table("idle").count() == 2 and query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_frames_of_colour(spark):
+    from verdigris.operators import images
+
+    red, gray = bytes([200, 0, 0] * 4), bytes([9, 9, 9] * 2 + [0, 0, 255] * 2)
+    rows = spark.createDataFrame([(1, bytearray(red), 2, 2, 3), (2, bytearray(gray), 2, 2, 3), (3, None, 2, 2, 3), (4, bytearray(b"x"), 1, 1, 1)], "id int, pixels binary, height int, width int, channels int")
+    got = {r.id: r.h for r in rows.select("id", images.colour_histogram(4)("pixels", "height", "width", "channels").alias("h")).collect()}
+    assert got[1] == [0, 0, 0, 1] + [0] * 12 and got[3] is None and got[4] is None
+    assert got[2][0] == 0.5 and got[2][2 * 4 + 3] == 0.5  # blue is two thirds of the circle
+    assert sum(got[2]) == 1
+
+
+def test_settings_from_the_environment(tmp_path):
+    file = tmp_path / "s.yaml"
+    file.write_text("graph:\n  facts: 7\n")
+    s = config.from_environment({"VERDIGRIS_SET": " graph.terms=3 ,,", "VERDIGRIS_CONFIG": str(file)})
+    assert (s.graph.facts, s.graph.terms) == (7, 3)
+    assert config.from_environment({}) == config.load()
+
+
+def test_missing_weights_and_failed_connections():
+    import urllib.error
+
+    page = {"edges": [{"rel": {"label": "IsA"}, "start": {"@id": "/c/en/a"}, "end": {"@id": "/c/en/b"}, "weight": None, "surfaceText": None}]}
+    assert list(rest.edges_of(page)) == [("IsA", "a", "b", 1.0, "")]
+    calls = []
+
+    class Reply:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def read(self, *_):
+            return b'{"edges": []}'
+
+    def flaky(url, timeout):
+        calls.append(url)
+        if len(calls) < 3:
+            raise urllib.error.URLError("refused")
+        return Reply()
+
+    assert rest.fetch("http://x", backoff=0, open_url=flaky) == {"edges": []} and len(calls) == 3

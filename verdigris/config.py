@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -72,6 +73,13 @@ def _changed(node: Any, key: str, value: Any, path: str) -> Any:
     return dataclasses.replace(node, **{head: tuple(value) if isinstance(value, list) else value})
 
 
+def from_environment(environment: Mapping[str, str], prefix: str = "VERDIGRIS") -> Settings:
+    """`load` with the file of <prefix>_CONFIG and the comma-separated overrides of
+    <prefix>_SET; empty ones count for nothing."""
+    overrides = [item.strip() for item in environment.get(f"{prefix}_SET", "").split(",") if item.strip()]
+    return load(environment.get(f"{prefix}_CONFIG", "").strip() or None, overrides)
+
+
 def load(path: str | Path | None = None, overrides: list[str] | None = None, default: str | Path = "verdigris.yaml") -> Settings:
     """Defaults < YAML file < overrides like ``graph.facts=10`` (values typed as YAML).
 

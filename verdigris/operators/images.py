@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,13 +61,27 @@ def target_size(width: Column, height: Column, target: int, mode: str = "fit", u
     return fitted_size(width, height, target, upscale)
 
 
-def colour_histogram(pixels: Column, bins: int = 16) -> Column:
-    """Normalised 2-D histogram of red and green shares of a pixel array, as an array.
+def hue_saturation(image: np.ndarray, bins: int = 16) -> np.ndarray:
+    """Shares of an RGB image's pixels by hue (rows) and saturation (columns)."""
+    rgb = image[:, :, :3].reshape(-1, 3).astype(np.float64)
+    high, low = rgb.max(1), rgb.min(1)
+    spread = np.maximum(high - low, 1e-12)
+    r, g, b = ((high - rgb[:, i]) / spread for i in range(3))
+    turn = np.where(high == rgb[:, 0], b - g, np.where(high == rgb[:, 1], 2 + r - b, 4 + g - r)) / 6 % 1
+    hue = np.where(high > low, turn, 0.0)
+    saturation = np.where(high > 0, (high - low) / np.maximum(high, 1e-12), 0.0)
+    cell = np.minimum((hue * bins).astype(int), bins - 1) * bins + np.minimum((saturation * bins).astype(int), bins - 1)
+    return np.bincount(cell, minlength=bins * bins) / max(len(cell), 1)
+
+
+def colour_histogram(bins: int = 16) -> Callable[..., Column]:
+    """A function of (pixels, height, width, channels): the shares of `hue_saturation`, row
+    by row; null for unreadable rows and images without colour."""
+
+    def each(pixels: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
+        good = lambda p, h, w, c: p is not None and h and w and c >= 3 and len(p) == h * w * c
+        rows = zip(pixels, height, width, channels, strict=True)
+        return pd.Series([hue_saturation(np.frombuffer(p, np.uint8).reshape(int(h), int(w), int(c)), bins).tolist() if good(p, h, w, c) else None for p, h, w, c in rows])
 
-    `pixels` is array<struct<r, g, b>>.
-    """
-    total = lambda p: F.greatest(p["r"] + p["g"] + p["b"], F.lit(1))
-    cell = lambda p: F.least(F.floor(p["r"] / total(p) * bins), F.lit(bins - 1)) * bins + F.least(F.floor(p["g"] / total(p) * bins), F.lit(bins - 1))
-    cells = F.transform(pixels, lambda p: cell(p).cast("int"))
-    n = F.greatest(F.size(pixels), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins * bins - 1)), lambda i: F.size(F.filter(cells, lambda c: c == i)) / n)
+    each.__annotations__ = {"pixels": pd.Series, "height": pd.Series, "width": pd.Series, "channels": pd.Series, "return": pd.Series}
+    return F.pandas_udf(each, "array<double>")

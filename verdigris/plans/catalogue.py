@@ -325,14 +325,6 @@ def spatial_relations(spark, d):
     return _documents(spark, d).select("doc_id", F.array_join(T.spatial_relations(F.col("text")), "|").alias("relations"))
 
 
-@query("""WITH flat AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\\s*(?:[-*•]|\\d+[.)])\\s+', '', 'g'), '[*_`#]+', '', 'g'), '\\s+', ' ', 'g')) AS t FROM conversations),
-cut AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS p FROM flat),
-done AS (SELECT *, list_filter(p, lambda s: regexp_matches(s, '[.!?]$')) AS e FROM cut)
-SELECT conv_id, turn, CASE WHEN len(e) > 0 THEN array_to_string(e[1:3], ' ') WHEN len(p) > 0 THEN p[1] || '…' ELSE '' END AS said FROM done""")
-def complete_sentences(spark, d):
-    return B.table(spark, d, "conversations").select("conv_id", "turn", T.complete_sentences(F.col("text")).alias("said"))
-
-
 @query("WITH w AS (SELECT doc_id, lower(trim(l)) AS k, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(l) <> '') SELECT doc_id, count(DISTINCT k) AS lines FROM w GROUP BY doc_id")
 def dedupe_ordered(spark, d):
     lines = _documents(spark, d).select("doc_id", F.size(T.dedupe(F.split("text", "\n"))).cast("long").alias("lines"))

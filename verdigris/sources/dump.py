@@ -124,11 +124,28 @@ def latest_checkpoint(paths: DataFrame) -> DataFrame:
 
 
 def newest(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """An upserted cache on read: of each key the row of the highest `ts`."""
-    order = Window.partitionBy(key).orderBy(F.col(ts).desc())
+    """An upserted cache on read: of each key the row of the highest `ts`; of rows of one
+    time that whose JSON is last."""
+    order = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.to_json(F.struct("*")).desc())
     return rows.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
 
 
+_PACKED = ("rel", "start", "end", "weight", "surface")
+
+
+def packed(edges: DataFrame, key: str) -> DataFrame:
+    """(key, edges): the edges of each key as JSON arrays of their fields, heaviest first."""
+    fields = F.array(*[F.col(c).cast("string") for c in _PACKED])
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("minus"), "rel", "start", "end", fields.alias("f"))))
+    return edges.groupBy(key).agg(F.to_json(F.transform(listed, lambda x: x["f"])).alias("edges"))
+
+
+def unpacked(rows: DataFrame, key: str) -> DataFrame:
+    """The edges that `packed` stored."""
+    each = rows.select(key, F.explode(F.from_json("edges", "array<array<string>>")).alias("f"))
+    return each.select(key, *[F.get("f", F.lit(i)).cast("double" if c == "weight" else "string").alias(c) for i, c in enumerate(_PACKED)])
+
+
 def valid_cache(rows: DataFrame, manifest_key: str) -> DataFrame:
     """Cached rows (cache_key, ...) that were written under the current settings' key."""
     return rows.where(F.col("cache_key") == manifest_key)

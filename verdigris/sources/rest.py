@@ -17,13 +17,13 @@ PAGE = 1000
 
 
 def fetch(url: str, retries: int = 3, backoff: float = 0.5, open_url: Callable[..., Any] = urllib.request.urlopen) -> dict:
-    """JSON of a URL; server errors and rate limits are tried again."""
+    """JSON of a URL; server errors, rate limits and failed connections are tried again."""
     for attempt in range(retries + 1):
         try:
             with open_url(url, timeout=20) as reply:
                 return json.load(reply)
-        except urllib.error.HTTPError as error:
-            if error.code not in RETRY_ON or attempt == retries:
+        except (urllib.error.URLError, TimeoutError) as error:  # HTTPError is a URLError with a code
+            if getattr(error, "code", RETRY_ON[0]) not in RETRY_ON or attempt == retries:
                 raise
             time.sleep(backoff * 2**attempt)
     raise AssertionError
@@ -34,7 +34,7 @@ def edges_of(page: dict, language: str = "en") -> Iterator[tuple[str, str, str,
     for edge in page.get("edges", []):
         ends = [edge.get(side, {}).get("@id", "").split("/") for side in ("start", "end")]
         if all(len(p) >= 4 and p[1] == "c" and p[2] == language for p in ends):
-            yield edge.get("rel", {}).get("label", ""), ends[0][3], ends[1][3], float(edge.get("weight", 1.0)), edge.get("surfaceText") or ""
+            yield edge.get("rel", {}).get("label", ""), ends[0][3], ends[1][3], float(1.0 if edge.get("weight") is None else edge["weight"]), edge.get("surfaceText") or ""
 
 
 class _Term(InputPartition):

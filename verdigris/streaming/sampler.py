@@ -2,42 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from verdigris.config import SamplingSettings
 
 
-def sampled_stream(frames: DataFrame, settings: SamplingSettings = SamplingSettings()) -> DataFrame:
-    """(clip_id, k, time_s): the frames (clip_id, k, time_s, value, blurry) to analyse.
+def sampled_stream(frames: DataFrame, settings: SamplingSettings = SamplingSettings(), most: int | None = None, idle: str | None = "1 hour") -> DataFrame:
+    """(clip_id, k, time_s): the frames (clip_id, k, time_s, value, blurry) to analyse, the
+    first `most` of each clip.
 
     The rule of `operators.moments.sampled`, with its state kept per clip.  A batch's
-    frames are taken in order of time; frames older than the last look are ignored.
+    frames are taken in order of time; frames older than the last look are ignored.  The
+    state of a clip that was `idle` so long goes; None keeps it, for streams that end
+    (with a timeout there is always another batch to wait for).
     """
     kind = dict(frames.dtypes)["clip_id"]
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        looked, kept, value = state.get if state.exists else (-1e9, -1e9, float("nan"))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        looked, kept, value, taken = state.get if state.exists else (-1e9, -1e9, float("nan"), 0)
         rows = pd.concat(list(batches)).sort_values(["time_s", "k"])
         out = []
-        for row in rows.itertuples(index=False):
-            if row.time_s - looked < settings.interval_s or row.blurry:
+        for k, time_s, now, blurry in zip(rows.k.tolist(), rows.time_s.tolist(), rows.value.tolist(), rows.blurry.tolist(), strict=True):
+            if taken == most or time_s - looked < settings.interval_s or blurry:
                 continue
-            looked = float(row.time_s)
-            if value == value and row.time_s - kept < settings.refresh * settings.interval_s:
-                whole = abs(row.value + value)
-                if (abs(row.value - value) / whole if whole else 0.0) < settings.scene_change:
+            looked = time_s
+            if value == value and time_s - kept < settings.refresh * settings.interval_s:
+                whole = abs(now + value)
+                if (abs(now - value) / whole if whole else 0.0) < settings.scene_change:
                     continue
-            kept, value = float(row.time_s), float(row.value)
-            out.append((key[0], int(row.k), kept))
-        state.update((looked, kept, value))
-        yield pd.DataFrame(out, columns=["clip_id", "k", "time_s"])
-
-    return frames.groupBy("clip_id").applyInPandasWithState(step, f"clip_id {kind}, k int, time_s double", "looked double, kept double, value double", "append", GroupStateTimeout.NoTimeout)
+            kept, value, taken = time_s, now, taken + 1
+            out.append((key[0], k, kept))
+        state.update((looked, kept, value, taken))
+        if wait:
+            state.setTimeoutDuration(wait)
+        if out:
+            yield pd.DataFrame(out, columns=["clip_id", "k", "time_s"])
+
+    return frames.groupBy("clip_id").applyInPandasWithState(step, f"clip_id {kind}, k int, time_s double", "looked double, kept double, value double, taken long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+
+
+def guarded(function: Callable[[float], float], kind: str = "double") -> Column:
+    """`function` of a column, one failing row apart: struct<ok, error, value>."""
+
+    @F.pandas_udf(f"ok boolean, error string, value {kind}")
+    def each(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in values:
+            try:
+                rows.append((True, None, function(v)))
+            except Exception as error:  # whatever an item's analysis raises stays with the item
+                rows.append((False, f"{type(error).__name__}: {error}", None))
+        return pd.DataFrame(rows, columns=["ok", "error", "value"])
+
+    return each
 
 
 def latest_frames(frames: DataFrame) -> DataFrame:
