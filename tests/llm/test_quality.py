@@ -1,5 +1,9 @@
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import functions as F
 
 from verdigris.llm import quality
@@ -75,3 +79,49 @@ def test_word_vectors_cover_all_documents(spark, documents):
     assert model.words[words].any(axis=1).all()
     want = quality.context_vectors(*quality.tokens(pa.array([r[1] for r in [*rows, *more]])))
     assert np.array_equal(model.words, want)
+
+
+def plain_scores(model, corpus, texts):
+    """Scores by the definition, one word at a time; the network's weights are the model's."""
+    index = quality.index_vectors().astype(float)
+    bucket = lambda w: int(pd.util.hash_array(np.array([w], object), categorize=False)[0] % quality.BUCKETS)
+
+    def shape(word):
+        for pattern, sign in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{M}]+", "a"), (r"\p{N}+", "0"), (r"([^Aa0])[^Aa0]+", r"\1+")):
+            word = regex.sub(pattern, sign, word)
+        return word
+
+    read = lambda text: [(bucket(w.lower()), bucket("#" + shape(w))) for w in (text or "").split()]
+    sums = {}
+    for text in corpus:
+        words = read(text)
+        for i, (w, s) in enumerate(words):
+            around = index[s].copy()
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(words):
+                    around += index[words[j][0]] + index[words[j][1]]
+            for key in (w, s):
+                sums[key] = sums.get(key, 0) + around
+    zero = np.zeros(quality.DIMS)
+    unit = lambda key: sums.get(key, zero) / max(np.linalg.norm(sums.get(key, zero)), 1e-9)
+    out = []
+    for text in texts:
+        words = read(text)
+        n = max(len(words), 1)
+        echoes = [sum(a[0] == b[0] for a, b in zip(words, words[lag:])) / n for lag in (1, 2)]
+        x = np.concatenate([sum((unit(w) for w, _ in words), zero) / n, sum((unit(s) for _, s in words), zero) / n, echoes])
+        hidden = [math.tanh(sum((x[i] - model.mean[i]) / model.scale[i] * model.w1[i, h] for i in range(len(x))) + model.b1[h]) for h in range(quality.HIDDEN)]
+        z = sum(hidden[h] * model.w2[h] for h in range(quality.HIDDEN)) + model.b2
+        out.append(1 / (1 + math.exp(-z / model.temperature)))
+    return out
+
+
+def test_scores_are_those_of_the_definition(spark, documents):
+    rows, labels = corpus(120)
+    odd = [(9000, None), (9001, ""), (9002, "Ünï 漢字漢 x1y2 --!! a"), (9003, "word " * 70)]
+    docs = documents(*rows, *odd)
+    model = quality.fit(docs, spark.createDataFrame([*labels, (3, 0, 0), (3, 0, 0), (5, 0, 0)], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.quality_score for r in quality.grade(docs, model).collect()}
+    texts = {r[0]: r[1] for r in [*rows[:25], *odd]}
+    want = plain_scores(model, [r[1] for r in [*rows, *odd]], texts.values())
+    assert np.allclose([got[i] for i in texts], want, atol=2e-4)

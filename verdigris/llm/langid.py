@@ -18,7 +18,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +29,8 @@ from verdigris.llm._shared import BYTES_PER_STEP, bounded_batches, byte_slices,
 ORDER = 3
 #: Labelled texts per language that the trees are counted on, and the largest of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 256, 1 << 16
+#: Bytes of a language's texts in all, and languages, those of most labelled rows.
+SAMPLE_TOTAL, MOST_LANGS = 1 << 21, 128
 #: Bytes that count as evidence in the score: the posterior of a longer text is
 #: that of its mean over so many bytes.
 EVIDENCE_BYTES = 64
@@ -181,17 +182,22 @@ def fit(docs: DataFrame, modulus: int = 5, remainder: int = 0, sample_docs: int
     """Count the trees on a sample of `docs` (doc_id, text, lang).
 
     Only rows with a lang, a text of at most SAMPLE_BYTES and crc32(doc_id) mod
-    `modulus` other than `remainder` are learned from, `sample_docs` per language
-    at most, those of least hash; so the same rows give the same model.
+    `modulus` other than `remainder` are learned from, `sample_docs` per language and
+    SAMPLE_TOTAL bytes at most, those of least hash; so the same rows give the same model.
+    Of more than MOST_LANGS values of lang those with the most rows are learned (of equal
+    ones the first in order of code points), so the sample is bounded whatever lang holds.
     """
     mine = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & ~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id", "lang", "text")
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")).bitwiseAND(F.lit((1 << 31) - 1))
     # One narrow pass counts the rows of each language; then few texts leave the scan.
-    share = mine.groupBy("lang").count().select("lang", (F.lit(4.0 * sample_docs) / F.col("count") * (1 << 31)).alias("below"))
+    common = mine.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
+    share = common.select("lang", (F.lit(4.0 * sample_docs) / F.col("count") * (1 << 31)).alias("below"))
     picked = mine.join(F.broadcast(share), "lang").where(draw <= F.col("below"))
-    ranked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", F.sha2("text", 256))))
+    line = Window.partitionBy("lang").orderBy(draw, "doc_id", F.sha2("text", 256))
+    ranked = picked.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= sample_docs)
+    ranked = ranked.withColumn("bytes", F.sum(F.octet_length("text")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     texts: dict[str, list[str]] = {}
-    for row in ranked.where(F.col("rank") <= sample_docs).orderBy("lang", "rank").select("lang", "text").collect():
+    for row in ranked.where((F.col("bytes") <= SAMPLE_TOTAL) | (F.col("rank") == 1)).orderBy("lang", "rank").select("lang", "text").collect():
         texts.setdefault(row.lang, []).append(row.text)
     return train(texts)
 
@@ -199,8 +205,10 @@ def fit(docs: DataFrame, modulus: int = 5, remainder: int = 0, sample_docs: int
 def language_of(spark: SparkSession, model: PpmModel) -> Column:
     """A function of a text column: struct<lang_pred, score, bits_per_byte>.
 
-    Null texts and texts without a letter give ('und', 0, 0); so does every text
-    if the model knows no language.
+    Of equal code lengths the language first in order of code points wins.  The score is
+    the winner's posterior for the mean code of EVIDENCE_BYTES of the text (all of a
+    shorter one).  Null texts and texts without a letter give ('und', 0, 0); so does every
+    text if the model knows no language.  Equal texts have equal results.
     """
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -216,36 +224,3 @@ def language_of(spark: SparkSession, model: PpmModel) -> Column:
 def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
     """`docs` with a struct column `language`; a column of that name is replaced."""
     return docs.withColumn("language", language_of(docs.sparkSession, model)("text"))
-
-
-def brute_bits(texts: list[str], text: str) -> float:
-    """Code length of `text` by the definition, one byte at a time (for tests)."""
-    pad = b"\n" * ORDER
-    stream = pad + pad.join(map(_folded, texts))
-    table: dict[bytes, dict[int, int]] = {}
-    for i in range(ORDER, len(stream)):
-        for n in range(ORDER + 1):
-            seen = table.setdefault(stream[i - n : i], {})
-            seen[stream[i]] = seen.get(stream[i], 0) + 1
-    data, bits = pad + _folded(text), 0.0
-    for i in range(ORDER, len(data)):
-        p = 1.0
-        for n in range(ORDER, -1, -1):
-            seen = table.get(data[i - n : i])
-            if not seen:
-                continue
-            whole = sum(seen.values()) + len(seen)
-            if data[i] in seen:
-                p *= seen[data[i]] / whole
-                break
-            p *= len(seen) / whole
-        else:
-            p /= 256
-        bits -= np.log2(p)
-    return bits
-
-
-def frame(model: PpmModel, texts: list[str | None]) -> pd.DataFrame:
-    """Predictions of a local list, for notebooks and tests."""
-    pred, score, rate = predict(model, texts)
-    return pd.DataFrame({"lang_pred": pred, "score": score, "bits_per_byte": rate})

@@ -220,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2
 
     Only label rows with quality 0 or 1 and crc32(doc_id) mod `modulus` other than
     `remainder` are learned from: `per_class` of each at most, those of least hash
-    among texts of up to SAMPLE_BYTES.  Classes weigh as much as they have rows.
+    among texts of up to SAMPLE_BYTES.  Classes weigh as much as they have rows.  A label
+    row that is repeated counts once; an id with both labels is an example of each class.
     """
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality"))
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id", F.col("quality").cast("int").alias("quality"), key.alias("draw")).distinct()
