@@ -136,10 +136,22 @@ def facts(terms: DataFrame, profiles: DataFrame, anchor_words: DataFrame, relati
     weights = terms.sparkSession.createDataFrame(sorted(relations.weights.items()), "rel string, rel_weight double")
     own = terms.where(~F.col("backed_off")).select("item_id", "rank", F.col("concept").alias("term"), "salience")
     named = profiles.where("edge is not null").where(F.col("other").rlike(r"^[\p{L}_]*\p{L}[\p{L}_]*$") & (F.length("other") - F.length(F.translate("other", "_", "")) <= 2))
-    rows = own.join(named.select("term", "other", "edge.*"), "term").join(F.broadcast(weights), "rel")
-    rows = rows.join(anchor_words.select(F.col("concept").alias("other"), F.lit(True).alias("anchor")), "other", "left")
-    seen = terms.select("item_id", F.col("concept").alias("other"), F.lit(True).alias("own")).distinct()
-    rows = rows.join(seen, ["item_id", "other"], "left")
+    named = named.select("term", "other", "edge.*").join(F.broadcast(weights), "rel")
+    named = named.join(anchor_words.select(F.col("concept").alias("other"), F.lit(True).alias("anchor")), "other", "left")
+    # Before items come in, a term keeps the facts that may be among its best for any of
+    # them: those that no `per_term` others beat by more than rounding can hide.  Facts
+    # that lead to another of an item's own concepts are looked up for themselves.
+    base = F.col("rel_weight") * squash(F.col("weight")) * F.when(F.col("anchor"), TO_ANCHOR).otherwise(ELSEWHERE)
+    least = own.groupBy("term").agg(F.min("salience").alias("least"))
+    graded = named.withColumn("base", base).withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("base"))))
+    bar = F.max(F.when(F.col("n") == per_term, F.col("base"))).over(Window.partitionBy("term"))
+    few = graded.withColumn("bar", bar).join(least, "term").where(F.col("bar").isNull() | (F.col("base") * F.col("least") >= F.col("bar") * F.col("least") - 2e-4))
+    columns = ["item_id", "rank", "salience", "other", "rel", "start", "end", "weight", "surface", "rel_weight", "anchor"]
+    common = own.join(few, "term").select(*columns, F.lit(False).alias("own"))
+    others = terms.select("item_id", F.col("concept").alias("other")).distinct()
+    between = own.join(others, "item_id").join(named, ["term", "other"]).select(*columns, F.lit(True).alias("own"))
+    fact = F.struct("salience", "rel", "start", "end", "weight", "surface", "rel_weight", "anchor")
+    rows = common.unionByName(between).groupBy("item_id", "rank", "other").agg(F.any_value(fact).alias("f"), F.max("own").alias("own")).select("item_id", "rank", "other", "f.*", "own")
     factor = F.when(F.col("anchor"), TO_ANCHOR).when(F.col("own"), TO_OTHER).otherwise(ELSEWHERE)
     rows = rows.withColumn("relevance", F.round(F.col("rel_weight") * squash(F.col("weight")) * factor * F.col("salience"), 4))
     best = Window.partitionBy("item_id", "rank").orderBy(F.col("relevance").desc(), F.col("weight").desc(), "rel", "start", "end")

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from verdigris.functions.text import clean_words, lemma, let
 from verdigris.functions.vectors import squash
 from verdigris.functions.vocabulary import DEFAULT, Vocabulary
+from verdigris.storage import cut
 
 
 @dataclass(frozen=True)
@@ -86,13 +87,17 @@ def candidates(phrases: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFram
 
 
 def resolve(phrases: DataFrame, edges: DataFrame, limit: int = 400, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
-    """(phrase, concept, found, backed_off): the first candidate that has an edge.
+    """(phrase, concept, found, backed_off): the first candidate with an edge to another
+    node among its `limit` heaviest ones.
 
     Without one, the first candidate and found = false; a phrase that cleans to nothing
     has a null concept.  backed_off: the concept has fewer words than the phrase.
     """
-    known = touching(edges).where("start <> end").select(F.col("term").alias("candidate")).distinct().withColumn("known", F.lit(True))
-    tried = candidates(phrases, vocabulary).join(known, "candidate", "left")
+    named = cut(candidates(phrases, vocabulary))
+    # Only the candidates' own edges are looked at.
+    wanted = named.select(F.col("candidate").alias("term")).where("term is not null").distinct()
+    known = neighbours(edges, wanted, limit).select(F.col("term").alias("candidate")).distinct().withColumn("known", F.lit(True))
+    tried = named.join(known, "candidate", "left")
     best = tried.groupBy("phrase").agg(
         F.min_by("candidate", F.when(F.col("known"), F.col("place"))).alias("hit"), F.min_by("candidate", "place").alias("first")
     )
