@@ -14,6 +14,7 @@ from verdigris.functions.vocabulary import DEFAULT
 from verdigris.operators import fusion, graph, metrics, moments, qa
 from verdigris.plans import bindings as B
 from verdigris.plans import catalogue as C
+from verdigris.plans import pipeline
 from verdigris.sources import dump
 from verdigris.storage import cut, shared_dir
 from verdigris.streaming import sampler
@@ -386,3 +387,56 @@ def scanned_frames(spark, d):
     few = B.table(spark, d, "part").where("p_partkey <= 200 and p_size > 0")
     frames = few.select("p_partkey", F.explode(F.sequence(F.lit(0), F.col("p_size") - 1)).alias("frame_index"), (F.col("p_size") / 2).alias("fps"), F.when(F.col("p_partkey") % 5 == 0, 0.0).otherwise(F.col("p_partkey") * 10.0).alias("duration"))
     return moments.scan(frames).groupBy("p_partkey").agg(F.count("*").alias("n"))
+
+
+# --------------------------------------------------------------- whole analyses of items
+
+
+def _items(spark, d):
+    """Orders as items: their parts are objects, the first line's supplier is the setting."""
+    part, supplier = F.concat(F.lit("part "), B.spelt(F.col("l_partkey"))), F.concat(F.lit("supp "), B.spelt(F.min(F.when(F.col("l_linenumber") == 1, F.col("l_suppkey")))))
+    orders = B.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(part)).alias("objects"), supplier.alias("setting"))
+    none, text = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    draft = F.struct(*[text.alias(t) for t in pipeline.TASKS])
+    return orders.select(
+        F.col("l_orderkey").cast("string").alias("item_id"), F.lit("").alias("caption"), (F.col("l_orderkey") % 3).cast("int").alias("people_count"),
+        none.alias("people"), "objects", none.alias("actions"), none.alias("gestures"), "setting", draft.alias("draft"), text.alias("question"),
+    )
+
+
+def _space(spark, d):
+    return B.labels(spark, d).withColumn("task", F.explode(F.array(*map(F.lit, pipeline.TASKS))))
+
+
+def _enriched(spark, d, items):
+    weights = spark.createDataFrame([(t, k, w) for t in pipeline.TASKS for k, w in (("object", 0.6), ("setting", 0.3))], "task string, kind string, weight double")
+    return pipeline.enrich(items, B.graph(spark, d), cut(_space(spark, d)), B.RELATIONS, weights)
+
+
+_ITEM_TERMS = f"""item AS (SELECT l_orderkey AS item_id, {B.spelt_sql("min(l_suppkey) FILTER (l_linenumber = 1)")} AS code FROM lineitem GROUP BY l_orderkey), told AS (
+  SELECT l_orderkey AS item_id, 'part ' || {B.spelt_sql("l_partkey")} AS phrase, 'object' AS kind, 0.7::DOUBLE AS salience FROM lineitem
+  UNION ALL SELECT item_id, 'supp ' || code, 'setting', 0.6 FROM item WHERE code IS NOT NULL UNION ALL SELECT item_id, 'supp', 'setting', 0.6 FROM item WHERE code IS NOT NULL
+  UNION ALL SELECT item_id, code, 'setting', 0.6 FROM item WHERE length(code) >= 3
+), term AS (SELECT item_id, phrase, max(salience) AS salience, list(DISTINCT kind) AS kinds FROM told GROUP BY item_id, phrase
+), top_term AS (SELECT * FROM term QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY salience DESC, length(phrase) DESC) <= 20)"""
+
+
+# An anchor without edges is still its own neighbour.
+_BARE = "FROM anchor JOIN (SELECT term, other, strength FROM profile UNION ALL SELECT DISTINCT concept, concept, 1.0 FROM anchor WHERE concept NOT IN (SELECT term FROM near)) ON concept = term"
+
+
+@query("WITH " + B.SUPPORT_SQL.replace(B.TERMS_SQL, _ITEM_TERMS).replace("FROM anchor JOIN profile ON concept = term", _BARE) + """
+SELECT item_id::VARCHAR AS item_id, task, label_id, round(raw / greatest(max(raw) OVER (PARTITION BY item_id), 0.3), 4) AS support FROM raw_support, (SELECT unnest(['activity', 'relationship', 'intention']) AS task)""")
+def enrich_support(spark, d):
+    """The whole enrichment of items: mentions, terms, resolution, profiles, support."""
+    return _enriched(spark, d, _items(spark, d)).support.select("item_id", "task", "label_id", "support")
+
+
+@query()
+def reason_predictions(spark, d):
+    """Ranked predictions of all items with a scorer that prefers one label."""
+    items = cut(_items(spark, d))
+    space = cut(_space(spark, d))
+    questions = {t: f"Which {t}?" for t in pipeline.TASKS}
+    found = pipeline.reason(items, _enriched(spark, d, items), space, fusion.prefer("asia"), questions)
+    return found.select("item_id", "task", "label_id", "rank", F.round("probability", 6).alias("probability"), "ambiguous")
