@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import htmltext, langid, licences, media, mixture, pieces, quality, rans, simhash, topk
+from verdigris.llm import htmltext, langid, licences, media, mixture, pieces, quality, rans, simhash, topk, variants
 from verdigris.llm._shared import held_out
 
 PIECE_MODEL, WORD_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -85,6 +85,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -96,10 +100,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_rans": op9_rans,
     "op10_html": op10_html,
+    "op13_variants": op13_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op4_licences": licences.oracle(),
+    "op13_variants": variants.oracle(),
     "op7_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
