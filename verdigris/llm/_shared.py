@@ -17,13 +17,15 @@ __all__ = ["bounded_batches", "byte_slices", "drop", "held_out", "ranges", "stor
 #: limit, so the operators cut each batch again by bytes (`byte_slices`).
 ROWS_PER_BATCH = 512
 BATCH_BYTES = 16 << 20
+#: Rows of small columns; BATCH_BYTES bounds them where texts come along.
+MANY_ROWS = 8192
 #: UTF-8 bytes that one vectorised step works on at once.
 BYTES_PER_STEP = 1 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Keep the Arrow batches of this session small (whole texts are wide rows)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

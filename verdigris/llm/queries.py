@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import htmltext, langid, licences, media, mixture, pieces, quality, rans, simhash, topk, variants
+from verdigris.llm import collocations, htmltext, jaccard, langid, licences, media, mixture, pieces, quality, rans, simhash, topk, variants
 from verdigris.llm._shared import held_out
 
 PIECE_MODEL, WORD_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -85,6 +85,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(table(spark, sf_dir, "documents"))
 
@@ -100,11 +108,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_rans": op9_rans,
     "op10_html": op10_html,
+    "op11_collocations": op11_collocations,
+    "op12_jaccard": op12_jaccard,
     "op13_variants": op13_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op4_licences": licences.oracle(),
+    "op11_collocations": collocations.oracle(),
+    "op12_jaccard": jaccard.oracle(),
     "op13_variants": variants.oracle(),
     "op7_topk": """
 WITH v AS (

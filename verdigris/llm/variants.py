@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm._shared import bounded_batches, drop, ranges, store
+from verdigris.llm._shared import MANY_ROWS, bounded_batches, drop, ranges, store
 from verdigris.llm.words import mixed
 
 PARTS, DISTANCE = 6, 2
@@ -78,7 +78,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def words_of(docs: DataFrame) -> DataFrame:
     """(word, n) of the words of `docs` (doc_id, text) that occur at least FEWEST times."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, MANY_ROWS)
     counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_counted, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= FEWEST)
 
