@@ -15,6 +15,8 @@ class Vocabulary:
 
     stop: tuple[str, ...] = _words("a an the this that these those his her their its my your our is are was were be been being am of in on at by to for with from and or but as it he she they we you i there here some any very")
     non_content: tuple[str, ...] = _words("image picture photo scene background foreground thing things something nothing none unknown")
+    #: Beginnings of sentences that speak of a description itself (fixed values).
+    remarks: tuple[str, ...] = ("given the description", "let's", "lets", "here is", "in summary", "to summarize", "overall, the image", "overall the image")
     people: tuple[str, ...] = _words("person people man men woman women boy girl child children adult baby group crowd couple")
     light_verbs: tuple[str, ...] = _words("be do have make take get go")
     prepositions: tuple[str, ...] = ("in front of", "on top of", "next to", "beside", "behind", "near", "between", "around", "above", "below", "under", "with", "against", "along")

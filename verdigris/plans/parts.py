@@ -209,10 +209,12 @@ def first_documents(spark, d):
   UNION ALL SELECT item_id, -1, 'Here is the text. ' || text || chr(10) || '- "Quoted."' || chr(10) || '2. An item' FROM benchmark
   UNION ALL SELECT item_id, -2, 'Let''s see it. ' || text || ' 3. An item:' FROM benchmark
   UNION ALL SELECT item_id, -3, '## It is cut' FROM benchmark),
-flat AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?m)\\*\\*|^#+\\s*', '', 'g'), '(?m)^\\s*(?:[0-9]+[.)]|[-*•])\\s+', '', 'g') AS t FROM source),
-one AS (SELECT conv_id, turn, trim(regexp_replace(t, '\\s*\\n+\\s*', ' ', 'g'), ' ' || chr(9)) AS t FROM flat),
-whole AS (SELECT conv_id, turn, regexp_replace(t, '\\s*[0-9]+[.)]\\s*([A-Za-z0-9_'' -]{0,40}:)?\\s*$', '') AS t FROM one),
-part AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '' AND NOT regexp_matches(lower(s), '^(given the description|let''?s|here is|in summary|to summarize|overall,? the image)')) AS p FROM whole),
+line AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(replace(l, '**', ''), '^\\s*(#+\\s*|([-*•]|[0-9]+[.)])\\s+)', ''))), lambda l: l <> '') AS l FROM source),
+word AS (SELECT conv_id, turn, string_split(array_to_string(l, ' '), ' ') AS w FROM line),
+mark AS (SELECT *, list_max(list_filter(range(1, len(w) + 1), lambda i: regexp_matches(w[i], '^[0-9]+[.)]$'))) AS m FROM word),
+head AS (SELECT *, array_to_string(w[m + 1 : ], ' ') AS h FROM mark),
+whole AS (SELECT conv_id, turn, array_to_string(CASE WHEN m IS NOT NULL AND (h = '' OR (length(h) <= 41 AND right(h, 1) = ':' AND NOT regexp_matches(h, '[.!?]'))) THEN w[ : m - 1] ELSE w END, ' ') AS t FROM head),
+part AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '' AND len(list_filter(['given the description', 'let''s', 'lets', 'here is', 'in summary', 'to summarize', 'overall, the image', 'overall the image'], lambda r: starts_with(lower(s), r))) = 0) AS p FROM whole),
 done AS (SELECT *, CASE WHEN len(p) = 0 OR right(p[-1], 1) IN ('.', '!', '?', '"', '''') THEN p WHEN len(p) > 1 THEN p[:-2] ELSE [p[1] || '…'] END AS e FROM part)
 SELECT conv_id, turn::INTEGER AS turn, array_to_string(e[1:3], ' ') AS said FROM done""")
 def told_sentences(spark, d):
@@ -288,17 +290,23 @@ def reasoning_prompts(spark, d):
     )
 
 
-@query("""SELECT n_nationkey AS item_id, CASE n_nationkey % 4
-  WHEN 0 THEN '“' || replace(lower(n_name), '_', ' ') || '” is closely associated with trade.' WHEN 1 THEN '“Goods” and trade are linked through market, shop.|“X” argues against trade!' WHEN 2 THEN '' ELSE '“Ship it” is there.' END AS told FROM nation""")
+@query(f"""WITH {B.EDGES_SQL}, told AS (
+  SELECT start, rel, "end", CASE rel WHEN 'IsA' THEN '“' || replace(start, '_', ' ') || '” is closely associated with ' || replace("end", '_', ' ') || '.' WHEN 'LocatedIn' THEN '“' || replace(start, '_', ' ') || '” is an indicator of ' || replace("end", '_', ' ') || '.'
+    WHEN 'SuppliedBy' THEN '“' || replace(start, '_', ' ') || '” and ' || replace("end", '_', ' ') || ' are linked through trade route, harbour.' WHEN 'RejectedIn' THEN '“' || replace(start, '_', ' ') || '” argues against ' || replace("end", '_', ' ') || '.'
+    WHEN 'SoldIn' THEN 'Sold in ' || replace("end", '_', ' ') || '!' END AS sentence FROM edges)
+SELECT start, string_agg(sentence, '|' ORDER BY rel, "end") AS told FROM told GROUP BY start""")
 def told_evidence(spark, d):
-    k, name = F.col("n_nationkey") % 4, F.lower("n_name")
-    lists = (
-        F.when(k == 0, F.array(F.concat(F.lit("Graph: '"), name, F.lit("' is a defining concept of trade")), F.concat(F.lit("'"), name, F.lit("' is a defining concept of trade."))))
-        .when(k == 1, F.array(F.lit("'Goods' and trade share related concepts (market, shop)"), F.lit("'X' contrasts with trade!"), F.lit("goods means the same as wares")))
-        .when(k == 2, F.array(F.lit("'friends' matches a keyword of friend"), F.lit(""), F.lit("a is derived from b")))
-        .otherwise(F.array(F.lit("'Ship_it' is there"), F.lit("graph: 'Ship it' is there")))
-    )
-    return B.table(spark, d, "nation").select(F.col("n_nationkey").alias("item_id"), F.array_join(frame.readable(lists), "|").alias("told"))
+    """What is known of every node, told from its signals: edges stand for signals by
+    relation; PartOf ones reword, ReturnedTo ones name their own phrase."""
+    rel, end = F.col("rel"), F.col("end")
+    reason = F.when(rel == "IsA", "anchor").when(rel.isin("LocatedIn", "ReturnedTo"), "keyword").when(rel == "SuppliedBy", "neighbourhood").when(rel == "RejectedIn", "contrast").otherwise("edge")
+    signal = F.struct(
+        rel.alias("key"), end.alias("end"), reason.alias("reason"), F.col("start").alias("phrase"),
+        F.when(rel == "ReturnedTo", F.concat(F.upper("start"), F.lit("s"))).otherwise(end).alias("label"),
+        F.array(F.lit("trade_route"), F.lit("harbour")).alias("shared"), F.when(rel == "PartOf", "Synonym").otherwise(rel).alias("relation"), F.concat(F.lit("sold in "), end, F.lit("!")).alias("fact"),
+    )
+    grouped = B.graph(spark, d).groupBy("start").agg(F.array_sort(F.collect_list(signal)).alias("signals"))
+    return grouped.select("start", F.nullif(F.array_join(frame.signal_sentences(F.col("signals")), "|"), F.lit("")).alias("told"))
 
 
 _PERSONS = "(" + ", ".join(f"'{w}'" for w in DEFAULT.people) + ")"
@@ -381,10 +389,10 @@ def latest_frames(spark, d):
     return sampler.latest_frames(B.table(spark, d, "events").select(F.col("user_id").alias("source"), "ts", "event_id")).select("source", "ts")
 
 
-@query("""WITH f AS (SELECT p_partkey, unnest(range(0, p_size)) AS frame_index, p_size / 2.0 AS fps, CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE p_partkey * 10.0 END AS duration FROM part WHERE p_partkey <= 200)
+@query("""WITH f AS (SELECT p_partkey, unnest(range(0, p_size)) AS frame_index, p_size / 2.0 AS fps, CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE p_partkey * 10.0 END AS duration FROM part)
 SELECT p_partkey, count(*) AS n FROM f WHERE frame_index % greatest(1, round_even(fps / CASE WHEN duration > 0 THEN least(4.0, 900 / duration) ELSE 4.0 END, 0)::INTEGER) = 0 GROUP BY p_partkey""")
 def scanned_frames(spark, d):
-    few = B.table(spark, d, "part").where("p_partkey <= 200 and p_size > 0")
+    few = B.table(spark, d, "part").where("p_size > 0")
     frames = few.select("p_partkey", F.explode(F.sequence(F.lit(0), F.col("p_size") - 1)).alias("frame_index"), (F.col("p_size") / 2).alias("fps"), F.when(F.col("p_partkey") % 5 == 0, 0.0).otherwise(F.col("p_partkey") * 10.0).alias("duration"))
     return moments.scan(frames).groupBy("p_partkey").agg(F.count("*").alias("n"))
 
