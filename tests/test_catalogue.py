@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from verdigris.plans import catalogue, parts
+from verdigris.plans import catalogue, parts, streams
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,6 +50,7 @@ def test_query(spark, oracle, name):
 
 def test_entry(spark):
     assert catalogue.QUERIES["dump_edges"] is parts.dump_edges
+    assert catalogue.QUERIES["frame_stream"] is streams.frame_stream
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
