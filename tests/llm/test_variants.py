@@ -51,7 +51,7 @@ def grouped(spark, rows):
 
 def test_equals_brute_force(spark):
     r = random.Random(4)
-    base = ["".join(r.choices(LETTERS, k=r.randint(7, 11))) for _ in range(12)]
+    base = ["".join(r.choices(LETTERS, k=r.randint(7, 11))) for _ in range(11)] + ["".join(r.choices(LETTERS, k=17))]
 
     def slip(w):
         i, c = r.randrange(len(w)), r.choice(LETTERS)
@@ -99,3 +99,19 @@ def test_near_words_share_a_signature():
         for v in (w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :]):
             a, b = variants.signatures(pa.array([w, v]))
             assert np.any(a == b)
+
+
+def test_packed_comparison():
+    r = random.Random(2)
+    words = [("".join(r.choices("ab", k=r.randint(1, 18)))) for _ in range(400)]
+    letters, starts, lengths = variants._letters(pa.array(words))
+    packed = variants._packed(letters, starts, lengths)
+    i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(400), np.arange(400)))
+    short = (lengths[i] <= variants.PACKED) & (lengths[j] <= variants.PACKED)
+    got = variants._one_edit(packed, lengths, i, j)
+    for p in range(0, len(i), 7):
+        a, b = words[i[p]], words[j[p]]
+        want = one_edit(a, b)
+        assert variants._one_edit_long(a.encode(), b.encode()) == want
+        if short[p]:
+            assert got[p] == want, (a, b)

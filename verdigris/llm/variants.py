@@ -119,32 +119,54 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), words.take(word)], names=["key", "word"])
 
 
-def _one_edit(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether words a[i] and b[i] differ by one inserted, deleted or replaced letter."""
+_U = np.uint64
+_ONES = _U(0x0101010101010101)
+PACKED = 16  # letters of a word that are compared at once
+
+
+def _marked(x: np.ndarray) -> np.ndarray:
+    """1 in each byte that is not 0."""
+    x = x | x >> _U(4)
+    x = x | x >> _U(2)
+    return (x | x >> _U(1)) & _ONES
+
+
+def _packed(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The first PACKED letters of each word as two 64-bit numbers, first letter lowest."""
+    n = np.minimum(lengths, PACKED)
+    table = np.zeros((len(starts), PACKED), np.uint8)
+    table[np.repeat(np.arange(len(starts)), n), ranges(np.zeros(len(starts), np.int64), n)] = letters[ranges(starts, n)]
+    return table.view("<u8")
+
+
+def _one_edit(packed: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether words a[i] and b[i], of PACKED letters at most, differ by one inserted,
+    deleted or replaced letter."""
     swap = lengths[a] > lengths[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
+    low, high = packed[a, 0], packed[a, 1]
+    low_b, high_b = packed[b, 0], packed[b, 1]
+    e0, e1 = _marked(low ^ low_b), _marked(high ^ high_b)
+    replaced = np.bitwise_count(e0) + np.bitwise_count(e1) == 1
+    # Without one letter of b, the words are equal: behind the first place that differs,
+    # a equals b moved by one letter.
+    f0, f1 = _marked(low ^ (low_b >> _U(8) | high_b << _U(56))), _marked(high ^ high_b >> _U(8))
+    inserted = np.where(e0 != 0, (f1 == 0) & (f0 < (e0 & -e0)), f1 < (e1 & -e1))
     gap = lengths[b] - lengths[a]
-    ok = np.zeros(len(a), bool)
-    keep = np.flatnonzero(gap <= 1)
-    a, b, gap, n = a[keep], b[keep], gap[keep], lengths[a[keep]]
-    pair = np.repeat(np.arange(len(a)), n)
-    left = letters[ranges(starts[a], n)]
-    head = left != letters[ranges(starts[b], n)]
-    place = ranges(np.zeros(len(a), np.int64), n)
-    # The first place that differs (n if none); behind it, the rest must be equal.
-    first = n.copy()
-    np.minimum.at(first, pair[head], place[head])
-    tail = left != letters[ranges(starts[b] + gap, n)]
-    differs = np.zeros(len(a), np.int64)
-    behind = tail & (place >= first[pair] + (1 - gap)[pair])
-    np.add.at(differs, pair[behind], 1)
-    ok[keep] = (differs == 0) & ((gap == 1) | (first < n))
-    return ok
+    return np.where(gap == 0, replaced, (gap == 1) & inserted)
+
+
+def _one_edit_long(a: bytes, b: bytes) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a != b and (a[at + 1 :] == b[at + 1 :] if len(a) == len(b) else a[at:] == b[at + 1 :])
 
 
 def _pairs(key: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) of near words with the same key."""
     letters, starts, lengths = _letters(words)
+    packed, long = _packed(letters, starts, lengths), lengths > PACKED
     found = []
     for end in (starts, starts + lengths - END):
         affix = sum(letters[end + i].astype(np.int64) << 8 * i for i in range(END))
@@ -158,20 +180,22 @@ def _pairs(key: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             if not len(at):
                 break
             i, j = order[at], order[at + lag]
-            near = _one_edit(letters, starts, lengths, i, j)
+            near = _one_edit(packed, lengths, i, j)
+            for p in np.flatnonzero(long[i] | long[j]).tolist():
+                near[p] = _one_edit_long(*[letters[starts[w] : starts[w] + lengths[w]].tobytes() for w in (i[p], j[p])])
             found.append(np.stack([i[near], j[near]]))
     pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
     return pairs[0], pairs[1]
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near words among rows (key, word) that come sorted by key, both ways round."""
+    """Pairs of near words among rows (key, word) that come sorted by key."""
     open_rows: pa.RecordBatch | None = None
 
     def near(rows: pa.RecordBatch) -> pa.RecordBatch:
         i, j = _pairs(rows.column(0).to_numpy(), rows.column(1))
-        both = np.unique(np.stack([np.concatenate([i, j]), np.concatenate([j, i])]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
-        return pa.record_batch([rows.column(1).take(pa.array(x)) for x in both], names=["word", "near"])
+        once = np.unique(np.minimum(i, j) * rows.num_rows + np.maximum(i, j))  # both ends may be equal
+        return pa.record_batch([rows.column(1).take(pa.array(x)) for x in (once // rows.num_rows, once % rows.num_rows)], names=["word", "near"])
 
     for batch in batches:
         rows = batch if open_rows is None else pa.Table.from_batches([open_rows, batch]).combine_chunks().to_batches()[0]
@@ -187,7 +211,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_words(words: DataFrame) -> DataFrame:
     """(word, near), once for every word and each word that differs from it by one edit."""
     keyed = words.select("word").mapInArrow(_signed, "key long, word string")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, "word string, near string").distinct()
+    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, "word string, near string")
+    once = pairs.select(F.least("word", "near").alias("a"), F.greatest("word", "near").alias("b")).distinct()
+    return once.select(F.inline(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near")), F.struct(F.col("b").alias("word"), F.col("a").alias("near")))))
 
 
 # ------------------------------------------------------------------------ forms
