@@ -91,7 +91,8 @@ def report_lines(spark, d):
     return rows.select("event_id", sinks.tier(F.col("p"), F.col("a")).alias("tier"), sinks.report_line(F.col("event_type"), F.col("p")).alias("line"))
 
 
-@query("SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS line FROM region")
+@query("""SELECT -2 AS place, '| r_regionkey | r_name |' AS line UNION ALL SELECT -1, '|---|---|'
+UNION ALL SELECT row_number() OVER (ORDER BY r_regionkey, r_name)::INTEGER, '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region""")
 def markdown_lines(spark, d):
     return sinks.markdown_table(B.table(spark, d, "region"), ["r_regionkey", "r_name"])
 

@@ -76,33 +76,6 @@ def read_media(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE
     return files.where(F.lower(F.regexp_extract("path", r"\.[^.]+$", 0)).isin(*suffixes))
 
 
-_ANNOTATION = (
-    "annot_id string, objects array<string>, question string, answer_choices string, answer_label int, "
-    "rationale_choices string, rationale_label int, img_fn string, metadata_fn string"
-)
-
-
-def parse_annotations(lines: DataFrame) -> DataFrame:
-    """Question annotations of JSON lines (`value`, `line`): token lists stay JSON text.
-
-    annot_id defaults to the line number; rationale fields may be missing.
-    """
-    row = F.from_json("value", _ANNOTATION)
-    return lines.select("line", row.alias("r")).select("r.*", "line").withColumn("annot_id", F.coalesce("annot_id", F.col("line").cast("string")))
-
-
-def with_boxes(annotations: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Annotations with the boxes of their metadata (metadata_fn, boxes); none is empty."""
-    joined = annotations.join(metadata.select("metadata_fn", "boxes"), "metadata_fn", "left")
-    return joined.withColumn("boxes", F.coalesce("boxes", F.array().cast("array<array<double>>")))
-
-
-def read_shards(spark: SparkSession, path: str, columns: list[str], limit: int | None = None) -> DataFrame:
-    """`columns` of Parquet shards, pruned at the scan; the first `limit` rows."""
-    rows = spark.read.parquet(path).select(*columns)
-    return rows.limit(limit) if limit is not None else rows
-
-
 def read_epoch_metrics(spark: SparkSession, path: str, artefacts: DataFrame | None = None) -> DataFrame:
     """Epoch metrics of a CSV log: the last row of each epoch, of epochs with an artefact."""
     schema = "epoch int, step int, train_loss double, q_a double, qa_r double, q_ar double"
