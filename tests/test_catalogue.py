@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from verdigris.plans import catalogue, parts, shards, streams
+from verdigris.plans import catalogue, media, parts, shards, streams
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -51,6 +51,7 @@ def test_query(spark, oracle, name):
 def test_entry(spark):
     assert catalogue.QUERIES["dump_edges"] is parts.dump_edges
     assert catalogue.QUERIES["frame_stream"] is streams.frame_stream
+    assert catalogue.QUERIES["picture_stats"] is media.picture_stats
     assert catalogue.QUERIES["shard_questions"] is shards.shard_questions
     import __spark_entry__
 

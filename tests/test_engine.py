@@ -300,7 +300,7 @@ def test_rest(monkeypatch):
     monkeypatch.setattr(rest, "fetch", lambda url: _fetch(url, backoff=0.0, open_url=answer))
     reader = rest.GraphReader({"url": "http://api", "terms": "cat", "limit": "5"})
     rows = list(reader.read(reader.partitions()[0]))
-    assert [r[2] for r in rows] == ["n3", "n2"] and calls[-1] == "http://api/more"
+    assert [(r[0], r[3]) for r in rows] == [("cat", "n3"), ("cat", "n2")] and calls[-1] == "http://api/more"
     assert rest.choose("auto", True, lambda: False) == "local" and rest.choose("auto", False, lambda: False) == "offline" and rest.choose("api", False, lambda: False) == "api"
     with pytest.raises(ValueError):
         rest.choose("x", True, lambda: True)

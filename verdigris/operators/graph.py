@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,29 +34,53 @@ def build_edges(raw: DataFrame) -> DataFrame:
     return raw.groupBy("rel", "start", "end").agg(F.max("weight").alias("weight"), F.max("surface").alias("surface"))
 
 
-def save_graph(edges: DataFrame, name: str, buckets: int = 256) -> None:
+@dataclass(frozen=True)
+class StoredGraph:
+    """The edges twice: bucketed by start and by end."""
+
+    by_start: DataFrame
+    by_end: DataFrame
+
+
+def save_graph(edges: DataFrame, name: str, buckets: int = 256, folder: str | None = None) -> None:
     """Two bucketed tables, by start and by end, so lookups of either side need no shuffle
-    of the graph, and a table of counts by relation."""
+    of the graph, and a table of counts by relation; in `folder`, or else the warehouse."""
+
+    def save(writer: DataFrameWriter, table: str) -> None:
+        (writer.option("path", f"{folder}/{table}") if folder else writer).mode("overwrite").saveAsTable(table)
+
     for side in ("start", "end"):
-        edges.write.mode("overwrite").bucketBy(buckets, side).sortBy(side).saveAsTable(f"{name}_by_{side}")
-    counts = edges.groupBy("rel").agg(F.count("*").alias("edges"))
-    counts.write.mode("overwrite").saveAsTable(f"{name}_meta")
+        save(edges.write.bucketBy(buckets, side).sortBy(side), f"{name}_by_{side}")
+    save(edges.groupBy("rel").agg(F.count("*").alias("edges")).write, f"{name}_meta")
+
+
+def is_stored(spark: SparkSession, name: str) -> bool:
+    return all(spark.catalog.tableExists(f"{name}_by_{side}") for side in ("start", "end"))
+
+
+def load_graph(spark: SparkSession, name: str) -> StoredGraph:
+    """The tables of `save_graph`; FileNotFoundError if they are not there."""
+    if not is_stored(spark, name):
+        raise FileNotFoundError(f"no graph {name}: build it from a dump and write it with save_graph(build_edges(read_dump(...)), {name!r})")
+    return StoredGraph(spark.table(f"{name}_by_start"), spark.table(f"{name}_by_end"))
 
 
-def touching(edges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def touching(edges: DataFrame | StoredGraph, terms: DataFrame | None = None) -> DataFrame:
     """Edges from the view of each end: term, other, and the edge itself.
 
     `terms` (term) keeps those of some terms.  A self-loop appears once per direction.
+    Of a stored graph each direction is looked up in the table that is bucketed by it.
     """
     columns = ["rel", "start", "end", "weight", "surface"]
-    out = edges.select(F.col("start").alias("term"), F.col("end").alias("other"), *columns)
-    back = edges.select(F.col("end").alias("term"), F.col("start").alias("other"), *columns)
+    starts, ends = (edges.by_start, edges.by_end) if isinstance(edges, StoredGraph) else (edges, edges)
+    out = starts.select(F.col("start").alias("term"), F.col("end").alias("other"), *columns)
+    back = ends.select(F.col("end").alias("term"), F.col("start").alias("other"), *columns)
     if terms is not None:
         out, back = out.join(terms, "term"), back.join(terms, "term")
     return out.unionAll(back)
 
 
-def neighbours(edges: DataFrame, terms: DataFrame | None = None, limit: int = 400) -> DataFrame:
+def neighbours(edges: DataFrame | StoredGraph, terms: DataFrame | None = None, limit: int = 400) -> DataFrame:
     """The `limit` heaviest edges of each term, then without self-loops, with their rank.
 
     Ties go by relation, start and end.
@@ -159,7 +183,7 @@ def two_hop(profiles: DataFrame, labels: DataFrame) -> DataFrame:
     norms = profiles.groupBy("term").agg(F.sqrt(F.sum(F.col("strength") * F.col("strength"))).alias("term_norm"))
     product = F.col("p.strength") * F.col("l.strength")
     pairs = profiles.alias("p").join(labels.alias("l"), F.col("p.other") == F.col("l.other")).select("p.term", "l.task", "l.label_id", F.col("p.other").alias("other"), product.alias("product"), "l.norm")
-    # The three best products are a bounded list in the aggregation, not a group of rows.
+    # A list has a label's profile at most, which holds the neighbours of a few anchors.
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("product")).alias("minus"), "other"))), 1, 3)
     summed = pairs.groupBy("term", "task", "label_id", "norm").agg(F.sum("product").alias("dot"), top.alias("top"))
     return summed.join(norms, "term").select("term", "task", "label_id", (F.col("dot") / (F.col("term_norm") * F.col("norm"))).alias("cosine"), F.col("top.other").alias("shared"))

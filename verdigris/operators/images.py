@@ -38,7 +38,7 @@ def pixel_stats(pixels: pd.Series, height: pd.Series, width: pd.Series, channels
             rows.append((None, None, None))
         else:
             g = gray(p, int(h), int(w), int(c))
-            rows.append((float(g.mean()), float(g.std()), sharpness(g)))
+            rows.append((float(g.mean(dtype=np.float64)), float(g.std(dtype=np.float64)), sharpness(g)))
     return pd.DataFrame(rows, columns=["brightness", "contrast", "sharpness"])
 
 

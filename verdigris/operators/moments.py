@@ -7,6 +7,8 @@ parallel work, and the scan keeps a bounded number of samples of each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,6 +109,27 @@ def key_moments(samples: DataFrame, segments: DataFrame, settings: MomentSetting
     return joined.groupBy("clip_id").applyInPandas(choose, f"clip_id {kind}, moment int, k int, time_s double, begin_s double, end_s double, sharpness double")
 
 
+def moment_frames(chosen: DataFrame, frames: DataFrame, readable: Callable[[Column], Column], places: int = 2) -> DataFrame:
+    """The second pass: the frames (clip_id, k, content) of key moments, with `readable` told
+    of their content; unreadable ones drop out, and a clip's moments are numbered anew.
+
+    Only the chosen rows of the wide table leave the join with their keys.  Times and
+    sharpness are rounded.  A moment whose frame is missing drops out too.
+    """
+    keys = chosen.select("clip_id", "k", "time_s", "begin_s", "end_s", "sharpness")
+    found = frames.select("clip_id", "k", "content").join(keys, ["clip_id", "k"]).where(F.coalesce(readable(F.col("content")), F.lit(False)))
+    order = Window.partitionBy("clip_id").orderBy("time_s", "k")
+    rounded = [F.round(c, places).alias(c) for c in ("time_s", "begin_s", "end_s", "sharpness")]
+    return found.select("clip_id", (F.row_number().over(order) - 1).alias("moment"), "k", *rounded, "content")
+
+
+def clip_info(samples: DataFrame, found: DataFrame, places: int = 2) -> DataFrame:
+    """(clip_id, duration, fps, samples, moments) of each clip with samples; found are its moments."""
+    clips = samples.groupBy("clip_id").agg(F.round(F.max("duration"), places).alias("duration"), F.round(F.max("fps"), places).alias("fps"), F.count("*").alias("samples"))
+    taken = found.groupBy("clip_id").agg(F.count("*").alias("moments"))
+    return clips.join(taken, "clip_id", "left").withColumn("moments", F.coalesce("moments", F.lit(0).cast("long")))
+
+
 def sampled(samples: DataFrame, settings: SamplingSettings = SamplingSettings(), distance=ratio_distance) -> DataFrame:
     """(clip_id, k) of the samples (clip_id, k, time_s, value, blurry) that are analysed.
 
