@@ -86,6 +86,29 @@ def test_repeated_documents(spark, documents):
     assert mixture.repeat_documents(docs.limit(0)).count() == 0
 
 
+def emitted(docs):
+    out = mixture.repeat_documents(docs)
+    assert out.columns == docs.columns
+    return sum(len((r.text or "").split()) for r in out.collect()), sum(r.taken for r in mixture.mix(docs).collect())
+
+
+@pytest.mark.parametrize("ids", ["plain", "none", "one", "pairs"])
+def test_as_many_words_as_the_mix(spark, documents, ids):
+    """Whatever the ids, and with a column whose name has a dot."""
+    rng = np.random.default_rng(7)
+    id_of = {"plain": lambda i: i, "none": lambda i: None, "one": lambda i: 5, "pairs": lambda i: i // 2}[ids]
+    rows = [(id_of(i), " ".join(f"w{i}" for _ in range(int(rng.integers(20, 90)))), "en", "abcd"[min(3, int(rng.integers(0, 6)))]) for i in range(900)]
+    docs = documents(*rows).withColumnRenamed("lang", "a.b")
+    got, want = emitted(docs)
+    assert abs(got - want) <= 0.01 * want
+
+
+def test_equal_rows_share_their_copies(spark, documents):
+    rows = [(1, "a b c", "en", "s")] * 6 + [(2, "d e f g", "en", "s")] * 5 + [(3, "h i", "en", "t")]
+    got, want = emitted(documents(*rows))
+    assert abs(got - want) <= 4
+
+
 @pytest.mark.parametrize("text, n", [(None, 0), ("", 0), (" a\tb\nc\x0bd  ", 4), ("é\xa0ñ", 1)])
 def test_words(spark, documents, text, n):
     from pyspark.sql import functions as F

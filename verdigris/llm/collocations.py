@@ -35,12 +35,12 @@ from verdigris.llm.words import BreakHashes, grams
 LONGEST, FEWEST, MOST = 5, 100, 2000
 #: A candidate goes if a longer one that holds it has this share (per cent) of its occurrences.
 ABSORBED = 100
-#: Bits of the table of survivors (16 MB).
-FILTER_BITS = 1 << 27
+#: Bits of the table of survivors of each length (8 MB).
+FILTER_BITS = 1 << 26
 #: UTF-8 bytes of text for each cell of the hash space, and the fewest cells.
 BYTES_PER_CELL, FEWEST_CELLS = 1 << 30, 64
-#: Words that a task takes at once.
-WORDS_PER_STEP = 1 << 20
+#: Words that a task takes at once, and counters that it gathers before it merges them.
+WORDS_PER_STEP, COUNTERS_PER_MERGE = 1 << 17, 1 << 20
 UNKNOWN = "und"
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -131,10 +131,13 @@ def reduced(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.nda
     return keys[stays], counts[stays] - off
 
 
-def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The counters of two summaries, added up, by key."""
-    keys, place = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    return keys, np.bincount(place, np.concatenate([a[1], b[1]]), len(keys)).astype(np.int64)
+def merged(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of summaries, added up, by key."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")  # runs that are sorted already are merged
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
 def _cells(keys: np.ndarray, cells: int) -> np.ndarray:
@@ -165,15 +168,25 @@ def _summaries(sizes: tuple[int, ...], capacity: dict[int, np.ndarray], known, m
         total = {k: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in sizes}
         mass = {k: np.zeros(cells, np.int64) for k in range(1, LONGEST + 1)}
         shift = _U(64 - (cells - 1).bit_length())
+        waiting: dict[int, list] = {k: [] for k in sizes}
+
+        def merge(size: int) -> None:
+            if waiting[size]:
+                total[size] = _by_cell(*merged(total[size], *waiting[size]), capacity[size])
+                waiting[size] = []
+
         for hashes, langs, _, _ in _Reader().chunks(batches):
             for size, _, keys in _phrases(hashes, langs, sizes, held):
-                new = np.unique(keys, return_counts=True)
-                total[size] = _by_cell(*merged(total[size], new), capacity[size])
+                waiting[size].append(np.unique(keys, return_counts=True))
+                if sum(len(k) for k, _ in waiting[size]) > COUNTERS_PER_MERGE:
+                    merge(size)
             for size in range(1, LONGEST + 1) if masses else ():
                 if len(hashes) >= size:
                     keys = _keys(hashes, langs, size)[_whole(hashes, size)]
                     mass[size] += np.bincount((keys >> shift).astype(np.int64), minlength=cells)
         rows = []
+        for size in sizes:
+            merge(size)
         for size in range(1, LONGEST + 1):
             keys, counts = total.get(size, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
             starts = _cells(keys, cells)

@@ -21,9 +21,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 from pyspark.sql.window import Window
 
-from verdigris.llm._shared import drop, store
+from verdigris.llm._shared import store
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
@@ -106,25 +107,22 @@ def _shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
     return shards[["source_key", "shard", "shard_size", "source_size", "target", "block", "quota"]]
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of `docs` (doc_id, source, text).
-
-    Sources are ordered by code point with null last and weigh WEIGHTS in turn.  A
-    document without words takes part with size and taken 0.  Repeated rows are
-    separate documents, next to each other in the stream; a null id is one more id.
-    An empty table gives an empty one.
-    """
+def _stream(docs: DataFrame, mark: Column) -> DataFrame:
+    """Every row of `docs` with its place in a shard's stream of words, and what the mix takes
+    of it: doc_id, mark, size, source_size, target, taken, source_key, shard, draw."""
     # Null is a source of its own: "1" sorts after "0" and any name.
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED))
+    # The text counts too, so that rows without an id, or of one id, are spread over shards.
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text", F.lit(SEED))
     # The only pass over the texts; from here on rows are narrow.
-    rows, _ = store(docs.select("doc_id", words(F.col("text")).alias("size"), key.alias("source_key"), draw.alias("draw")), "sizes")
+    rows, _ = store(docs.select("doc_id", mark.alias("mark"), words(F.col("text")).alias("size"), key.alias("source_key"), draw.alias("draw")), "sizes")
     shard_count = F.least(F.lit(MOST_SHARDS), F.ceil(F.count("*") / SHARD_DOCS)).cast("long")
     sources, _ = store(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), shard_count.alias("shards")), "sources")
+    # One row a source; quotas of one source's shards (MOST_SHARDS at most) are one group.
     quotas = sources.select("source_key", "source_size").coalesce(1).mapInPandas(_source_quotas, "source_key string, target double, block long, blocks long")
 
     # Spark broadcasts the sources if they are few, and else splits the hot ones (AQE).
-    placed = rows.join(sources.select("source_key", "shards"), "source_key").select("doc_id", "size", "source_key", "draw", F.pmod("draw", "shards").alias("shard"))
+    placed = rows.join(sources.select("source_key", "shards"), "source_key").select("doc_id", "mark", "size", "source_key", "draw", F.pmod("draw", "shards").alias("shard"))
     shards = placed.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"))
     shards = shards.join(sources.select("source_key", "source_size"), "source_key").join(quotas, "source_key")
     shards = shards.groupBy("source_key").applyInPandas(_shard_quotas, "source_key string, shard long, shard_size long, source_size long, target double, block long, quota long")
@@ -139,21 +137,50 @@ def mix(docs: DataFrame) -> DataFrame:
     before = lambda j: f"(({j}) * quota + turn) div n"
     upto = lambda x: f"(block * ({before(f'({x}) div block')}) + (({x}) % block) * (({before(f'({x}) div block + 1')}) - ({before(f'({x}) div block')})))"
     taken = F.expr(f"{upto('end')} - {upto('end - size')}")
-    return streamed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return streamed.select("doc_id", "mark", "size", "source_size", "target", taken.alias("taken"), "source_key", "shard", "draw")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row of `docs` (doc_id, source, text).
+
+    Sources are ordered by code point with null last and weigh WEIGHTS in turn.  A
+    document without words takes part with size and taken 0.  Repeated rows are
+    separate documents, next to each other in the stream; rows without an id are told
+    apart by their texts.  An empty table gives an empty one.
+    """
+    return _stream(docs, F.lit(0)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """`docs` with every document as often as the mix takes it: 0 to EPOCHS times.
 
-    Taken words are a whole number of copies and a part of one; the part becomes a
-    copy with that probability, by a seeded draw.  Documents without words go.  Rows
-    of one id count as one document and are repeated alike.
+    Taken words are a whole number of copies and a part of one.  The parts of a shard's
+    documents, in order of size, are added up, and a document becomes one more copy
+    where the sum passes a whole number from a seeded start: each shard emits as many
+    copies as it takes, to less than one.  Documents without words go.
+
+    Rows are told apart by id, text and all other plain columns, so rows of one id or
+    without one have copies of their own; rows that are equal in all of these share
+    theirs.  Columns may have any name.
     """
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(f"{SEED}/copies")), F.greatest(F.col("size"), F.lit(1)))
-    copies = F.when(F.col("size") > 0, F.expr("(taken + draw) div size")).otherwise(F.lit(0))
-    chosen = mix(docs).withColumn("draw", draw).select(F.col("doc_id").alias("mix_id"), copies.cast("int").alias("mix_copies"))
-    chosen = chosen.groupBy("mix_id").agg(F.max("mix_copies").alias("mix_copies")).where("mix_copies > 0")
+    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
+    mark = F.xxhash64(*[F.col(f"`{name}`") for name in plain])
+    part = (F.col("taken") % F.col("size")) / F.col("size")
+    line = Window.partitionBy("source_key", "shard").orderBy("size", "draw", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.pmod(F.xxhash64("source_key", "shard", F.lit(f"{SEED}/copies")), F.lit(1 << 20)) / (1 << 20)
+    mixed = _stream(docs, mark).where("size > 0").withColumn("part", part).withColumn("sum", F.round(F.sum("part").over(line), 9) + start)
+    # Rounded sums begin where the one before ends, so no copy is lost between them.
+    ended = F.lag(F.floor("sum"), 1).over(Window.partitionBy("source_key", "shard").orderBy("size", "draw", "doc_id", "mark"))
+    extra = F.floor("sum") - F.coalesce(ended, F.floor(start))
+    copies = mixed.select("doc_id", "mark", (F.expr("taken div size") + extra).alias("copies"))
+    chosen = copies.groupBy(_named("doc_id"), "mark").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
     # The row as one struct, so that no column of it can clash.
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    joined = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("mix_id")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), _named("doc_id"), mark.alias("mark"))
+    # Equal rows stand for all of their copies once; the join's partitioning serves that too.
+    joined = rows.join(chosen, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+
+def _named(column: str) -> Column:
+    """An id as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")).alias("id")

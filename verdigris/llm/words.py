@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words that a task remembers the hashes of before it starts again.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 
 
 class WordHashes(dict):
