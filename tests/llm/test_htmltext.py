@@ -129,3 +129,39 @@ def test_densities_and_choice_are_those_of_the_definition():
         best, got = htmltext.choose(tree, m, body)
         assert all(got[i] == pytest.approx(density.get(i, 0.0)) for i in visible)
         assert sums[best] == pytest.approx(max(sums.values()))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<p>Short note.</p><div class="footer">Copyright 2020 Example Company, all rights reserved and more</div>', "Short note."),
+        ('<div class="cookie-notice">We use cookies for all kinds of things, do you agree?</div><p>Short.</p>', "Short."),
+        ('<div class="ad">An advert that is longer than the page.</div><article><h1>T</h1><p><b>T<br></article>', "T T"),
+        ('<main><p>Brief.</p></main><div class="sidebar"><p>Long sidebar text that goes on and on.</p></div>', "Brief."),
+        ('<article><h1>T</h1><p>Article.</p></article><div class="user-feedback thread">' + f'<div class="post"><p>{"Readers say a lot. " * 9}</p></div>' * 10 + "</div>", "T Article."),
+        ('<article><h1>T</h1><p>A.</p><section class="search"><h2>Search</h2><p>How search works.</p></section></article>', "T A. Search How search works."),
+        ('<article><h1>T</h1><p>A.</p><div class="search-box"><form><input></form>Find</div></article>', "T A."),
+        ('<article><h1>T</h1><p>Text.</p><div class="promo-x">Buy now</div></article>', "T Text."),
+        ("<form><h1>T</h1><p>All of it stands in one form.</p></form>", "T All of it stands in one form."),
+        ('<div class="sidebar"><h1>T</h1><p>A mark on what holds the title does not count.</p></div>', "T A mark on what holds the title does not count."),
+    ],
+)
+def test_marks_count_whatever_their_share(page, text):
+    assert htmltext.extract(f"<html><body>{page}</body></html>") == text
+
+
+def test_many_marks_and_titles_take_linear_time():
+    import time
+
+    page = "<body>" + '<div class="sidebar">a</div>' * 6000 + "<h1>b</h1>" * 6000 + "</body>"
+    began = time.process_time()
+    assert htmltext.extract(page).startswith("b b")
+    assert time.process_time() - began < 2
+
+
+def test_densest_part_is_found_without_any_name():
+    """Where no tag or class names the article, its density does."""
+    links = "".join(f'<div><a href="/{i}">link {i}</a> and <a href="/x{i}">another</a> of them</div>' for i in range(12))
+    text = "".join(f"<p>Paragraph {i} of the text, which has many more characters than tags, as an article does.</p>" for i in range(6))
+    got = htmltext.extract(f"<html><body><div><div>{links}</div></div><div><div>{text}</div></div></body></html>")
+    assert "Paragraph 0" in got and "Paragraph 5" in got and "link 3" not in got

@@ -13,6 +13,7 @@ order, is the result.
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from dataclasses import dataclass, field
@@ -60,11 +61,14 @@ _MARKS = frozenset(
 )
 _COMMENT_MARKS = frozenset("comment comments commentlist disqus respond replies".split())
 _BOX = frozenset("area bar box block button buttons container group holder icons inner item items left link links list outer panel posts region right row section slot text the top unit wrap wrapper".split())
-#: No mark; a mark that does not count on most of the page's text; one that always counts.
-_NO, _SOFT, _HARD = 0, 1, 2
+#: No mark; a form, which does not count if it holds most of the page's text; a search box,
+#: which counts if it has something to fill in; a mark that counts unless no text is left
+#: but titles; a mark that always counts.
+_NO, _FORM, _SEARCH, _SOFT, _HARD = 0, 1, 2, 3, 4
 _FRAME_NAME = re.compile(r"(?:(?:site|page|global|main|top|bottom|web|blog)[-_]?)?(?:header|footer|head|foot)", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_MENU_LINKS, _MENU_SHARE = 3, 0.8
+#: A list is a menu if this share of its characters is in links.
+_MENU_SHARE = 0.8
 
 
 @dataclass
@@ -82,7 +86,7 @@ class _Tree:
 def _marked(tag: str, attributes: str, in_article: bool) -> int:
     if tag in _NEVER or (tag == "header" and not in_article):
         return _HARD
-    found = _SOFT if tag == "form" else _NO
+    found = _FORM if tag == "form" else _NO
     if not attributes or tag in ("html", "body", "main"):
         return found
     for match in _ATTRIBUTE.finditer(attributes):
@@ -90,13 +94,14 @@ def _marked(tag: str, attributes: str, in_article: bool) -> int:
         value = match[2] or match[3] or match[4] or ""
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
             found = max(found, _SOFT)
-        elif name == "role" and value.strip().lower() in _ROLES:
-            found = max(found, _SOFT)
+        elif name == "role" and (role := value.strip().lower()) in _ROLES:
+            found = max(found, _FORM if role == "form" else _SEARCH if role == "search" else _SOFT)
         elif name in ("class", "id"):
             for one in value.split():
-                words = {w.lower() for w in _WORD.findall(one)}
-                if words & (_COMMENT_MARKS if tag == "article" else _MARKS) and words <= _MARKS | _BOX:
-                    found = max(found, _HARD if words & _COMMENT_MARKS else _SOFT)
+                words = {w.lower() for w in _WORD.findall(one) if len(w) > 1}
+                marks = words & (_COMMENT_MARKS if tag == "article" else _MARKS)
+                if marks and words <= _MARKS | _BOX:
+                    found = max(found, _SEARCH if marks == {"search"} else _HARD if marks & _COMMENT_MARKS else _SOFT)
                 elif not in_article and tag != "article" and _FRAME_NAME.fullmatch(one):
                     found = max(found, _SOFT)
     return found
@@ -182,22 +187,42 @@ def _parse(page: str) -> _Tree:
 
 
 def _visible(tree: _Tree, plain: list[int]) -> list[bool]:
-    """Nodes that no mark hides: a mark on what holds the page's title or most of its
-    text outside links (`plain` characters a node) does not count."""
-    title = [i for i, tag in enumerate(tree.tag) if tag == "h1"]
+    """Nodes that no mark hides.  A mark on what holds the page's title does not count,
+    nor does a form that holds most of the page's text outside links (`plain` characters
+    a node), nor a search box without anything to fill in.  If marks leave no text but
+    titles, a name on what holds most of the text does not count either."""
+    n = len(tree.tag)
+
+    def counted(tags: tuple[str, ...]) -> list[int]:
+        """How many nodes of `tags` come before each node."""
+        return list(itertools.accumulate((tag in tags for tag in tree.tag), initial=0))
+
+    titles, fields = counted(("h1",)), counted(("form", "input", "button", "select", "textarea"))
     held = plain.copy()
-    for node in range(len(tree.tag) - 1, 0, -1):
+    for node in range(n - 1, 0, -1):
         if tree.out[node] != _HARD:
             held[tree.parent[node]] += held[node]
-    shown = [True] * len(tree.tag)
-    for node in range(1, len(tree.tag)):
-        hidden = tree.out[node] != _NO
-        if hidden and tree.tag[node] not in _NEVER and tree.tag[node] not in ("header", "form") and any(node < i < tree.end[node] for i in title):
-            hidden = False
-        if tree.out[node] == _SOFT and 2 * held[node] > held[0]:
-            hidden = False
-        shown[node] = shown[tree.parent[node]] and not hidden
-    return shown
+    def marked(alone: bool) -> list[bool]:
+        shown = [True] * n
+        for node in range(1, n):
+            mark, inside = tree.out[node], slice(node + 1, tree.end[node])
+            hidden = mark != _NO
+            if hidden and tree.tag[node] not in _NEVER and tree.tag[node] not in ("header", "form") and titles[inside.stop] > titles[inside.start]:
+                hidden = False
+            if (mark == _FORM or (alone and mark == _SOFT)) and 2 * held[node] > held[0]:
+                hidden = False
+            if mark == _SEARCH and fields[inside.stop] == fields[inside.start]:
+                hidden = False
+            shown[node] = shown[tree.parent[node]] and not hidden
+        return shown
+
+    shown = marked(False)
+    titled = [False] * n
+    for node in range(1, n):
+        titled[node] = tree.tag[node] == "h1" or titled[tree.parent[node]]
+    if any(plain[node] and shown[node] and not titled[node] for node in range(n)):
+        return shown
+    return marked(True)
 
 
 @dataclass
@@ -229,7 +254,7 @@ def measure(tree: _Tree, pieces: list[tuple[int, str | None]]) -> _Measured:
         up = tree.parent[node]
         if shown[node]:
             # A list of links outside an article is a menu, whatever it is called.
-            if not tree.article[node] and tree.tag[node] in ("ul", "ol", "div", "table") and links[node] >= _MENU_LINKS and link_chars[node] >= _MENU_SHARE * chars[node]:
+            if not tree.article[node] and tree.tag[node] in ("ul", "ol", "div", "table") and links[node] and link_chars[node] >= _MENU_SHARE * chars[node]:
                 shown[node] = False
                 menus.append(node)
                 continue
@@ -253,8 +278,13 @@ def composite_density(chars: int, link_chars: int, tags: int, links: int, body_s
 
 
 def choose(tree: _Tree, m: _Measured, body: int) -> tuple[int, list[float]]:
-    """The node within `body` whose children's densities have the greatest sum (of equal
-    sums the first), or `body` if no sum is above zero; and all densities."""
+    """The node whose children's densities have the greatest sum (of equal sums the first),
+    or `body` if no sum is above zero; and all densities.
+
+    It is looked for within `body`, or, if a page has one article (or main) with text of
+    its own, or some that hold its title, within these: what stands beside an article,
+    such as what its readers say, may be denser than the article.
+    """
     n = len(tree.tag)
     body_share = m.link_chars[body] / max(m.chars[body], 1)
     density, total = [0.0] * n, [0.0] * n
@@ -263,8 +293,15 @@ def choose(tree: _Tree, m: _Measured, body: int) -> tuple[int, list[float]]:
             density[node] = composite_density(m.chars[node], m.link_chars[node], m.tags[node], m.links[node], body_share)
             if tree.parent[node] >= 0:
                 total[tree.parent[node]] += density[node]
-    best = max(range(body, tree.end[body] if body else n), key=lambda i: (total[i], -i), default=0)
-    return best if total[best] > 0 else body, density
+    within = range(body, tree.end[body] if body else n)
+    named = [i for i in within if tree.tag[i] in ("article", "main") and not tree.article[i] and m.shown[i] and m.chars[i] > m.link_chars[i]]
+    titled = [i for i in named if "h1" in tree.tag[i : tree.end[i]]]
+    if titled or len(named) == 1:
+        within = [j for i in titled or named for j in range(i, tree.end[i])]
+    best = max(within, key=lambda i: (total[i], -i), default=0)
+    if total[best] > 0:
+        return best, density
+    return (named[0] if len(named) == 1 else body), density
 
 
 def extract(page: str | None) -> str:
