@@ -337,6 +337,14 @@ def test_every_question_has_its_distractors(spark, pairs, answers):
     assert [(r.options, r.answer_label) for r in qa.with_distractors(none).collect()] == [([], None)]
 
 
+def test_repeated_pairs_have_their_distractors_once(spark):
+    rows = [("c", 1, "q", "a1"), ("c", 1, "q", "a1"), ("c", 1, "q", "b"), ("d", 1, "q", "a2"), ("d", 2, "q", "a3"), ("d", 3, "q", "a4"), ("d", 4, "q", "a5")]
+    got = qa.with_distractors(spark.createDataFrame(rows, "conv_id string, turn int, question string, gold string")).collect()
+    assert len(got) == len(rows) and all(len(set(r.options)) == len(r.options) == 4 and r.options[r.answer_label] == r.gold for r in got)
+    twice = [r.options for r in got if r.gold == "a1"]
+    assert twice[0] == twice[1]
+
+
 def test_a_stream_forgets_idle_clips(spark, tmp_path):
     import time
 

@@ -48,23 +48,24 @@ def with_distractors(pairs: DataFrame, n: int = 3, seed: str = "distract") -> Da
 
     The distinct answers stand in a ring by their md5; a pair takes `n` different places
     of it, from a seeded one on, and never its own.  With fewer than n + 1 distinct
-    answers it gets all others.  A pair without an answer has no options.
+    answers it gets all others.  A pair without an answer has no options.  Repeated rows
+    stay, each with the same options.
     """
-    # conv_id and turn name a pair.
-    keyed = cut(pairs.withColumn("key", seeded(seed, "conv_id", "turn")))
-    answers = keyed.where("gold is not null").select("gold").distinct().withColumn("h", F.md5("gold"))
-    ring = cut(numbered(answers, "h", "gold").select("gold", "i"))
+    # conv_id, turn and the answer name a pair; joins go by the answer's hash.
+    keyed = cut(pairs.withColumns({"key": seeded(seed, "conv_id", "turn"), "h": F.md5("gold")}))
+    answers = keyed.where("gold is not null").select("h", "gold").distinct()
+    ring = cut(numbered(answers, "h", "gold").select("h", "gold", "i"))
     m = ring.count()
     start = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    drawn = keyed.select("conv_id", "turn", "key", "gold").join(ring, "gold")
+    drawn = keyed.select("conv_id", "turn", "key", "h").distinct().join(ring.select("h", "i"), "h")
     places = [(F.col("i") + 1 + F.pmod(start + j, F.lit(m - 1))) % m for j in range(min(n, m - 1))]
-    wanted = drawn.select("conv_id", "turn", F.explode(F.array(*places).cast("array<long>")).alias("i"))
-    others = wanted.join(ring, "i").groupBy("conv_id", "turn").agg(F.collect_list("gold").alias("others"))
-    joined = keyed.join(others, ["conv_id", "turn"], "left")
+    wanted = drawn.select("conv_id", "turn", "h", F.explode(F.array(*places).cast("array<long>")).alias("i"))
+    others = wanted.join(ring.select("i", "gold"), "i").groupBy("conv_id", "turn", "h").agg(F.collect_list("gold").alias("others"))
+    joined = keyed.join(others, ["conv_id", "turn", "h"], "left")
     options = F.concat(F.array("gold"), F.coalesce("others", F.array().cast("array<string>")))
     order = F.array_sort(F.transform(options, lambda o: F.struct(F.md5(F.concat("key", F.lit("|"), o)).alias("h"), o.alias("option"))))
     ordered = joined.withColumn("options", F.when(F.col("gold").isNotNull(), F.transform(order, lambda x: x["option"])).otherwise(F.array().cast("array<string>")))
-    return ordered.withColumn("answer_label", F.array_position("options", F.col("gold")).cast("int") - 1).drop("others")
+    return ordered.withColumn("answer_label", F.array_position("options", F.col("gold")).cast("int") - 1).drop("others", "h")
 
 
 def why(question: Column, answer: Column) -> Column:

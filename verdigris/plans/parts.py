@@ -6,12 +6,13 @@ They stand for readers, sinks, prompts, frames and training labels, each with it
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verdigris import sinks
 from verdigris.functions import frame
 from verdigris.functions import text as T
 from verdigris.functions.vocabulary import DEFAULT
-from verdigris.operators import fusion, graph, metrics, moments, qa
+from verdigris.operators import evidence, fusion, graph, metrics, moments, qa
 from verdigris.plans import bindings as B
 from verdigris.plans import catalogue as C
 from verdigris.plans import pipeline
@@ -122,14 +123,10 @@ SELECT item_id, 'option ' || place AS option, round(avg(p), 6) AS p FROM p GROUP
 def permuted_answers(spark, d):
     """A scorer that likes early slots sees three orders of the options; its probabilities
     are led back to the options and averaged."""
-    from pyspark.sql.window import Window
-
-    from verdigris.functions.vectors import softmax
-
     options = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("item_id"), F.array(*[F.lit(f"option {i}") for i in range(4)]).alias("options"))
     orders = qa.debiased(options, 3)
     value = F.col("item_id") % 5 * F.col("place") / 4 - F.col("slot") / 2
-    scored = orders.withColumn("v", value).withColumn("p", softmax(F.col("v"), Window.partitionBy("item_id", "order_id")))
+    scored = orders.withColumn("v", value).withColumn("p", C.softmax(F.col("v"), Window.partitionBy("item_id", "order_id")))
     return fusion.permuted_scores(scored).select("item_id", "option", F.round("p", 6).alias("p"))
 
 
@@ -441,11 +438,75 @@ def enrich_support(spark, d):
     return _enriched(spark, d, _items(spark, d)).support.select("item_id", "task", "label_id", "support")
 
 
-@query()
+_LEXICAL_ITEMS = f"""word_of AS (SELECT DISTINCT item_id, unnest(string_split(phrase, ' ')) AS word FROM (
+  SELECT l_orderkey AS item_id, 'part ' || {B.spelt_sql("l_partkey")} AS phrase FROM lineitem UNION ALL SELECT item_id, 'supp ' || code FROM item WHERE code IS NOT NULL)
+), token AS (SELECT * FROM word_of WHERE length(word) > 1), token_n AS (SELECT item_id, count(*) AS n FROM token GROUP BY item_id
+), lexical AS (SELECT item_id, label_id, least(1.0, sum(1.0 / df) / least(any_value(n), 3)) AS lexical FROM token JOIN token_n USING (item_id) JOIN lexicon USING (word) GROUP BY item_id, label_id)"""
+
+
+@query("WITH " + C._LEXICON + ", " + B.SUPPORT_SQL.replace(B.TERMS_SQL, _ITEM_TERMS).replace("FROM anchor JOIN profile ON concept = term", _BARE) + f""", {_LEXICAL_ITEMS}
+, said AS (SELECT item_id, label_id, ord, round(raw / greatest(max(raw) OVER (PARTITION BY item_id), 0.3), 4) AS support FROM raw_support
+), every AS (SELECT i.item_id, 'region_' || r_regionkey AS label_id, r_regionkey AS ord, lower(r_name) AS option, coalesce(support, 0.0) AS support, coalesce(lexical, 0.0) AS lexical
+  FROM item i CROSS JOIN region LEFT JOIN said s ON s.item_id = i.item_id AND s.label_id = 'region_' || r_regionkey LEFT JOIN lexical x ON x.item_id = i.item_id AND x.label_id = 'region_' || r_regionkey
+), placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY support + 0.3 * lexical DESC, ord) AS place, count(*) FILTER (support + 0.3 * lexical > 0.05) OVER (PARTITION BY item_id) >= 3 AS informative FROM every
+), liked AS (SELECT *, CASE WHEN informative THEN place ELSE ord + 1 END AS slot, CASE WHEN contains(option, 'asia') THEN 2.0 ELSE 0.0 END AS v FROM placed
+), scored AS (SELECT *, exp(v) / sum(exp(v)) OVER (PARTITION BY item_id) AS p_scorer, CASE WHEN max(support) OVER (PARTITION BY item_id) < 0.001 THEN 1.0 / count(*) OVER (PARTITION BY item_id)
+  ELSE exp(support / 0.2) / sum(exp(support / 0.2)) OVER (PARTITION BY item_id) END AS p_support FROM liked
+), fused AS (SELECT *, ln(p_scorer + 1e-9) + 0.5 * ln(p_support + 1e-9) AS logit FROM scored
+), prob AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY item_id) AS probability FROM fused
+), ranks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(probability, 9) DESC, slot) AS rank, lead(probability, 1, 0.0) OVER (PARTITION BY item_id ORDER BY round(probability, 9) DESC, slot) AS next FROM prob
+), task AS (SELECT unnest(['activity', 'relationship', 'intention']) AS task)
+SELECT item_id::VARCHAR AS item_id, task, label_id, rank::INTEGER AS rank, round(probability, 6) AS probability, CASE WHEN rank = 1 THEN probability - next < 0.15 END AS ambiguous
+FROM ranks, task WHERE item_id % 3 = 2 OR (item_id % 3 = 1 AND task <> 'relationship')
+UNION ALL SELECT item_id::VARCHAR, task, CASE task WHEN 'activity' THEN 'no_interaction' WHEN 'relationship' THEN 'none_single' ELSE 'none' END, 1, CASE item_id % 3 WHEN 1 THEN 1.0 ELSE 0.0 END, item_id % 3 = 0
+FROM item, task WHERE item_id % 3 = 0 OR (item_id % 3 = 1 AND task = 'relationship')""")
 def reason_predictions(spark, d):
-    """Ranked predictions of all items with a scorer that prefers one label."""
+    """Ranked predictions of all items with a scorer that prefers one label; items of one
+    person or none have fixed labels."""
     items = cut(_items(spark, d))
     space = cut(_space(spark, d))
     questions = {t: f"Which {t}?" for t in pipeline.TASKS}
     found = pipeline.reason(items, _enriched(spark, d, items), space, fusion.prefer("asia"), questions)
     return found.select("item_id", "task", "label_id", "rank", F.round("probability", 6).alias("probability"), "ambiguous")
+
+
+@query(C._SUPPORT + """, given AS (SELECT item_id, label_id, ord, round(support, 5) AS support, ((item_id * 7 + ord * 3) % 11) / 20.0 AS draft, CASE WHEN (item_id + ord) % 4 = 0 THEN 0.5 ELSE 0.0 END AS lexical,
+  item_id % 5 = 0 AS alone, item_id % 2 = 0 AND ord = item_id % 5 AS named, item_id % 13 = 0 AS silent FROM support
+), told AS (SELECT item_id, label_id, ord, CASE WHEN silent THEN 0.0 ELSE support END AS support, CASE WHEN silent THEN 0.0 ELSE draft END AS draft, CASE WHEN silent THEN 0.0 ELSE lexical END AS lexical, alone, named FROM given
+), placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY support + 1.5 * draft + 0.3 * lexical DESC, ord) AS place, count(*) FILTER (support + 1.5 * draft + 0.3 * lexical > 0.05) OVER (PARTITION BY item_id) >= 3 AS informative FROM told
+), forced AS (SELECT *, bool_or(named AND place > 2) OVER (PARTITION BY item_id) AS pushed FROM placed
+), second AS (SELECT *, CASE WHEN named AND place > 2 THEN 2 WHEN place = 1 OR (place = 2 AND NOT pushed) THEN place END AS slot FROM forced
+), third AS (SELECT *, label_id = 'region_3' AND alone AND slot IS NULL AS late FROM second
+), last AS (SELECT *, bool_or(late) OVER (PARTITION BY item_id) AS late_any FROM third
+), slots AS (SELECT *, CASE WHEN late THEN 2 WHEN NOT (late_any AND slot = 2) THEN slot END AS final FROM last
+), kept AS (SELECT *, CASE WHEN informative THEN final ELSE ord + 1 END AS s FROM slots WHERE NOT informative OR final IS NOT NULL
+), scored AS (SELECT *, exp(-abs(ord - item_id % 5)) / sum(exp(-abs(ord - item_id % 5))) OVER (PARTITION BY item_id) AS p_scorer,
+  CASE WHEN max(support) OVER (PARTITION BY item_id) < 0.001 THEN 1.0 / count(*) OVER (PARTITION BY item_id) ELSE exp(support / 0.2) / sum(exp(support / 0.2)) OVER (PARTITION BY item_id) END AS p_support FROM kept
+), fused AS (SELECT *, ln(p_scorer + 1e-9) + 0.5 * ln(p_support + 1e-9) + draft AS logit FROM scored)
+SELECT item_id, label_id, s::BIGINT AS slot, round(exp(logit) / sum(exp(logit)) OVER (PARTITION BY item_id), 5) AS probability FROM fused""")
+def forced_shortlist(spark, d):
+    """Predictions from shortlists of two in which drafts, texts, a required label and the
+    fall-back of lone items all have a say; items that say nothing see every label."""
+    n, o = F.col("item_id"), F.col("ord")
+    silent = n % 13 == 0
+    said = lambda c: F.when(silent, 0.0).otherwise(c)
+    rows = C._support(spark, d).withColumns({
+        "support": said(F.round("support", 5)), "draft": said((n * 7 + o * 3) % 11 / 20), "lexical": said(F.when((n + o) % 4 == 0, 0.5).otherwise(0.0)), "alone": n % 5 == 0,
+    })
+    rows = cut(rows)
+    required = rows.where((n % 2 == 0) & (o == n % 5)).select("item_id", "task", "label_id")
+    chosen = fusion.shortlist(rows, 2, required, "region_3")
+    p = C.softmax(-F.abs(o - F.pmod("item_id", F.lit(5))).cast("double"), Window.partitionBy("item_id", "task"))
+    fused = fusion.fuse(chosen.withColumn("p_scorer", p))
+    return fused.select("item_id", "label_id", F.col("slot").cast("long").alias("slot"), F.round("probability", 5).alias("probability"))
+
+
+@query("WITH found AS (" + C.ORACLES["resolve_backoff"] + """)
+SELECT phrase, concept, round(0.7::DOUBLE * CASE WHEN backed_off THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 6) AS salience FROM found WHERE length(phrase) > 4""")
+def halved_salience(spark, d):
+    """The salience of objects: half where a phrase had to back off to a shorter concept."""
+    k, key = F.col("p_partkey"), B.spelt(F.col("p_partkey"))
+    phrase = F.when(k % 4 == 0, F.concat(F.lit("the part "), key)).when(k % 4 == 1, F.concat(F.lit("an old part "), key)).when(k % 4 == 2, F.concat(F.lit("part "), key, F.lit(" missing")))
+    terms = cut(B.table(spark, d, "part").select(phrase.alias("phrase"), F.lit(0.7).alias("salience")).where("phrase is not null"))
+    known = evidence.grounded(terms, graph.resolve(terms.select("phrase"), B.graph(spark, d)))
+    return known.select("phrase", "concept", F.round("salience", 6).alias("salience"))
