@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -49,6 +51,32 @@ def test_matches_brute_force_and_sql(spark, documents):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_embedded_notices_match_sql(spark, documents):
+    """Wordings, parts of them and wordings with another word, among other words."""
+    r = random.Random(2)
+    wordings = [w.split() for _, w in licences.TEMPLATES]
+
+    def text():
+        out = ""
+        for _ in range(r.randrange(1, 5)):
+            w = list(r.choice(wordings))
+            if r.random() < 0.5:
+                at = r.randrange(len(w))
+                w = w[at : at + r.randrange(2, 30)]
+            if r.random() < 0.4 and len(w) > 3:
+                w[r.randrange(len(w))] = "xyz"
+            out += " ".join(["some", "words"] * r.randrange(2) + w + ["after", "that"] * r.randrange(2)) + r.choice([". ", "\n", "\n\n", ", ", " "])
+        return out
+
+    docs = documents(*[text() for _ in range(150)], "... is licensed under the mit license and nobody")
+    columns = ["doc_id", "licences", "best_licence", "best_dice", "n_notices"]
+    got = [tuple(row[c] for c in columns) for row in licences.scan(docs).orderBy("doc_id").collect()]
+    c = duckdb.connect()
+    c.register("documents", docs.select("doc_id", "text").toPandas())
+    assert got == c.sql(f"SELECT {', '.join(columns)} FROM ({licences.oracle()}) ORDER BY doc_id").fetchall()
+    assert sum(row[4] for row in got) > 100
+
+
 @pytest.mark.parametrize("name, wording", licences.TEMPLATES)
 def test_required_words_miss_no_match(name, wording):
     """Whatever share of a wording's bigrams a match lacks, one word list is left."""
@@ -122,6 +150,14 @@ copies or substantial portions of the Software."""
         ("You may take it as licensed under the MIT License or, if you like that more, as licensed under the Apache License, Version 2.0, whichever it is", "apache-2.0,mit", 2),
         ("some prose about it\nReleased under the MIT License.\nand this other part is licensed under the MIT License too", "mit", 2),
         ("all of this is, they say, work licensed under the GNU General Public License, version 3, as is what follows below", "gpl-3.0", 1),
+        ("Licensed under the Apache License 2.0", "apache-2.0", 1),
+        ("// SPDX-License-Identifier: MIT", "mit", 1),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later and more", "gpl-2.0", 1),
+        ("Licensed under CC BY-SA 3.0.", "cc-by-sa-3.0", 1),
+        ("Distributed under the BSD 3-Clause License.", "bsd-3-clause", 1),
+        ("You may use this file under the terms of the BSD license as follows:", "bsd", 1),
+        ("This project is under GPLv3.", "gpl-3.0", 1),
+        ("Licence: MIT License (MIT)", "mit", 1),
         ("all rights of way were reserved by the county, under the license of 1980", "", 0),
     ],
 )

@@ -8,7 +8,8 @@ in two steps:
    of them; where there are more, the count that leaves `capacity` is taken off all.
    Summaries of a cell are merged in the same way.  With M occurrences in the cell, a
    capacity above M / FEWEST bounds what a count can lose below FEWEST, so every
-   frequent phrase survives, whatever the order and partitioning.
+   frequent phrase survives, whatever the order and partitioning.  What has been taken
+   off is kept too: phrases that fall short of FEWEST even with it are no survivors.
    Words come first, then pairs, then longer phrases, each with the phrases only whose
    parts have survived (no part of a frequent phrase is less frequent).
 2. Phrases that have survived are counted exactly in a second pass over the texts.
@@ -41,6 +42,8 @@ FILTER_BITS = 1 << 26
 BYTES_PER_CELL, FEWEST_CELLS = 1 << 30, 64
 #: Words that a task takes at once, and counters that it gathers before it merges them.
 WORDS_PER_STEP, COUNTERS_PER_MERGE = 1 << 17, 1 << 20
+#: Phrases that a task counts exactly before it passes them on.
+MOST_COUNTED = 200_000
 UNKNOWN = "und"
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -122,13 +125,14 @@ def _phrases(hashes: np.ndarray, langs: np.ndarray, sizes: tuple[int, ...], know
 # ------------------------------------------------------------------- summaries
 
 
-def reduced(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most `capacity` counters: the next largest count is taken off all of them."""
+def reduced(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """At most `capacity` counters, and what has been taken off all of them: the count of the
+    next largest one.  A true count is at most its counter and that."""
     if len(keys) <= capacity:
-        return keys, counts
-    off = np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
+        return keys, counts, 0
+    off = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
     stays = counts > off
-    return keys[stays], counts[stays] - off
+    return keys[stays], counts[stays] - off, off
 
 
 def merged(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,17 +150,18 @@ def _cells(keys: np.ndarray, cells: int) -> np.ndarray:
     return np.searchsorted(keys >> shift, np.arange(cells + 1).astype(np.uint64)) if cells > 1 else np.array([0, len(keys)])
 
 
-def _by_cell(keys: np.ndarray, counts: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _by_cell(keys: np.ndarray, counts: np.ndarray, capacity: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`reduced` in each cell of sorted keys; what is taken off is added to `error`."""
     starts = _cells(keys, len(capacity))
-    over = np.flatnonzero(np.diff(starts) > capacity)
-    if not len(over):
+    if not (np.diff(starts) > capacity).any():
         return keys, counts
     parts = [reduced(keys[a:b], counts[a:b], int(c)) for a, b, c in zip(starts[:-1].tolist(), starts[1:].tolist(), capacity.tolist(), strict=True)]
-    return np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    error += np.array([off for *_, off in parts])
+    return np.concatenate([k for k, *_ in parts]), np.concatenate([c for _, c, _ in parts])
 
 
-_SUMMARY = "size int, cell int, mass long, keys binary, counts binary"
-_SUMMARY_ARROW = pa.schema([("size", pa.int32()), ("cell", pa.int32()), ("mass", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_SUMMARY = "size int, cell int, mass long, keys binary, counts binary, error long"
+_SUMMARY_ARROW = pa.schema([("size", pa.int32()), ("cell", pa.int32()), ("mass", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("error", pa.int64())])
 
 
 def _summaries(sizes: tuple[int, ...], capacity: dict[int, np.ndarray], known, masses: bool):
@@ -166,13 +171,13 @@ def _summaries(sizes: tuple[int, ...], capacity: dict[int, np.ndarray], known, m
         held = {k: Survivors(v.value) for k, v in known.items()}
         cells = len(capacity[sizes[0]])
         total = {k: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in sizes}
-        mass = {k: np.zeros(cells, np.int64) for k in range(1, LONGEST + 1)}
+        mass, error = ({k: np.zeros(cells, np.int64) for k in range(1, LONGEST + 1)} for _ in range(2))
         shift = _U(64 - (cells - 1).bit_length())
         waiting: dict[int, list] = {k: [] for k in sizes}
 
         def merge(size: int) -> None:
             if waiting[size]:
-                total[size] = _by_cell(*merged(total[size], *waiting[size]), capacity[size])
+                total[size] = _by_cell(*merged(total[size], *waiting[size]), capacity[size], error[size])
                 waiting[size] = []
 
         for hashes, langs, _, _ in _Reader().chunks(batches):
@@ -193,38 +198,43 @@ def _summaries(sizes: tuple[int, ...], capacity: dict[int, np.ndarray], known, m
             for cell in range(cells):
                 a, b = starts[cell], starts[cell + 1]
                 if b > a or mass[size][cell]:
-                    rows.append((size, cell, int(mass[size][cell]), keys[a:b].tobytes(), counts[a:b].tobytes()))
+                    rows.append((size, cell, int(mass[size][cell]), keys[a:b].tobytes(), counts[a:b].tobytes(), int(error[size][cell])))
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SUMMARY_ARROW, strict=True)] if rows else [pa.array([], t.type) for t in _SUMMARY_ARROW], schema=_SUMMARY_ARROW)
 
     return run
 
 
 def _merge(capacity: dict[int, np.ndarray], fewest: int):
-    """Survivors as (size, word, bits) from summaries sorted by size and cell, one at a time."""
+    """Survivors as (size, word, bits) from summaries sorted by size and cell, one at a time:
+    the phrases whose counter and error reach `fewest`."""
+
+    def bits(size: int, keys: np.ndarray) -> pa.RecordBatch:
+        place = keys & _U(FILTER_BITS - 1)
+        word, value = (place >> _U(6)).astype(np.int64), _U(1) << (place & _U(63))
+        order = np.argsort(word, kind="stable")
+        word, value = word[order], value[order]
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+        value = np.bitwise_or.reduceat(value, first) if len(word) else value
+        return pa.record_batch([pa.array(np.full(len(first), size, np.int32)), pa.array(word[first].astype(np.int32)), pa.array(value.view(np.int64))], names=["size", "word", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, kept = None, None
+        at, kept, error = None, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
 
-        def bits(size: int, keys: np.ndarray) -> pa.RecordBatch:
-            place = keys & _U(FILTER_BITS - 1)
-            word, value = (place >> _U(6)).astype(np.int64), _U(1) << (place & _U(63))
-            order = np.argsort(word, kind="stable")
-            word, value = word[order], value[order]
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-            value = np.bitwise_or.reduceat(value, first) if len(word) else value
-            return pa.record_batch([pa.array(np.full(len(first), size, np.int32)), pa.array(word[first].astype(np.int32)), pa.array(value.view(np.int64))], names=["size", "word", "bits"])
+        def ended() -> pa.RecordBatch:
+            return bits(at[0], kept[0][kept[1] + error >= fewest])
 
         for batch in batches:
-            for size, cell, keys, counts in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4)], strict=True):
+            for size, cell, keys, counts, less in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)], strict=True):
                 new = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
                 if (size, cell) == at:
-                    kept = reduced(*merged(kept, new), int(capacity[size][cell]))
+                    *kept, off = reduced(*merged(kept, new), int(capacity[size][cell]))
+                    error += less + off
                 else:
                     if at is not None:
-                        yield bits(at[0], kept[0])
-                    at, kept = (size, cell), new
+                        yield ended()
+                    at, kept, error = (size, cell), new, less
         if at is not None:
-            yield bits(at[0], kept[0])
+            yield ended()
 
     return run
 
@@ -238,26 +248,36 @@ def _counted(known):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: Survivors(v.value) for k, v in known.items()}
+        words: dict[str, int] = {}
+        # Phrases are equal here if two independent hashes are.
+        found: dict[tuple[int, int], list] = {}
+
+        def rows() -> pa.RecordBatch:
+            told = [*((name, None, 0, n) for name, n in words.items()), *found.values()]
+            columns = zip(*told, strict=True) if told else ([], [], [], [])
+            words.clear(), found.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "words", "n"])
+
         for hashes, langs, tokens, told in _Reader().chunks(batches, keep=True):
-            names, phrases, sizes, numbers = [], [], [], []
-            words: dict[str, int] = {}
             ends = np.cumsum([n for _, _, n in told])
             for name, n, _ in told:
                 words[name] = words.get(name, 0) + n
-            for name, n in words.items():
-                names.append(name), phrases.append(None), sizes.append(0), numbers.append(n)
             for size, at, keys in _phrases(hashes, langs, tuple(range(1, LONGEST + 1)), held):
-                # Phrases are equal here if two independent hashes are.
                 second = grams(hashes, size, seed=90)[at]
                 order = np.lexsort((second, keys))
                 k, s = keys[order], second[order]
                 first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])) if len(k) else np.zeros(0, np.int64)
-                place = at[order[first]]
-                counts = np.diff(np.append(first, len(k)))
-                owner = np.searchsorted(ends, place, side="right")
-                for p, o, n in zip(place.tolist(), owner.tolist(), counts.tolist(), strict=True):
-                    names.append(told[o][0]), phrases.append(b" ".join(tokens[p : p + size]).decode()), sizes.append(size), numbers.append(n)
-            yield pa.record_batch([pa.array(names, pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int64())], names=["lang", "phrase", "words", "n"])
+                place, counts = at[order[first]], np.diff(np.append(first, len(k)))
+                for a, b, p, n in zip(k[first].tolist(), s[first].tolist(), place.tolist(), counts.tolist(), strict=True):
+                    row = found.get((a, b))
+                    if row is None:
+                        owner = int(np.searchsorted(ends, p, side="right"))
+                        found[a, b] = [told[owner][0], b" ".join(tokens[p : p + size]).decode(), size, n]
+                    else:
+                        row[3] += n
+            if len(found) > MOST_COUNTED:
+                yield rows()
+        yield rows()
 
     return run
 

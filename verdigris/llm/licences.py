@@ -26,21 +26,31 @@ from pyspark.sql import functions as F
 #: Least coefficient of a match.
 LEAST = Fraction(4, 5)
 
-#: (licence, wording): notices and the sentences of common licence texts (fixed values).
+#: (licence, wording): notices, identifiers and the sentences of common licence texts (fixed values).
 #: A sentence that several licences share has their family's name.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3.0", "SPDX-License-Identifier: AGPL-3.0"),
     ("all-rights-reserved", "All rights reserved."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+    ("apache-2.0", "Licensed under the Apache License 2.0."),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("bsd", "Licensed under the BSD License."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "under the terms of the BSD license"),
+    ("bsd-2-clause", "Distributed under the BSD 2-Clause License."),
+    ("bsd-2-clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-3-clause", "Distributed under the BSD 3-Clause License."),
+    ("bsd-3-clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("bsl-1.0", "SPDX-License-Identifier: BSL-1.0"),
+    ("cc-by-3.0", "Licensed under CC BY 3.0."),
     ("cc-by-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
@@ -49,27 +59,43 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
     ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-sa-3.0", "Licensed under CC BY-SA 3.0."),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    ("cc0-1.0", "SPDX-License-Identifier: CC0-1.0"),
     ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("epl-2.0", "SPDX-License-Identifier: EPL-2.0"),
     ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("gpl-2.0", "under GPLv2"),
+    ("gpl-2.0", "under the GPLv2"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("gpl-3.0", "under GPLv3"),
+    ("gpl-3.0", "under the GPLv3"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "SPDX-License-Identifier: ISC"),
     ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-2.1", "SPDX-License-Identifier: LGPL-2.1"),
     ("lgpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl-3.0", "SPDX-License-Identifier: LGPL-3.0"),
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mit", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
+    ("mit", "MIT License (MIT)"),
+    ("mit", "SPDX-License-Identifier: MIT"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("unlicense", "SPDX-License-Identifier: Unlicense"),
 )
 
 #: Ends of sentences, lines and paragraphs.
@@ -221,11 +247,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL of `scan` over the table documents."""
+    """DuckDB SQL of `scan` over the table documents, windows included."""
+    t = float(LEAST)
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quoted(name)}, {quoted(b)})" for i, (name, w) in enumerate(TEMPLATES) for b in template_bigrams(w))
     return f"""
-WITH template(t, licence, bigram) AS (VALUES {rows}),
+WITH RECURSIVE template(t, licence, bigram) AS (VALUES {rows}),
 sizes AS (SELECT t, licence, count(*) AS size FROM template GROUP BY ALL),
 rows_ AS (SELECT row_number() OVER () AS r, doc_id, lower(text) AS low FROM documents),
 units AS (
@@ -243,11 +270,45 @@ scored AS (
   SELECT r, unit, licence, 2.0 * both_ / (n + size) AS dice
   FROM shared JOIN unit_size USING (r, unit) JOIN sizes USING (t)
 ), matched AS (
-  SELECT r, unit, max(dice) AS dice, arg_min(licence, (-dice, licence)) AS licence FROM scored WHERE dice >= {float(LEAST)} GROUP BY r, unit
+  SELECT r, unit, max(dice) AS dice, arg_min(licence, (-dice, licence)) AS licence FROM scored WHERE dice >= {t} GROUP BY r, unit
+), lists AS (SELECT t, licence, list(bigram) AS b, count(*) AS size FROM template GROUP BY t, licence
+), sentence AS (
+  SELECT DISTINCT r, unit FROM (SELECT r, unnest(regexp_split_to_array(low, '[.!?]\\s+')) AS unit FROM rows_)
+), said AS (
+  SELECT r, unit, array_to_string(w, ' ') AS words, w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p FROM sentence JOIN worded USING (r, unit)
+), hit AS (
+  SELECT r, unit, p, t, pos FROM (SELECT r, unit, p, unnest(p) AS bigram, generate_subscripts(p, 1) AS pos FROM said) JOIN template USING (bigram)
+), span AS (
+  SELECT a.r, a.unit, l.licence, l.size, l.b, a.pos AS lo, z.pos AS hi, list_distinct(a.p[a.pos : z.pos]) AS own
+  FROM hit a JOIN hit z ON a.r = z.r AND a.unit = z.unit AND a.t = z.t AND z.pos >= a.pos JOIN lists l ON l.t = a.t
+  WHERE (z.pos - a.pos + 1) * (2 - {t}) + 1e-9 >= l.size * {t} AND l.size * (2 - {t}) + 1e-9 >= (z.pos - a.pos + 1) * {t}
+), judged AS (
+  SELECT r, unit, licence, lo, hi, 2.0 * len(list_intersect(own, b)) / (len(own) + size) AS dice FROM span
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY r, unit ORDER BY dice DESC, licence, lo, hi) AS k FROM judged WHERE dice > {t} + 1e-9
+), walk AS (
+  SELECT r, unit, 1::BIGINT AS k, [{{'lo': lo, 'hi': hi, 'licence': licence, 'dice': dice}}] AS kept FROM ranked WHERE k = 1
+  UNION ALL SELECT w.r, w.unit, w.k + 1, CASE WHEN len(list_filter(w.kept, lambda x: x.lo <= c.hi + 1 AND c.lo <= x.hi + 1)) = 0
+    THEN list_append(w.kept, {{'lo': c.lo, 'hi': c.hi, 'licence': c.licence, 'dice': c.dice}}) ELSE w.kept END
+  FROM walk w JOIN ranked c ON c.r = w.r AND c.unit = w.unit AND c.k = w.k + 1
+), windows AS (
+  SELECT r, unit, unnest(arg_max(kept, k), recursive := true) FROM walk GROUP BY r, unit
+), whole AS (
+  SELECT m.r, m.licence, array_to_string(w, ' ') AS words FROM matched m JOIN worded USING (r, unit)
+), held AS (
+  SELECT s.r, s.unit, list(h.licence) AS licences, list(' ' || h.words || ' ' ORDER BY length(h.words) DESC) AS parts
+  FROM said s JOIN whole h ON h.r = s.r AND contains(' ' || s.words || ' ', ' ' || h.words || ' ') GROUP BY s.r, s.unit
+), left_over AS (
+  SELECT s.r, s.unit, s.w, coalesce(h.licences, []) AS licences, list_reduce(list_prepend(' ' || s.words || ' ', coalesce(h.parts, [])), lambda text, part: replace(text, part, ' | ')) AS rest
+  FROM said s LEFT JOIN held h ON h.r = s.r AND h.unit = s.unit
+), embedded AS (
+  SELECT x.r, x.dice, x.licence FROM windows x JOIN left_over o ON o.r = x.r AND o.unit = x.unit
+  WHERE NOT list_contains(o.licences, x.licence) OR contains(o.rest, ' ' || array_to_string(o.w[x.lo : x.hi + 1], ' ') || ' ')
+), every AS (SELECT r, dice, licence FROM matched UNION ALL SELECT r, dice, licence FROM embedded
 ), found AS (
   SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, arg_min(licence, (-dice, licence)) AS best_licence,
          max(dice) AS best_dice, count(*) AS n_notices
-  FROM matched GROUP BY r
+  FROM every GROUP BY r
 )
 SELECT doc_id, coalesce(licences, '') AS licences, best_licence, round(coalesce(best_dice, 0.0), 6)::DOUBLE AS best_dice, coalesce(n_notices, 0)::INTEGER AS n_notices
 FROM rows_ LEFT JOIN found USING (r)
