@@ -88,7 +88,7 @@ def test_live_source_drops_all_but_the_newest(spark):
     rows = [("cam", at(i), i, i in (9, 29), i == 22) for i in range(40)] + [(None, at(3), 40, False, True)]
     stream, log, _ = log_of(spark, rows, SCHEMA, 10)
     out = shared_dir(spark, "live")
-    sinks.finished(sinks.started(stream(), live.latest_wins(out, 15), log))
+    sinks.finished(sinks.started(stream(), live.latest_wins(out, shared_dir(spark, "last"), 15), log))
     got = [(r.batch, r.seq, r.forced, r.dropped) for r in spark.read.parquet(out).orderBy("seq").collect()]
     # Batch 0's newest frame is blurry; 29 is too, but forced; 39 comes 10 s after it.
     assert got == [(1, 19, False, 9), (2, 29, True, 9)]

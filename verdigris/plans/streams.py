@@ -21,7 +21,7 @@ MICROS = "epoch_us"
 def _log(spark: SparkSession, rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, str]:
     """`rows` as a stream of STEP frames a batch, and the folder of its query's log."""
     log = shared_dir(spark, f"{name}-log")
-    stream = frames.read_frames(spark, frames.write_frames(rows, order), rows.schema, f"{log}-progress", STEP)
+    stream = frames.read_frames(spark, frames.write_frames(rows, order), rows.schema, shared_dir(spark, "progress"), STEP)
     return stream, log
 
 
@@ -62,7 +62,7 @@ def live_frames(spark, d):
     rows = _events(spark, d).select(F.col("user_id").alias("source"), "ts", F.col("event_id").alias("seq"), (F.abs("value") < 4).alias("blurry"), F.expr(_FORCED).alias("forced"))
     stream, log = _log(spark, rows, ["ts", "seq"], "live_frames")
     out = shared_dir(spark, "live_frames")
-    sinks.finished(sinks.started(stream, live.latest_wins(out, INTERVAL_S), log))
+    sinks.finished(sinks.started(stream, live.latest_wins(out, shared_dir(spark, "last"), INTERVAL_S), log))
     return spark.read.parquet(out).select("source", "batch", "seq", "forced", "dropped")
 
 

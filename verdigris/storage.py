@@ -11,11 +11,15 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of this program's tables that are not dropped yet.
+#: Paths of this program's tables, stream results and logs that are not dropped yet.
 _WRITTEN: set[str] = set()
+#: Those of the running thread's `collected`.
+_OWN: ContextVar[set[str] | None] = ContextVar("own", default=None)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -30,14 +34,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="verdigris-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    if (own := _OWN.get()) is not None:
+        own.add(path)
+    return path
 
 
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """`df` as a Parquet table in the shared folder, read back, and the table's path."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -51,11 +58,24 @@ def written() -> frozenset[str]:
     return frozenset(_WRITTEN)
 
 
+@contextlib.contextmanager
+def collected() -> Iterator[set[str]]:
+    """The set of paths that this thread is given inside the block, and no other thread's."""
+    own: set[str] = set()
+    token = _OWN.set(own)
+    try:
+        yield own
+    finally:
+        _OWN.reset(token)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table of `store`, in whatever file system holds it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     _WRITTEN.discard(path)
+    if (own := _OWN.get()) is not None:
+        own.discard(path)
 
 
 def release(spark: SparkSession, keep: frozenset[str] = frozenset()) -> None:

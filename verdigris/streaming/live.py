@@ -34,9 +34,9 @@ def accepted(newest: DataFrame, last: DataFrame, interval_s: float) -> DataFrame
     return rows.where(F.col("forced") | (~F.coalesce("blurry", F.lit(False)) & waited)).drop("last_ts")
 
 
-def latest_wins(out: str, interval_s: float) -> Callable[[DataFrame, int], None]:
+def latest_wins(out: str, state: str, interval_s: float) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: accepted frames of each batch under `out`/batch=<id>, and when each
-    source was analysed last under `out`-last/<id>.
+    source was analysed last under `state`/<id>.
 
     Both are overwritten by a batch that is run again, which starts from what the batch
     before it had left, so a restart neither loses nor repeats an analysis.
@@ -45,12 +45,12 @@ def latest_wins(out: str, interval_s: float) -> Callable[[DataFrame, int], None]
     def write(batch: DataFrame, number: int) -> None:
         spark, kinds, at = batch.sparkSession, dict(batch.dtypes), f"{out}/batch={number}"
         schema = f"source {kinds['source']}, last_ts {kinds['ts']}"
-        last = spark.read.schema(schema).parquet(f"{out}-last/{number - 1}") if number else spark.createDataFrame([], schema)
+        last = spark.read.schema(schema).parquet(f"{state}/{number - 1}") if number else spark.createDataFrame([], schema)
         taken = accepted(newest_of(batch), last, interval_s)
         taken.write.mode("overwrite").parquet(at)
         new = spark.read.schema(taken.schema).parquet(at).select("source", F.col("ts").alias("last_ts"))
-        new.unionByName(last).groupBy("source").agg(F.max("last_ts").alias("last_ts")).write.mode("overwrite").parquet(f"{out}-last/{number}")
+        new.unionByName(last).groupBy("source").agg(F.max("last_ts").alias("last_ts")).write.mode("overwrite").parquet(f"{state}/{number}")
         if number > 1:
-            drop(spark, f"{out}-last/{number - 2}")
+            drop(spark, f"{state}/{number - 2}")
 
     return write
