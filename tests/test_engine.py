@@ -337,6 +337,16 @@ def test_every_question_has_its_distractors(spark, pairs, answers):
     assert [(r.options, r.answer_label) for r in qa.with_distractors(none).collect()] == [([], None)]
 
 
+def test_resolve_looks_at_the_heaviest_edges_only(spark):
+    loops = [(f"r{i}", "cat", "cat", 9.0, "") for i in range(3)]
+    edges = spark.createDataFrame([*loops, ("isa", "cat", "animal", 2.0, ""), ("isa", "dog", "animal", 1.0, "")], "rel string, start string, end string, weight double, surface string")
+    phrases = spark.createDataFrame([("cat",), ("dog",), ("the animal",)], "phrase string")
+    found = lambda limit: {r.phrase: r.found for r in graph.resolve(phrases, edges, limit).collect()}
+    # Each self-loop is there once per direction, so six edges come before the cat's other one.
+    assert found(7) == {"cat": True, "dog": True, "the animal": True}
+    assert found(6) == {"cat": False, "dog": True, "the animal": True}
+
+
 def test_repeated_pairs_have_their_distractors_once(spark):
     rows = [("c", 1, "q", "a1"), ("c", 1, "q", "a1"), ("c", 1, "q", "b"), ("d", 1, "q", "a2"), ("d", 2, "q", "a3"), ("d", 3, "q", "a4"), ("d", 4, "q", "a5")]
     got = qa.with_distractors(spark.createDataFrame(rows, "conv_id string, turn int, question string, gold string")).collect()

@@ -110,7 +110,7 @@ def candidates(phrases: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFram
     return listed.select("phrase", F.posexplode_outer("names").alias("place", "candidate"))
 
 
-def resolve(phrases: DataFrame, edges: DataFrame, limit: int = 400, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
+def resolve(phrases: DataFrame, edges: DataFrame | StoredGraph, limit: int = 400, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """(phrase, concept, found, backed_off): the first candidate with an edge to another
     node among its `limit` heaviest ones.
 
@@ -120,7 +120,12 @@ def resolve(phrases: DataFrame, edges: DataFrame, limit: int = 400, vocabulary:
     named = cut(candidates(phrases, vocabulary))
     # Only the candidates' own edges are looked at.
     wanted = named.select(F.col("candidate").alias("term")).where("term is not null").distinct()
-    known = neighbours(edges, wanted, limit).select(F.col("term").alias("candidate")).distinct().withColumn("known", F.lit(True))
+    # Whether its heaviest edge to another node is among the first is a matter of the
+    # self-loops before it (two a relation at most): no edges are sorted.
+    place, loop = F.struct((-F.col("weight")).alias("minus"), "rel", "start", "end"), F.col("start") == F.col("end")
+    met = touching(edges, wanted).groupBy("term").agg(F.min(F.when(~loop, place)).alias("best"), F.collect_list(F.when(loop, place)).alias("loops"))
+    near = F.col("best").isNotNull() & (F.size(F.filter("loops", lambda x: x < F.col("best"))) < limit)
+    known = met.where(near).select(F.col("term").alias("candidate"), F.lit(True).alias("known"))
     tried = named.join(known, "candidate", "left")
     best = tried.groupBy("phrase").agg(
         F.min_by("candidate", F.when(F.col("known"), F.col("place"))).alias("hit"), F.min_by("candidate", "place").alias("first")
