@@ -101,3 +101,29 @@ def test_ties_and_many_languages(spark, documents, monkeypatch):
     assert langid.fit(documents(*rows)).langs == ["x", "y"]
     monkeypatch.setattr(langid, "SAMPLE_TOTAL", 10)
     assert langid.fit(documents(*rows)).langs == ["x", "y"]
+
+
+def test_two_hundred_languages(spark, documents):
+    """Every language is learned, and tables grow with their number, not its square."""
+    rng = np.random.default_rng(4)
+    name = lambda i: f"l{i:03d}"
+
+    def text(i):
+        letters = [chr(0x100 + 40 * (i % 50) + j) for j in range(18)] + [chr(97 + (i // 50 * 7 + j) % 26) for j in range(4)]
+        return " ".join("".join(rng.choice(letters, rng.integers(3, 8))) for _ in range(60))
+
+    rows = [(9 * i + j, text(i), name(i), "s") for i in range(200) for j in range(6)]
+    model = langid.fit(documents(*rows))
+    tables = [model, *model.more]
+    assert [lang for m in tables for lang in m.langs] == [name(i) for i in range(200)]
+    size = lambda m: sum(x.nbytes for x in (m.cost, m.met, m.escape, m.state, m.deep))
+    assert max(map(size, tables)) < 24 << 20 and sum(map(size, tables)) < 400 << 20
+    probes = [text(i) for i in range(0, 200, 7)]
+    pred, score, _ = langid.predict(model, probes)
+    assert sum(p == name(i) for p, i in zip(pred, range(0, 200, 7), strict=True)) >= 0.9 * len(probes)
+    # Groups of languages give the same codes as one table.
+    few = {name(i): [r[1] for r in rows if r[2] == name(i)] for i in range(12)}
+    one, two, three = langid.train(few), langid.train({k: few[k] for k in list(few)[:7]}), langid.train({k: few[k] for k in list(few)[7:]})
+    two.more = [three]
+    for a, b in zip(langid.predict(one, probes), langid.predict(two, probes), strict=True):
+        assert np.allclose(a, b) if isinstance(a, np.ndarray) else a == b

@@ -15,7 +15,7 @@ are many, only the symbols met are kept, under sorted keys.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +23,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdigris.llm._shared import BYTES_PER_STEP, bounded_batches, byte_slices, held_out
+from verdigris.llm._shared import BYTES_PER_STEP, bounded_batches, byte_slices, drop, held_out, store
 
 #: Bytes of context at most.
 ORDER = 3
 #: Labelled texts per language that the trees are counted on, and the largest of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 256, 1 << 16
-#: Bytes of a language's texts in all, and languages, those of most labelled rows.
-SAMPLE_TOTAL, MOST_LANGS = 1 << 21, 128
+#: Bytes of a language's texts in all, and the most languages that are learned, those of most
+#: labelled rows (None: all).
+SAMPLE_TOTAL, MOST_LANGS = 1 << 21, None
+#: Languages whose trees share one set of tables.  A table has a row for every context of
+#: any of its languages, so one table of all would grow with their square.
+LANGS_PER_TABLE = 8
 #: Bytes that count as evidence in the score: the posterior of a longer text is
 #: that of its mean over so many bytes.
 EVIDENCE_BYTES = 64
@@ -43,7 +47,11 @@ RESULT = "lang_pred string, score double, bits_per_byte double"
 
 @dataclass
 class PpmModel:
-    """Frozen statistics: bits of a symbol in each language, in all contexts that were counted."""
+    """Frozen statistics: bits of a symbol in each language, in all contexts that were counted.
+
+    A code length depends on its own language's trees alone, so further languages stand in
+    models of their own (`more`), and the least code of all of them counts.
+    """
 
     langs: list[str]
     symbol: np.ndarray  # byte -> symbol; 0 stands for every byte not in the sample
@@ -54,6 +62,7 @@ class PpmModel:
     met: np.ndarray  # (key, language): bits of the symbol
     escape: np.ndarray  # (deepest context, language): bits to add to the shorter context's
     dense: np.ndarray | None = None  # `rows` of all keys, made where it is used
+    more: list[PpmModel] = field(default_factory=list)
 
     @property
     def width(self) -> int:
@@ -168,13 +177,15 @@ def predict(model: PpmModel, texts: list[str | None]) -> tuple[list[str], np.nda
     known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.langs else []
     pred, score, rate = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     if known:
-        bits, sizes = code_lengths(model, [texts[i] for i in known])
+        parts = [code_lengths(m, [texts[i] for i in known]) for m in (model, *model.more)]
+        langs, sizes = [lang for m in (model, *model.more) for lang in m.langs], parts[0][1]
+        bits = np.concatenate([b for b, _ in parts], 1)
         best = bits.argmin(1)
         evidence = (bits - bits.min(1, keepdims=True)) * (np.minimum(sizes, EVIDENCE_BYTES) / sizes)[:, None]
         score[known] = 1 / np.exp2(-evidence).sum(1)
         rate[known] = bits.min(1) / sizes
         for i, at in zip(known, best, strict=True):
-            pred[i] = model.langs[at]
+            pred[i] = langs[at]
     return pred, score, rate
 
 
@@ -184,22 +195,32 @@ def fit(docs: DataFrame, modulus: int = 5, remainder: int = 0, sample_docs: int
     Only rows with a lang, a text of at most SAMPLE_BYTES and crc32(doc_id) mod
     `modulus` other than `remainder` are learned from, `sample_docs` per language and
     SAMPLE_TOTAL bytes at most, those of least hash; so the same rows give the same model.
-    Of more than MOST_LANGS values of lang those with the most rows are learned (of equal
-    ones the first in order of code points), so the sample is bounded whatever lang holds.
+    All values of lang are learned, unless MOST_LANGS says how many (those with the most
+    rows, of equal ones the first in order of code points).  Texts of LANGS_PER_TABLE
+    languages are in the driver at once (16 MB); the model has a table for each such group.
     """
     mine = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & ~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id", "lang", "text")
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")).bitwiseAND(F.lit((1 << 31) - 1))
     # One narrow pass counts the rows of each language; then few texts leave the scan.
-    common = mine.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
+    counts, counts_at = store(mine.groupBy("lang").count(), "langs")
+    common = counts.orderBy(F.desc("count"), "lang").limit(MOST_LANGS) if MOST_LANGS else counts
     share = common.select("lang", (F.lit(4.0 * sample_docs) / F.col("count") * (1 << 31)).alias("below"))
-    picked = mine.join(F.broadcast(share), "lang").where(draw <= F.col("below"))
+    picked = mine.join(share, "lang").where(draw <= F.col("below"))
     line = Window.partitionBy("lang").orderBy(draw, "doc_id", F.sha2("text", 256))
     ranked = picked.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= sample_docs)
     ranked = ranked.withColumn("bytes", F.sum(F.octet_length("text")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    texts: dict[str, list[str]] = {}
-    for row in ranked.where((F.col("bytes") <= SAMPLE_TOTAL) | (F.col("rank") == 1)).orderBy("lang", "rank").select("lang", "text").collect():
-        texts.setdefault(row.lang, []).append(row.text)
-    return train(texts)
+    sample, sample_at = store(ranked.where((F.col("bytes") <= SAMPLE_TOTAL) | (F.col("rank") == 1)).select("lang", "rank", "text"), "sample")
+    langs = sorted(row.lang for row in share.select("lang").collect())
+    models = []
+    for i in range(0, max(len(langs), 1), LANGS_PER_TABLE):
+        texts: dict[str, list[str]] = {}
+        for row in sample.where(F.col("lang").isin(langs[i : i + LANGS_PER_TABLE])).orderBy("lang", "rank").collect():
+            texts.setdefault(row.lang, []).append(row.text)
+        models.append(train(texts))
+    for path in (counts_at, sample_at):
+        drop(docs.sparkSession, path)
+    models[0].more = models[1:]
+    return models[0]
 
 
 def language_of(spark: SparkSession, model: PpmModel) -> Column:
