@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import langid, mixture, pieces, quality, queries, simhash
-from verdigris.storage import drop, store, written
+from verdigris.storage import collected, drop, store
 
 #: Language ID rejects a text below this posterior of its language.
 SURE = 0.4
@@ -80,10 +80,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, each stage's result written to the shared folder and
     deleted when the next one has read it."""
-    docs, earlier = queries.table(spark, sf_dir, "documents"), written()
-    for name, stage in STAGES[:-1]:
-        docs, path = store(stage(spark, docs, sf_dir), f"stage-{name}")
-        # What the stage wrote on its way, and its predecessor's result, have been used.
-        for done in written() - earlier - {path}:
-            drop(spark, done)
+    docs = queries.table(spark, sf_dir, "documents")
+    with collected() as own:
+        for name, stage in STAGES[:-1]:
+            docs, path = store(stage(spark, docs, sf_dir), f"stage-{name}")
+            # What the stage wrote on its way, and its predecessor's result, have been used.
+            for done in own - {path}:
+                drop(spark, done)
     return STAGES[-1][1](spark, docs, sf_dir)
