@@ -98,3 +98,9 @@ def test_large_products(spark):
     big = 3_000_000_000_001
     row = spark.sql(f"SELECT CAST((1000 * CAST({big} AS DECIMAL(17,0)) * CAST({7 * big} AS DECIMAL(17,0))) DIV (CAST({2 * big} AS DECIMAL(17,0)) * CAST({3 * big} AS DECIMAL(17,0))) AS BIGINT) AS s").first()
     assert row.s == 1000 * big * 7 * big // (6 * big * big)
+
+
+def test_packed_keys():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2)
+    assert len(C.packed(keys)) == 300 and (C.unpacked(C.packed(keys)) == keys >> np.uint64(16) << np.uint64(16)).all()
+    assert len(C.unpacked(C.packed(keys[:0]))) == 0

@@ -49,6 +49,9 @@ UNKNOWN = "und"
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TOKEN = re.compile(rb"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+")
 _U = np.uint64
+#: Bits that keys of summaries go without: phrases that are alike in the rest are counted
+#: as one there, which can only add a survivor.
+KEY_CUT = 16
 
 
 # ----------------------------------------------------------------------- texts
@@ -91,6 +94,17 @@ def _keys(hashes: np.ndarray, langs: np.ndarray, size: int) -> np.ndarray:
     return grams(hashes, size, seed=11) ^ langs[: max(0, len(langs) - size + 1)]
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Keys without their lowest KEY_CUT bits, six bytes each."""
+    return np.ascontiguousarray((keys >> _U(KEY_CUT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").reshape(-1) << _U(KEY_CUT)
+
+
 class Survivors:
     """Bits of the phrases that may be frequent, by length."""
 
@@ -98,7 +112,7 @@ class Survivors:
         self.bits = bits
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        place = keys & _U(len(self.bits) * 64 - 1)
+        place = (keys >> _U(KEY_CUT)) & _U(len(self.bits) * 64 - 1)
         return (self.bits[(place >> _U(6)).astype(np.int64)] >> (place & _U(63)) & _U(1)).astype(bool)
 
 
@@ -182,7 +196,7 @@ def _summaries(sizes: tuple[int, ...], capacity: dict[int, np.ndarray], known, m
 
         for hashes, langs, _, _ in _Reader().chunks(batches):
             for size, _, keys in _phrases(hashes, langs, sizes, held):
-                waiting[size].append(np.unique(keys, return_counts=True))
+                waiting[size].append(np.unique(keys >> _U(KEY_CUT) << _U(KEY_CUT), return_counts=True))
                 if sum(len(k) for k, _ in waiting[size]) > COUNTERS_PER_MERGE:
                     merge(size)
             for size in range(1, LONGEST + 1) if masses else ():
@@ -198,7 +212,7 @@ def _summaries(sizes: tuple[int, ...], capacity: dict[int, np.ndarray], known, m
             for cell in range(cells):
                 a, b = starts[cell], starts[cell + 1]
                 if b > a or mass[size][cell]:
-                    rows.append((size, cell, int(mass[size][cell]), keys[a:b].tobytes(), counts[a:b].tobytes(), int(error[size][cell])))
+                    rows.append((size, cell, int(mass[size][cell]), packed(keys[a:b]), counts[a:b].tobytes(), int(error[size][cell])))
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SUMMARY_ARROW, strict=True)] if rows else [pa.array([], t.type) for t in _SUMMARY_ARROW], schema=_SUMMARY_ARROW)
 
     return run
@@ -209,7 +223,7 @@ def _merge(capacity: dict[int, np.ndarray], fewest: int):
     the phrases whose counter and error reach `fewest`."""
 
     def bits(size: int, keys: np.ndarray) -> pa.RecordBatch:
-        place = keys & _U(FILTER_BITS - 1)
+        place = (keys >> _U(KEY_CUT)) & _U(FILTER_BITS - 1)
         word, value = (place >> _U(6)).astype(np.int64), _U(1) << (place & _U(63))
         order = np.argsort(word, kind="stable")
         word, value = word[order], value[order]
@@ -225,7 +239,7 @@ def _merge(capacity: dict[int, np.ndarray], fewest: int):
 
         for batch in batches:
             for size, cell, keys, counts, less in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)], strict=True):
-                new = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
+                new = unpacked(keys), np.frombuffer(counts, np.int64)
                 if (size, cell) == at:
                     *kept, off = reduced(*merged(kept, new), int(capacity[size][cell]))
                     error += less + off
@@ -242,9 +256,12 @@ def _merge(capacity: dict[int, np.ndarray], fewest: int):
 # ---------------------------------------------------------------- exact counts
 
 
-def _counted(known):
-    """(lang, phrase, words, n) of the phrases that may be frequent; of a language without
-    a phrase, its number of words."""
+_COUNTS = "cell int, lang array<string>, phrase array<string>, words array<int>, n array<long>"
+
+
+def _counted(known, cells: int):
+    """What a task has counted exactly, one row a cell: language, phrase, its words and
+    occurrences; without a phrase, a language's number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: Survivors(v.value) for k, v in known.items()}
@@ -252,11 +269,18 @@ def _counted(known):
         # Phrases are equal here if two independent hashes are.
         found: dict[tuple[int, int], list] = {}
 
+        shift = 64 - (cells - 1).bit_length()
+
         def rows() -> pa.RecordBatch:
-            told = [*((name, None, 0, n) for name, n in words.items()), *found.values()]
-            columns = zip(*told, strict=True) if told else ([], [], [], [])
+            by_cell: dict[int, list] = {}
+            for (key, _), row in found.items():
+                by_cell.setdefault(key >> shift, []).append(row)
+            if words:
+                by_cell.setdefault(0, []).extend((name, None, 0, n) for name, n in words.items())
             words.clear(), found.clear()
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "words", "n"])
+            columns = [list(map(list, x)) for x in zip(*(zip(*told, strict=True) for told in by_cell.values()), strict=True)] if by_cell else [[]] * 4
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+            return pa.record_batch([pa.array(list(by_cell), pa.int32()), *(pa.array(c, pa.list_(t)) for c, t in zip(columns, kinds, strict=True))], names=["cell", "lang", "phrase", "words", "n"])
 
         for hashes, langs, tokens, told in _Reader().chunks(batches, keep=True):
             ends = np.cumsum([n for _, _, n in told])
@@ -282,6 +306,33 @@ def _counted(known):
     return run
 
 
+def _summed(fewest: int):
+    """(lang, phrase, words, n) of the phrases that are frequent in all, from rows of
+    `_counted` sorted by cell; a cell has M / `fewest` of them at most, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, {}
+
+        def ended() -> pa.RecordBatch:
+            told = [(lang, phrase, k, n) for (lang, phrase, k), n in total.items() if phrase is None or n >= fewest]
+            columns = zip(*told, strict=True) if told else ([],) * 4
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "words", "n"])
+
+        for batch in batches:
+            for cell, *columns in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if cell != at:
+                    if at is not None:
+                        yield ended()
+                    at, total = cell, {}
+                for *key, n in zip(*columns, strict=True):
+                    key = tuple(key)
+                    total[key] = total.get(key, 0) + n
+        if at is not None:
+            yield ended()
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, fewest: int = FEWEST) -> tuple[DataFrame, str]:
     """A stored table (lang, phrase, words, n) of all phrases of 1 to LONGEST words that
     occur `fewest` times or more, with exact counts, and its path; the row of a language
@@ -309,9 +360,8 @@ def frequent_phrases(docs: DataFrame, fewest: int = FEWEST) -> tuple[DataFrame,
         known |= _told(spark, bits, sizes)
         if path:
             drop(spark, path)
-    counted = texts.mapInArrow(_counted(known), "lang string, phrase string, words int, n long")
-    exact = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= fewest))
-    done = store(exact, "phrases")
+    counted = texts.mapInArrow(_counted(known, cells), _COUNTS).repartition("cell").sortWithinPartitions("cell")
+    done = store(counted.mapInArrow(_summed(fewest), "lang string, phrase string, words int, n long"), "phrases")
     for v in known.values():
         v.destroy()
     return done
