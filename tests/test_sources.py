@@ -179,3 +179,14 @@ def test_second_pass_renumbers(spark):
     assert sorted((r.clip_id, r.moment, r.k, r.time_s, r.end_s) for r in found.collect()) == [("c", 0, 0, 0.0, 10.0), ("c", 1, 30, 3.7, 10.0)]
     samples = spark.createDataFrame([("c", 0, 4.005, 2.5), ("c", 1, 4.005, 2.5), ("d", 0, 1.0, 1.0)], "clip_id string, k int, duration double, fps double")
     assert sorted((r.clip_id, r.samples, r.moments) for r in moments.clip_info(samples, found).collect()) == [("c", 2, 2), ("d", 1, 0)]
+
+
+def test_newest_of_a_cache_with_any_columns(spark):
+    from verdigris import sinks
+    from verdigris.sources import dump
+
+    rows = [("a", 1, "x", {"m": 1}), ("a", 2, "b", {"m": 2}), ("a", 2, "c", None), ("b", None, "z", None), ("b", 0, "y", None), (None, 5, "n", None)]
+    df = spark.createDataFrame(rows, "id string, ts int, `__rank` string, more map<string,int>")
+    assert sorted((r.id or "", r.ts, r["__rank"]) for r in dump.newest(df, "id", "ts").collect()) == [("", 5, "n"), ("a", 2, "c"), ("b", 0, "y")]
+    assert dump.newest(df, "id", "ts").columns == df.columns
+    assert [(r.id, r.ts) for r in sinks.history(df, 2).collect()] == [(None, 5), ("a", 2)]

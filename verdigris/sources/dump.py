@@ -7,7 +7,7 @@ from pathlib import Path
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import AtomicType, VariantType
 
 EDGE_SCHEMA = "rel string, start string, end string, weight double, surface string"
 LABEL_SCHEMA = "task string, label_id string, ord int, description string, anchors array<string>, keywords array<string>"
@@ -97,10 +97,12 @@ def latest_checkpoint(paths: DataFrame) -> DataFrame:
 
 
 def newest(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """An upserted cache on read: of each key the row of the highest `ts`; of rows of one
-    time that whose JSON is last."""
-    order = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.to_json(F.struct("*")).desc())
-    return rows.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
+    """An upserted cache on read: of each key the row of the highest `ts` (null is lowest); of
+    rows of one time that whose plain columns come last, compared in order."""
+    plain = [F.col(f"`{f.name}`") for f in rows.schema.fields if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+    whole = F.struct(*[F.col(f"`{name}`") for name in rows.columns])
+    last = rows.groupBy(F.col(f"`{key}`").alias("key")).agg(F.max_by(whole, F.struct(F.col(f"`{ts}`").alias("time"), *plain)).alias("row"))
+    return last.select("row.*")
 
 
 _PACKED = ("rel", "start", "end", "weight", "surface")
