@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from verdigris import sinks
 from verdigris.functions import frame
 from verdigris.functions import text as T
+from verdigris.functions.vectors import clamp
 from verdigris.functions.vocabulary import DEFAULT
 from verdigris.operators import evidence, fusion, graph, metrics, moments, qa
 from verdigris.plans import bindings as B
@@ -200,6 +201,30 @@ def first_documents(spark, d):
     return qa.first_of_shuffle(B.table(spark, d, "documents").select("doc_id"), ["doc_id"], 25)
 
 
+@query("""WITH t AS (SELECT event_id, event_type || '| ' || user_id || ' ||' || CASE WHEN event_id % 3 = 0 THEN ' ' ELSE 'x ' || event_id % 7 END AS text FROM events),
+o AS (SELECT event_id, list_filter(list_transform(string_split(text, '|'), lambda x: trim(x)), lambda x: x <> '') AS o FROM t)
+SELECT event_id, len(o)::INTEGER AS n, array_to_string(o, ';') AS options FROM o""")
+def split_choices(spark, d):
+    """Options of texts such as "a| b ||c"."""
+    last = F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.concat(F.lit("x "), (F.col("event_id") % 7).cast("string")))
+    rows = B.table(spark, d, "events").select("event_id", T.choices(F.concat("event_type", F.lit("| "), F.col("user_id").cast("string"), F.lit(" ||"), last)).alias("o"))
+    return rows.select("event_id", F.size("o").alias("n"), F.array_join("o", ";").alias("options"))
+
+
+@query(f"""WITH {C._PAIRS} SELECT conv_id, turn, question || ' The answer is: ' || gold || ' Why is this answer correct?' || chr(10) || 'A. ' || gold || chr(10) || 'B. no' AS prompt
+FROM pairs WHERE role = 'user' AND next_role = 'assistant'""")
+def reason_prompts(spark, d):
+    """The question for the reason of every given answer, with two options."""
+    pairs = qa.turn_pairs(B.table(spark, d, "conversations"))
+    asked = T.choice_prompt(qa.why(F.col("question"), F.col("gold")), F.array(F.col("gold"), F.lit("no")))
+    return pairs.select("conv_id", "turn", asked.alias("prompt"))
+
+
+@query("SELECT event_id, least(greatest(value - 20, -5.0), 30.0)::DOUBLE AS clamped FROM events")
+def clamped_values(spark, d):
+    return B.table(spark, d, "events").select("event_id", clamp(F.col("value") - 20, -5.0, 30.0).alias("clamped"))
+
+
 # ----------------------------------------------------------------- frames and prompts
 
 
