@@ -41,6 +41,19 @@ def test_an_item_is_dealt_once_each_way(spark):
     rows = {(r.item_id, r.task, r.label_id): r.support for r in support.collect()}
     assert len(rows) == 8 * 3 and rows[3, "u", "m"] == 0.0 and rows[3, "t", "l"] == 1.0
     assert abs(rows[0, "u", "l"] - 1.0) < 1e-12 and abs(rows[0, "t", "l"] - 1.0) < 1e-12
+    profiles = graph.profile(graph.neighbours(edges(spark)), REL)
+    facts = evidence.facts(terms, profiles, spark.createDataFrame([("y",)], "concept string"), REL)
+    assert sum(k.startswith("hashpartitioning(item_id") for k in shuffles(facts)) == 2
+
+
+def test_own_concepts_and_slight_terms_have_their_facts(spark):
+    near = [("A", "x", f"n_{c}", 1.0 + i / 10, "") for i, c in enumerate("abcdefghijkl")]
+    profiles = graph.profile(graph.neighbours(spark.createDataFrame(near, EDGE)), REL)
+    terms = spark.createDataFrame([(1, 1, "x", 1.0, False), (1, 2, "n_a", 0.5, True), (2, 1, "x", 1e-5, False)], "item_id int, rank int, concept string, salience double, backed_off boolean")
+    got = evidence.facts(terms, profiles, spark.createDataFrame([], "concept string"), REL, per_term=2).orderBy("item_id", "place").collect()
+    # The lightest edge counts most, since it leads to another concept of the item.
+    assert [(r.item_id, r.place, r.end) for r in got] == [(1, 1, "n_a"), (1, 2, "n_l"), (2, 1, "n_l"), (2, 2, "n_k")]
+
 
 
 
