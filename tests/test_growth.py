@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from verdigris.operators import evidence, graph
+from verdigris.operators import evidence, graph, qa
 
 REL = graph.Relations({"A": 0.8, "B": 0.5}, ("Not",), ("A",), ("hub",))
 EDGE = "rel string, start string, end string, weight double, surface string"
@@ -56,6 +56,11 @@ def test_own_concepts_and_slight_terms_have_their_facts(spark):
 
 
 
+def test_bounds_of_a_split_are_decimal(spark):
+    # The key's number is 150000 of a million: not under 0.1 + 0.05.
+    rows = spark.createDataFrame([(1107030,)], "conv_id long")
+    assert qa.split(rows, ["conv_id"]).first().part == "train"
+
 
 def test_loops_hide_an_edge_only_where_they_fill_the_limit(spark):
     rows = spark.createDataFrame([("A", "x", "x", 5.0, ""), ("A", "x", "y", 1.0, ""), ("A", "z", "z", 1.0, ""), ("A", "z", "y", 5.0, "")], EDGE)

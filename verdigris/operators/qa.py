@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,7 +97,8 @@ def examples(questions: DataFrame, tasks: tuple[str, ...] = ("qa", "explain")) -
 def split(rows: DataFrame, keys: list[str], test: float = 0.1, select: float = 0.05, seed: str = "split") -> DataFrame:
     """`rows` with part: test, select or train by a seeded hash of the keys (disjoint)."""
     u = _number(seeded(seed, *keys), 1_000_000) / 1e6
-    return rows.withColumn("part", F.when(u < test, "test").when(u < test + select, "select").otherwise("train"))
+    both = float(Decimal(str(test)) + Decimal(str(select)))  # 0.1 + 0.05 is more than 0.15 in binary
+    return rows.withColumn("part", F.when(u < test, "test").when(u < both, "select").otherwise("train"))
 
 
 def first_of_shuffle(rows: DataFrame, keys: list[str], n: int, seed: str = "shuffle") -> DataFrame:
