@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from verdigris.operators import evidence, graph, qa
+from verdigris.operators import evidence, fusion, graph, qa
 
 REL = graph.Relations({"A": 0.8, "B": 0.5}, ("Not",), ("A",), ("hub",))
 EDGE = "rel string, start string, end string, weight double, surface string"
@@ -55,6 +55,10 @@ def test_own_concepts_and_slight_terms_have_their_facts(spark):
     assert [(r.item_id, r.place, r.end) for r in got] == [(1, 1, "n_a"), (1, 2, "n_l"), (2, 1, "n_l"), (2, 2, "n_k")]
 
 
+def test_equal_but_for_rounding_go_by_slot(spark):
+    rows = spark.createDataFrame([(1, "t", "b", 2, 0.4 + 1e-12), (1, "t", "a", 1, 0.4), (1, "t", "c", 3, 0.2)], "item_id int, task string, label_id string, slot int, probability double")
+    assert {r.label_id: r["rank"] for r in fusion.rank(rows).collect()} == {"a": 1, "b": 2, "c": 3}
+
 
 def test_bounds_of_a_split_are_decimal(spark):
     # The key's number is 150000 of a million: not under 0.1 + 0.05.
