@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +15,15 @@ from verdigris.streaming import jobs, live, sinks
 
 query = C.query
 
-#: Frames of a micro-batch.
-STEP = 4000
+#: Frames of a step, and steps of a micro-batch: a batch costs as much as a million frames do.
+STEP, STEPS = 4000, 100
 MICROS = "epoch_us"
 
 
-def _log(spark: SparkSession, rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, str]:
-    """`rows` as a stream of STEP frames a batch, and the folder of its query's log."""
-    log = shared_dir(spark, f"{name}-log")
-    stream = frames.read_frames(spark, frames.write_frames(rows, order), rows.schema, shared_dir(spark, "progress"), STEP)
-    return stream, log
+def _log(spark: SparkSession, rows: DataFrame, order: list[str]) -> Callable[[int], DataFrame]:
+    """`rows` as a frame log: its stream of frames with their `step`, so many steps a batch."""
+    path, progress = frames.write_frames(rows, order), shared_dir(spark, "progress")
+    return lambda steps: frames.read_frames(spark, path, rows.schema, progress, steps * STEP, STEP)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -32,14 +33,14 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH n AS (SELECT *, (row_number() OVER (ORDER BY ts, event_id) - 1) // {STEP} AS batch FROM events)
 SELECT user_id AS clip_id, batch::INTEGER AS batch, count(*) AS frames, min(event_id) AS first_frame, round(sum(value), 4) AS total FROM n GROUP BY ALL""")
 def frame_stream(spark, d):
-    """Frames of each clip and micro-batch, read as a stream that is stopped after its first
-    batch and started again from its log."""
+    """Frames of each clip and step, read as a stream that is stopped after its first batch,
+    which has one step, and started again from its log with more of them."""
     rows = _events(spark, d).select(F.col("user_id").alias("clip_id"), "event_id", "ts", "value")
-    stream, log = _log(spark, rows, ["ts", "event_id"], "frame_stream")
+    stream, log = _log(spark, rows, ["ts", "event_id"]), shared_dir(spark, "frame_stream-log")
     out = shared_dir(spark, "frame_stream")
-    sinks.stopped_after(sinks.started(stream, sinks.once(out), log), 1)
-    sinks.finished(sinks.started(stream, sinks.once(out), log))
-    done = spark.read.parquet(out)
+    sinks.stopped_after(sinks.started(stream(1), sinks.once(out), log), 1)
+    sinks.finished(sinks.started(stream(STEPS), sinks.once(out), log))
+    done = spark.read.parquet(out).drop("batch").withColumnRenamed("step", "batch")
     return done.groupBy("clip_id", "batch").agg(F.count("*").alias("frames"), F.min("event_id").alias("first_frame"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -57,13 +58,13 @@ walk AS (
   FROM walk w JOIN numbered s ON s.source = w.source AND s.i = w.i + 1)
 SELECT source, batch::INTEGER AS batch, seq, forced, dropped FROM walk WHERE take""")
 def live_frames(spark, d):
-    """What a slow consumer of live sources analyses: the newest frame of each batch, sharp
+    """What a slow consumer of live sources analyses: the newest frame of each step, sharp
     and not too soon, or forced; all others are dropped."""
     rows = _events(spark, d).select(F.col("user_id").alias("source"), "ts", F.col("event_id").alias("seq"), (F.abs("value") < 4).alias("blurry"), F.expr(_FORCED).alias("forced"))
-    stream, log = _log(spark, rows, ["ts", "seq"], "live_frames")
+    stream, log = _log(spark, rows, ["ts", "seq"])(STEPS), shared_dir(spark, "live_frames-log")
     out = shared_dir(spark, "live_frames")
-    sinks.finished(sinks.started(stream, live.latest_wins(out, shared_dir(spark, "last"), INTERVAL_S), log))
-    return spark.read.parquet(out).select("source", "batch", "seq", "forced", "dropped")
+    sinks.finished(sinks.started(stream, live.latest_wins(out, shared_dir(spark, "last"), INTERVAL_S, "step"), log))
+    return spark.read.parquet(out).select("source", F.col("step").alias("batch"), "seq", "forced", "dropped")
 
 
 #: Reports arrive up to three hours late, one in 97 of them twenty days.
@@ -91,7 +92,7 @@ def job_transitions(spark, d):
     a job's life ends two days after its first report."""
     delay = F.when(F.col("event_id") % 97 == 0, F.expr("INTERVAL 20 DAYS")).otherwise(F.make_dt_interval(mins=F.col("event_id") * 7919 % 180))
     rows = _events(spark, d).select(F.col("user_id").alias("job_id"), _state_of(F.col("event_id")).alias("state"), "ts", F.unix_micros(F.col("ts") + delay).alias("arrived"), F.col("event_id").alias("seq"))
-    stream, log = _log(spark, rows, ["arrived", "seq"], "job_transitions")
+    stream, log = _log(spark, rows, ["arrived", "seq"])(STEPS), shared_dir(spark, "job_transitions-log")
     out = shared_dir(spark, "job_transitions")
     # Arrival and id in one number, by which each batch is put in order.
     reports = stream.select("job_id", "state", "ts", (F.col("arrived") * 1000 + F.col("seq") % 1000).alias("seq"))

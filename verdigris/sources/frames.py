@@ -3,7 +3,9 @@
 Frames are numbered from 0, file by file in order of name and row by row; an offset is
 the number of frames before it.  Files may be added while the stream runs, with names
 that come after all others.  Batches end at multiples of `frames_per_batch`, so they are
-the same in every run over the same files, restarts included.
+the same in every run over the same files, restarts included.  A batch may hold many
+steps: with `frames_per_step` each frame has its step's number (frame number divided by
+it) in the last column of the schema, whatever the batches are.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from verdigris.storage import shared_dir
 
@@ -27,11 +30,11 @@ FRAMES_PER_TASK = 100_000
 
 
 class FrameRange(InputPartition):
-    """Rows `begin` to `end` of one file."""
+    """Rows `begin` to `end` of one file, whose first row is frame `first`."""
 
-    def __init__(self, path: str, begin: int, end: int) -> None:
-        super().__init__((path, begin, end))
-        self.path, self.begin, self.end = path, begin, end
+    def __init__(self, path: str, begin: int, end: int, first: int = 0) -> None:
+        super().__init__((path, begin, end, first))
+        self.path, self.begin, self.end, self.first = path, begin, end, first
 
 
 class FrameLogReader(DataSourceStreamReader):
@@ -43,6 +46,7 @@ class FrameLogReader(DataSourceStreamReader):
         self.files, self.folder = pa.fs.FileSystem.from_uri(options["path"])
         self.store, self.progress = pa.fs.FileSystem.from_uri(options["progress"])
         self.step = int(options.get("frames_per_batch", "10000"))
+        self.numbered = int(options.get("frames_per_step", "0"))
         self.rows: dict[str, int] = {}
         self.at: int | None = None
 
@@ -78,7 +82,7 @@ class FrameLogReader(DataSourceStreamReader):
         first = 0
         for path, n in self.rows.items():
             lo, hi = max(start["frame"], first) - first, min(end["frame"], first + n) - first
-            parts += [FrameRange(path, a, min(a + FRAMES_PER_TASK, hi)) for a in range(lo, hi, FRAMES_PER_TASK)]
+            parts += [FrameRange(path, a, min(a + FRAMES_PER_TASK, hi), first) for a in range(lo, hi, FRAMES_PER_TASK)]
             first += n
         # Spark has logged `end` before it plans the batch, so a restart begins there.
         self.at = max(self.at or 0, end["frame"])
@@ -94,8 +98,12 @@ class FrameLogReader(DataSourceStreamReader):
             n = file.metadata.row_group(group).num_rows
             lo, hi = max(partition.begin - first, 0), min(partition.end - first, n)
             if lo < hi:
-                table = file.read_row_group(group, columns=self.schema.names).slice(lo, hi - lo)
-                yield from table.select(self.schema.names).cast(self.schema).to_batches(max_chunksize=10_000)
+                names = self.schema.names[:-1] if self.numbered else self.schema.names
+                table = file.read_row_group(group, columns=names).slice(lo, hi - lo).select(names)
+                if self.numbered:
+                    frame = np.arange(partition.first + first + lo, partition.first + first + hi)
+                    table = table.append_column(self.schema.names[-1], pa.array(frame // self.numbered))
+                yield from table.cast(self.schema).to_batches(max_chunksize=10_000)
             first += n
 
     def commit(self, end: dict) -> None:
@@ -127,7 +135,11 @@ def write_frames(frames: DataFrame, order: list[str], path: str | None = None) -
     return path
 
 
-def read_frames(spark: SparkSession, path: str, schema: StructType | str, progress: str, frames_per_batch: int) -> DataFrame:
-    """The frames of `path` as a stream; `progress` is a file beside the stream's log."""
+def read_frames(spark: SparkSession, path: str, schema: StructType, progress: str, frames_per_batch: int, frames_per_step: int = 0) -> DataFrame:
+    """The frames of `path` as a stream, with `step` if they are counted in steps; `progress`
+    is a file beside the stream's log."""
     spark.dataSource.register(FrameLog)
-    return spark.readStream.format("frame_log").schema(schema).option("path", path).option("progress", progress).option("frames_per_batch", frames_per_batch).load()
+    if frames_per_step:
+        schema = StructType([*schema.fields, StructField("step", IntegerType())])
+    reader = spark.readStream.format("frame_log").schema(schema).option("path", path).option("progress", progress)
+    return reader.option("frames_per_batch", frames_per_batch).option("frames_per_step", frames_per_step).load()
