@@ -80,3 +80,13 @@ def test_a_stored_graph_is_made_once(spark, tmp_path):
     stored = graph.load_graph(spark, "made_once")
     assert stored.by_start.exceptAll(stored.by_end).isEmpty() and stored.by_end.count() == 50
     assert spark.table("made_once_meta").first().edges == 50
+
+
+def test_pictures_come_in_bounded_batches(spark):
+    from verdigris.plans import media
+
+    names = ("maxRecordsPerBatch", "maxBytesPerBatch")
+    for name in names:
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    media.picture_stats(spark, "/root/testdata/sf0.001")
+    assert [int(spark.conf.get(f"spark.sql.execution.arrow.{name}")) for name in names] == [512, 16 << 20]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdigris.operators import graph, images, moments
 from verdigris.plans import bindings as B
 from verdigris.plans import catalogue as C
+from verdigris.session import bounded_batches
 from verdigris.sources import pictures
 from verdigris.storage import shared_dir
 
@@ -41,6 +42,7 @@ SELECT doc_id, CASE WHEN doc_id % 10 <> 3 THEN h::INTEGER END AS height, CASE WH
   CASE WHEN doc_id % 10 <> 3 THEN round(sqrt(greatest(0, q / p - (s / p) * (s / p))), 1) END AS contrast, CASE WHEN doc_id % 10 = 3 THEN CASE WHEN doc_id % 4 = 1 THEN 'a damaged chunk' ELSE 'cut off' END END AS error FROM s""")
 def picture_stats(spark, d):
     """Texts as the pixels of PGM and PNG files, some of them damaged, read back and measured."""
+    bounded_batches(spark)
     docs = B.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("b"))
     n = F.octet_length("b")
     sized = docs.withColumn("height", F.greatest(F.lit(1), F.floor((n + WIDE - 1) / WIDE)).cast("int"))
