@@ -15,7 +15,7 @@ from verdigris.streaming import jobs, live, sinks
 
 query = C.query
 
-#: Frames of a step, and steps of a micro-batch: a batch costs as much as a million frames do.
+#: Frames of a step, and steps of a micro-batch, which has a fixed cost however few frames it has.
 STEP, STEPS = 4000, 100
 MICROS = "epoch_us"
 
