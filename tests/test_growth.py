@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from verdigris.operators import evidence, fusion, graph, qa
+from verdigris.operators import evidence, fusion, graph, labels, qa
+from verdigris.plans import bindings
+from verdigris.storage import cut
 
 REL = graph.Relations({"A": 0.8, "B": 0.5}, ("Not",), ("A",), ("hub",))
 EDGE = "rel string, start string, end string, weight double, surface string"
@@ -90,3 +92,22 @@ def test_pictures_come_in_bounded_batches(spark):
         spark.conf.unset(f"spark.sql.execution.arrow.{name}")
     media.picture_stats(spark, "/root/testdata/sf0.001")
     assert [int(spark.conf.get(f"spark.sql.execution.arrow.{name}")) for name in names] == [512, 16 << 20]
+
+
+def test_only_configuration_is_broadcast(spark):
+    def broadcasts(df):
+        return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in line]
+
+    # Rows of few different values, whose files are far smaller than what a broadcast of them takes.
+    grid = lambda n: cut(spark.range(n).select((F.col("id") % 100).alias("item_id"), F.lit("t").alias("task"), F.lit("l").alias("label_id"), F.lit(0).alias("ord"), *[F.lit(0.5).alias(c) for c in ("support", "draft", "lexical")]))
+    rows, keys = grid(200), ["item_id", "task", "label_id"]
+    assert not broadcasts(evidence.disambiguate(rows.drop("draft"), grid(100).select(*keys, "draft")))
+    assert not broadcasts(fusion.shortlist(rows, 2, grid(100).select(*keys)))
+    terms = cut(spark.range(50).select("id", F.lit("p").alias("phrase"), F.lit(1.0).alias("salience")))
+    resolved = cut(spark.createDataFrame([("p", "c", False)], "phrase string, concept string, backed_off boolean"))
+    assert not broadcasts(evidence.grounded(terms, resolved))
+    texts = rows.select("item_id", "task", F.lit("some words").alias("text"))
+    lexicon = cut(spark.range(1000).select(F.lit("t").alias("task"), F.lit("l").alias("label_id"), F.sha2(F.col("id").cast("string"), 256).alias("word"), F.lit(1).alias("df")))
+    found = broadcasts(labels.lexical_match(texts, lexicon))
+    assert len(found) == 1 and labels.lexical_match(texts, lexicon)._jdf.queryExecution().executedPlan().toString().count("BuildRight") == 1
+    assert not broadcasts(bindings.sold_edges(spark, "/root/testdata/sf0.001"))
