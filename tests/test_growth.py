@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from verdigris.operators import evidence, fusion, graph, labels, qa
+from verdigris.operators import evidence, fusion, graph, labels, moments, qa
 from verdigris.plans import bindings
 from verdigris.storage import cut
 
@@ -111,3 +111,20 @@ def test_only_configuration_is_broadcast(spark):
     found = broadcasts(labels.lexical_match(texts, lexicon))
     assert len(found) == 1 and labels.lexical_match(texts, lexicon)._jdf.queryExecution().executedPlan().toString().count("BuildRight") == 1
     assert not broadcasts(bindings.sold_edges(spark, "/root/testdata/sf0.001"))
+
+
+def test_clips_are_sorted_once_and_wide_frames_not_at_all(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = bindings.samples(spark, "/root/testdata/sf0.001")
+    assert plan(made).count(" Sort [") == 1
+    by_clip = {}
+    for r in made.collect():
+        by_clip.setdefault(r.clip_id, []).append((r.time_s, r.k))
+    assert all([k for _, k in sorted(rows)] == list(range(len(rows))) for rows in by_clip.values())
+    samples = cut(made)
+    chosen = moments.key_moments(samples, moments.scene_segments(samples.select("clip_id", "k", "value")))
+    assert "BroadcastExchange" not in plan(chosen)
+    frames = cut(samples.select("clip_id", "k", F.lit("ok").alias("content")))
+    found = moments.moment_frames(cut(chosen), frames, lambda c: c == "ok")
+    assert "ShuffledHashJoin" in plan(found) and "BroadcastExchange" not in plan(found)
+    assert found.count() == chosen.count()

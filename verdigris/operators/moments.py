@@ -105,7 +105,7 @@ def key_moments(samples: DataFrame, segments: DataFrame, settings: MomentSetting
         return pd.DataFrame(out, columns=["clip_id", "moment", "k", "time_s", "begin_s", "end_s", "sharpness"])
 
     kind = dict(samples.dtypes)["clip_id"]
-    joined = samples.join(segments, ["clip_id", "k"])
+    joined = samples.join(segments.hint("merge"), ["clip_id", "k"])
     return joined.groupBy("clip_id").applyInPandas(choose, f"clip_id {kind}, moment int, k int, time_s double, begin_s double, end_s double, sharpness double")
 
 
@@ -113,11 +113,12 @@ def moment_frames(chosen: DataFrame, frames: DataFrame, readable: Callable[[Colu
     """The second pass: the frames (clip_id, k, content) of key moments, with `readable` told
     of their content; unreadable ones drop out, and a clip's moments are numbered anew.
 
-    Only the chosen rows of the wide table leave the join with their keys.  Times and
-    sharpness are rounded.  A moment whose frame is missing drops out too.
+    Wide rows are neither sorted nor broadcast: they pass by a table of the chosen ones, and
+    only these leave the join.  Times and sharpness are rounded.  A moment whose frame is
+    missing drops out too.
     """
     keys = chosen.select("clip_id", "k", "time_s", "begin_s", "end_s", "sharpness")
-    found = frames.select("clip_id", "k", "content").join(keys, ["clip_id", "k"]).where(F.coalesce(readable(F.col("content")), F.lit(False)))
+    found = frames.select("clip_id", "k", "content").join(keys.hint("shuffle_hash"), ["clip_id", "k"]).where(F.coalesce(readable(F.col("content")), F.lit(False)))
     order = Window.partitionBy("clip_id").orderBy("time_s", "k")
     rounded = [F.round(c, places).alias(c) for c in ("time_s", "begin_s", "end_s", "sharpness")]
     return found.select("clip_id", (F.row_number().over(order) - 1).alias("moment"), "k", *rounded, "content")

@@ -12,7 +12,7 @@ from verdigris.plans import bindings as B
 from verdigris.plans import catalogue as C
 from verdigris.session import bounded_batches
 from verdigris.sources import pictures
-from verdigris.storage import shared_dir
+from verdigris.storage import cut, shared_dir
 
 query = C.query
 
@@ -63,7 +63,7 @@ _MOMENTS = C.ORACLES["key_moments"].strip()
 
 
 def _second_pass(spark, d):
-    samples = B.samples(spark, d)
+    samples = cut(B.samples(spark, d))
     chosen = moments.key_moments(samples, moments.scene_segments(samples.select("clip_id", "k", "value")))
     # The wide table: a frame's content, of which every fifth is not readable.
     content = F.concat(F.when(F.col("k") % 5 == 2, "XX").otherwise("P5"), F.repeat(F.col("k").cast("string"), 50))
