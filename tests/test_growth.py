@@ -151,3 +151,21 @@ def test_two_hops_go_over_all_edges_of_a_hub(spark, tmp_path):
     profiles = graph.strengths(bindings.graph(spark, str(tmp_path)), bindings.RELATIONS)
     assert profiles.where("term = 'nation_c'").count() == 453
     assert "400" not in catalogue.ORACLES["two_hop_cosine"]
+
+
+def test_support_adds_up_by_number_and_kinds_are_bits(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = [(1, "red cup", "object", 1.0, 2), (1, "The red cup", "action", 0.5, 1), (1, "hall", "setting", 1.0, 3)]
+    terms = evidence.key_terms(spark.createDataFrame(rows, "item_id int, phrase string, kind string, factor double, ord int"))
+    assert "ObjectHashAggregate" not in plan(terms) and "SortAggregate" not in plan(terms)
+    assert [(r.phrase, r.salience, r.kinds, r.ord, r["rank"]) for r in terms.orderBy("rank").collect()] == [("red cup", 0.7, ["action", "object"], 1, 1), ("hall", 0.6, ["setting"], 3, 2)]
+    linked = graph.links(graph.neighbours(cut(edges(spark))), REL)
+    assert "Join" not in plan(linked), "relations are a map"
+    told = cut(spark.createDataFrame([(1, "c", 0.5, ["action"]), (1, "d", 0.5, ["action"]), (2, "e", 0.5, ["none"])], "item_id int, concept string, salience double, kinds array<string>"))
+    scores = spark.createDataFrame([("c", "t", "l", 0.4), ("c", "u", "l", 0.2), ("d", "t", "m", 0.8), ("d", "t", "other", 9.0)], "term string, task string, label_id string, score double")
+    space = spark.createDataFrame([("t", "l", 0), ("t", "m", 1), ("u", "l", 0), ("v", "l", 0)], "task string, label_id string, ord int")
+    weights = spark.createDataFrame([("t", "action", 1.0), ("u", "action", 0.0), ("w", "action", 1.0)], "task string, kind string, weight double")
+    support = evidence.label_support(told, scores, space, weights)
+    assert "slot" in plan(support) and not [k for k in shuffles(support) if k.startswith("hashpartitioning(item_id") and "label_id" in k]
+    # A label that the space has not counts nowhere; a task without weights or labels has no rows.
+    assert {(r.item_id, r.task, r.label_id): round(r.support, 6) for r in support.collect()} == {(1, "t", "l"): 0.5, (1, "t", "m"): 1.0, (1, "u", "l"): 0.0}
