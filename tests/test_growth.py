@@ -169,3 +169,10 @@ def test_support_adds_up_by_number_and_kinds_are_bits(spark):
     assert "slot" in plan(support) and not [k for k in shuffles(support) if k.startswith("hashpartitioning(item_id") and "label_id" in k]
     # A label that the space has not counts nowhere; a task without weights or labels has no rows.
     assert {(r.item_id, r.task, r.label_id): round(r.support, 6) for r in support.collect()} == {(1, "t", "l"): 0.5, (1, "t", "m"): 1.0, (1, "u", "l"): 0.0}
+
+
+def test_a_named_row_is_a_required_label(spark):
+    rows = cut(spark.createDataFrame([(1, "t", x, i, 1.0 - i / 10, 0.0, 0.0, x == "d") for i, x in enumerate("abcd")], "item_id int, task string, label_id string, ord int, support double, draft double, lexical double, named boolean"))
+    required = rows.where("named").select("item_id", "task", "label_id")
+    found = lambda df: {(r.label_id, r.slot) for r in df.collect()}
+    assert found(fusion.shortlist(rows, 2)) == found(fusion.shortlist(rows.drop("named"), 2, required)) == {("a", 1), ("d", 2)}
